@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, mixing, near_dup, url_filter
+from tallyloom.llm import bpe, mixing, near_dup, toxicity, url_filter
 from tallyloom.llm.url_filter import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +93,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_near_dup")
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), n=2)
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    held = toxicity.held_out(F.col("doc_id")).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held, "score", "predicted")
