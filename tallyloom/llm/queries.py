@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, mixing, near_dup, toxicity, url_filter
+from tallyloom.llm import bpe, fingerprint, mixing, near_dup, toxicity, url_filter
 from tallyloom.llm.url_filter import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     held = toxicity.held_out(F.col("doc_id")).alias("held_out")
     return toxicity.score(docs, model).select("doc_id", held, "score", "predicted")
+
+
+@query("op4_fingerprint")
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
