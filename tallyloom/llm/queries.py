@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, fingerprint, mixing, near_dup, toxicity, url_filter
+from tallyloom.llm import bpe, fingerprint, html_text, mixing, near_dup, toxicity, url_filter
 from tallyloom.llm.url_filter import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_fingerprint")
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
+
+
+@query("op3_html_text")
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
