@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, fingerprint, html_text, mixing, near_dup, toxicity, url_filter, vector_search
+from tallyloom.llm import bpe, fingerprint, html_text, line_dedup, mixing, near_dup, substring_dedup, toxicity, url_filter, vector_search
 from tallyloom.llm.url_filter import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,29 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return vector_search.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+@query(
+    "op2_line_dedup",
+    r"""
+    WITH l AS (
+      SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INTEGER AS pos FROM documents WHERE text IS NOT NULL),
+    n AS (SELECT *, lower(trim(regexp_replace(line, '[ 	
+]+', ' ', 'g'))) AS norm FROM l),
+    b AS (SELECT doc_id, pos, norm, row_number() OVER d AS no, lead(norm) OVER d AS norm2, lead(pos) OVER d AS pos2, count(*) OVER (PARTITION BY doc_id) AS n
+      FROM n WHERE norm <> '' WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+    w AS (SELECT doc_id, pos, pos2, row_number() OVER (PARTITION BY norm, norm2 ORDER BY doc_id, no) AS nth FROM b WHERE norm2 IS NOT NULL OR n = 1),
+    g AS (SELECT doc_id, pos FROM w WHERE nth > 1 UNION SELECT doc_id, pos2 FROM w WHERE nth > 1 AND pos2 IS NOT NULL),
+    k AS (SELECT n.doc_id, string_agg(CASE WHEN g.pos IS NULL THEN n.line END, chr(10) ORDER BY n.pos) AS kept, bool_or(g.pos IS NULL AND n.norm <> '') AS any_left, count(g.pos)::INTEGER AS n_removed
+      FROM n LEFT JOIN g ON n.doc_id = g.doc_id AND n.pos = g.pos GROUP BY n.doc_id)
+    SELECT d.doc_id, CASE WHEN coalesce(k.n_removed, 0) = 0 THEN d.text WHEN k.any_left THEN k.kept ELSE '' END AS text, coalesce(k.n_removed, 0)::INTEGER AS n_removed
+    FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id""",
+)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.size("gone").alias("n_removed"))
+
+
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))

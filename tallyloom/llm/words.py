@@ -38,22 +38,35 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash for each word of all texts, A-Z lower-cased, and where each text's words begin (and the last end).
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts, each with a space behind it, as one array of bytes; then for each word of all texts
+    a 64-bit hash, A-Z lower-cased, its start and its end in that array; then where each text's words
+    begin (and the last end).
 
     A word is a run of bytes other than ASCII white space.
     """
-    raw = b" ".join(texts) + b" "
-    buf = np.frombuffer(raw, dtype=np.uint8)
+    buf = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     space = _SPACE[buf]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))  # starts and ends in turn
     starts, ends = edge[0::2], edge[1::2]
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    text_ends = np.cumsum(lengths + 1)
-    bounds = np.concatenate(([0], np.searchsorted(starts, text_ends)))
+    bounds = np.concatenate(([0], np.searchsorted(starts, np.cumsum(lengths + 1))))
     total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_OF_BYTE[buf] * _powers(_BASE, len(buf)))))
     sums = (total[ends] - total[starts]) * _powers(_INVERSE, len(buf) + 1)[starts]
-    return mix64(sums + (ends - starts).astype(np.uint64)), bounds
+    return buf, mix64(sums + (ends - starts).astype(np.uint64)), starts, ends, bounds
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes and the bounds of word_spans."""
+    _, words, _, _, bounds = word_spans(texts)
+    return words, bounds
+
+
+def prefix_hashes(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash for each run of words from first up to end."""
+    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(words * _powers(_BASE, len(words)))))
+    sums = (total[end] - total[first]) * _powers(_INVERSE, len(words) + 1)[first]
+    return mix64(sums + (end - first).astype(np.uint64))
 
 
 def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
