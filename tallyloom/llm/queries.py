@@ -135,8 +135,7 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""
     WITH l AS (
       SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INTEGER AS pos FROM documents WHERE text IS NOT NULL),
-    n AS (SELECT *, lower(trim(regexp_replace(line, '[ 	
-]+', ' ', 'g'))) AS norm FROM l),
+    n AS (SELECT *, lower(trim(regexp_replace(line, '[ \t\x0B\f\r]+', ' ', 'g'))) AS norm FROM l),
     b AS (SELECT doc_id, pos, norm, row_number() OVER d AS no, lead(norm) OVER d AS norm2, lead(pos) OVER d AS pos2, count(*) OVER (PARTITION BY doc_id) AS n
       FROM n WHERE norm <> '' WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
     w AS (SELECT doc_id, pos, pos2, row_number() OVER (PARTITION BY norm, norm2 ORDER BY doc_id, no) AS nth FROM b WHERE norm2 IS NOT NULL OR n = 1),
