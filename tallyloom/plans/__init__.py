@@ -1,6 +1,6 @@
 """Queries over whole tables. Importing this package registers them."""
 
-from tallyloom.plans import packs
+from tallyloom.plans import documents, packs
 from tallyloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "packs"]
+__all__ = ["ORACLES", "QUERIES", "documents", "packs"]
