@@ -1,6 +1,6 @@
 """Queries over whole tables. Importing this package registers them."""
 
-from tallyloom.plans import documents, packs, returns
+from tallyloom.plans import documents, evidence, packs, returns
 from tallyloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "documents", "packs", "returns"]
+__all__ = ["ORACLES", "QUERIES", "documents", "evidence", "packs", "returns"]
