@@ -4,7 +4,7 @@ Every window of 64 bytes has an entropy. Windows of improbable entropy, far from
 of text have, rank first; those of very low entropy, such as padding, rank nowhere. A window that is
 the first of its neighbourhood for enough neighbourhoods becomes a feature. Features go into a chain
 of Bloom filters, each of a fixed size and a fixed number of features. Two chains are compared filter
-by filter: the bits that both have, less those that chance gives, over the most that they could have.
+by filter: the bits that both have, less those that chance gives, over the most that the fuller one has.
 """
 
 from __future__ import annotations
@@ -165,7 +165,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     x, y = np.unpackbits(a, axis=1).astype(np.float32), np.unpackbits(b, axis=1).astype(np.float32)
     both, nx, ny = x @ y.T, x.sum(axis=1)[:, None], y.sum(axis=1)[None, :]
     chance = nx * ny / (FILTER_BYTES * 8)
-    most = np.minimum(nx, ny)
+    most = np.maximum(nx, ny)  # not the smaller: the few bits of a tiny text lie in most full filters by chance
     best = np.clip((both - chance) / np.maximum(most - chance, 1e-6), 0, 1).max(axis=1)
     weight = nx[:, 0]
     return float((best * weight).sum() / weight.sum())
