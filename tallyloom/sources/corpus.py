@@ -19,7 +19,7 @@ KINDS = [
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """path, company (the file's name without FS_ and from _FY on) and text of every markdown file below a folder."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     name = F.regexp_replace(F.element_at(F.split("__path", "/"), -1), r"\.md$", "")
     company = F.regexp_replace(F.regexp_replace(name, "^FS_", ""), "_FY.*$", "")
     return files.withColumn("__path", F.col("_metadata.file_path")).select(F.col("__path").alias("path"), company.alias("company"), F.col("value").alias("text"))
