@@ -1,6 +1,6 @@
 """Queries over whole tables. Importing this package registers them."""
 
-from tallyloom.plans import documents, evidence, packs, returns, workbooks
+from tallyloom.plans import documents, evidence, packs, returns, text_fields, workbooks
 from tallyloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "documents", "evidence", "packs", "returns", "workbooks"]
+__all__ = ["ORACLES", "QUERIES", "documents", "evidence", "packs", "returns", "text_fields", "workbooks"]
