@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 #: The bitmap has two levels, of words of 256 bits: below for the ranks, above for the words below.
 SHIFT, MASK = 8, 255
 #: Encoded pre-tokens that a task remembers in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Characters beyond which a pre-token is not remembered.
 LONG = 64
 

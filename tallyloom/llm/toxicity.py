@@ -81,21 +81,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray) -> Model:
-    """From the text number and feature of each distinct feature, and the label of each text."""
+def fit(features_: list[np.ndarray], toxic: np.ndarray) -> Model:
+    """From the distinct features of each text and its label. Counting goes text by text; only entries of used features are laid out at once."""
     size, n = 1 << BITS, np.array([(~toxic).sum(), toxic.sum()])
     if not n.all():
         # one class only, or no label at all: no text says anything, and the bias says that class
         return Model(np.zeros(size, dtype=np.float32), 5.0 if n[1] else -5.0)
-    in_toxic = np.bincount(cols[toxic[rows]], minlength=size)
-    in_all = np.bincount(cols, minlength=size)
+    in_toxic, in_all = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+    for f, label in zip(features_, toxic, strict=True):
+        in_all[f] += 1
+        if label:
+            in_toxic[f] += 1
     ratio = np.log((in_toxic + 1) / (n[1] + 2)) - np.log((in_all - in_toxic + 1) / (n[0] + 2))
     error = np.sqrt(1 / (in_toxic + 1) + 1 / (in_all - in_toxic + 1))
     used = np.flatnonzero((in_all >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_Z * error))
-    place = np.full(size, -1)
+    place = np.full(size, -1, dtype=np.int32)
     place[used] = np.arange(len(used))
-    mine = place[cols] >= 0
-    rows, cols = rows[mine], place[cols[mine]]
+    kept = [c[c >= 0] for c in (place[f] for f in features_)]
+    rows, cols = np.repeat(np.arange(len(kept), dtype=np.int32), [len(c) for c in kept]), np.concatenate(kept)
     scale = ratio[used]
     x = scale[cols]
     share = np.where(toxic, 0.5 / n[1], 0.5 / n[0])  # either class counts as much
@@ -138,16 +141,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(packed, pa.binary())], names=["toxic", "features"])
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, cols = [], []
+        toxic, each = [], []
         for b in batches:
             toxic += b.column(0).to_pylist()
-            cols += [np.frombuffer(x, dtype=np.int32) for x in b.column(1).to_pylist()]
-        rows = np.repeat(np.arange(len(cols)), [len(c) for c in cols]) if cols else np.zeros(0, dtype=np.int64)
-        model = fit(rows, np.concatenate(cols) if cols else rows, np.array(toxic, dtype=bool))
+            each += [np.frombuffer(x, dtype=np.int32) for x in b.column(1).to_pylist()]
+        model = fit(each, np.array(toxic, dtype=bool))
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.bias])], names=["weights", "bias"])
 
     made = texts.mapInArrow(counted, "toxic int, features binary").repartition(1).mapInArrow(fitted, "weights binary, bias double").collect()
-    return Model(np.frombuffer(bytes(made[0].weights), dtype=np.float32), made[0].bias) if made else fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+    return Model(np.frombuffer(bytes(made[0].weights), dtype=np.float32), made[0].bias) if made else fit([], np.zeros(0, dtype=bool))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
