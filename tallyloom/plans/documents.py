@@ -61,7 +61,8 @@ def a16_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
       {{'r': 'REFERS_TO_NOTE', 'n': n}}, {{'r': 'ROW_HAS_LABEL', 'n': n}}, {{'r': 'HEADER_FOR_COLUMN', 'n': 4}}, {{'r': 'BELONGS_TO', 'n': 21 + 6 * n}}]) AS u FROM sizes)""",
 )
 def d6_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.edges(tree.nodes(statements(spark, sf_dir))).groupBy("doc_id", "rel").agg(F.count("*").alias("n"))
+    # edges read the nodes several times: they are made once and kept, and made again where an executor is lost
+    return tree.edges(tree.nodes(statements(spark, sf_dir)).persist()).groupBy("doc_id", "rel").agg(F.count("*").alias("n"))
 
 
 @query(
