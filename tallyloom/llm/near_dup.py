@@ -5,10 +5,12 @@ pairs of one sub-key from either collection are its table keys. So 2 m width min
 keys of 2 width minhashes each; keys made one by one would take m * m * 2 width. Sets that share a
 key are candidates, and the full sets confirm each link.
 
-Equal sets are one node from the start. In a bucket no all-pairs join is made: in each of a few
-rounds, all members meet one pivot, the member of least priority, and only if the two are not yet
-in one component. What no pivot has linked meets pairwise, only across components and only in
-buckets that still hold several.
+Equal sets are one node from the start, and no bucket is joined with itself as a whole. First every
+member of a bucket meets only the bucket's pivot, the member of least priority. What lies within half
+of a pivot is one cluster, and of a cluster that the links leave in several parts, the parts are
+compared in blocks that give out links between parts only. Two members of a bucket in different
+clusters can only be similar if both are far from the pivot and about equally far (the triangle
+inequality of Jaccard distances); these few meet as pairs.
 
 With m = 14 and width = 3, a pair of similarity 0.8 shares no key with a probability of 0.00009, one
 of 0.9 with less than 0.0000001.
@@ -28,9 +30,13 @@ from tallyloom.llm.components import components
 from tallyloom.llm.scratch import Scratch
 from tallyloom.llm.words import mix64, shingle_set, word_hashes
 
-SUB_KEYS, WIDTH, ROUNDS = 14, 3, 3
+SUB_KEYS, WIDTH = 14, 3
+#: Nodes of one side of a block, and shingles of a block that are counted at once.
+BLOCK_NODES, BLOCK_SHINGLES = 400, 8192
+#: Members of one pivot that are measured together.
+HOME_NODES = 2000
 #: Texts hashed together, in bytes, and nodes whose keys are dealt out together.
-TEXT_BYTES, KEY_NODES = 4_000_000, 1000
+TEXT_BYTES, KEY_NODES = 2_000_000, 1000
 _NO_ID = -(2**63)
 
 
@@ -110,14 +116,17 @@ def _dealt(nodes: DataFrame, m: int, parts: int) -> DataFrame:
     return nodes.select("node", "n_shingles", "sub_keys").mapInArrow(run, "part int, keys binary, nodes binary, sizes binary")
 
 
+def _reach(percent: int) -> float:
+    return 64 * float(np.log2(100 / percent)) + 1.5
+
+
 def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Sizes in 64ths of a power of two: could sets of these sizes be similar enough?"""
-    return np.abs(a.astype(np.int32) - b) <= 64 * np.log2(100 / percent) + 1.5
+    return np.abs(a.astype(np.int32) - b) <= _reach(percent)
 
 
-def _buckets(dealt: DataFrame, percent: int, rounds: int) -> DataFrame:
-    """Members of all buckets that hold several nodes: bucket, node, size and the pivot of each round (null: the node itself, or too unlike in size)."""
-    pivots = [f"pivot{r}" for r in range(rounds)]
+def _buckets(dealt: DataFrame, percent: int) -> DataFrame:
+    """Members of all buckets that hold several nodes: bucket, node, size and pivot (null: too unlike in size)."""
 
     def members(part: int, rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch | None:
         keys, ids, size = (np.frombuffer(b"".join(x), dtype=t) for x, t in zip(zip(*rows, strict=True), (np.uint32, np.int64, np.int16), strict=True))
@@ -132,11 +141,10 @@ def _buckets(dealt: DataFrame, percent: int, rounds: int) -> DataFrame:
         columns = [pa.array(keys.astype(np.int64) | (part << 32)), pa.array(ids), pa.array(size.astype(np.int32))]
         starts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
         counts = np.diff(np.concatenate((starts, [len(run)])))
-        for r in range(rounds):
-            rank = np.lexsort((mix64(ids.view(np.uint64) + np.uint64(r)), run))[starts]  # the first of each run by priority
-            pivot = np.repeat(rank, counts)
-            columns.append(pa.array(ids[pivot], mask=(ids[pivot] == ids) | ~_alike(size[pivot], size, percent)))
-        return pa.RecordBatch.from_arrays(columns, names=["bucket", "node", "size", *pivots])
+        rank = np.lexsort((mix64(ids.view(np.uint64)), run))[starts]  # the first of each run by priority
+        pivot = np.repeat(rank, counts)
+        columns.append(pa.array(ids[pivot], mask=~_alike(size[pivot], size, percent)))
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "node", "size", "pivot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = -1, []
@@ -151,30 +159,128 @@ def _buckets(dealt: DataFrame, percent: int, rounds: int) -> DataFrame:
         if rows and (out := members(now, rows)) is not None:
             yield out
 
-    schema = "bucket long, node long, size int, " + ", ".join(f"{p} long" for p in pivots)
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, "bucket long, node long, size int, pivot long")
+
 
+def _measured(stars: DataFrame, sets: DataFrame, partitions: int) -> DataFrame:
+    """a, b and the sizes of the intersection and the union of their full sets, for rows of a pivot a, a member b and n, the number of buckets that they share.
+
+    A member's set goes once to its home, the pivot that it shares most buckets with, and meets all
+    its pivots there; most members of a group have one home. A home with very many members is dealt
+    out in parts of about HOME_NODES, each with a copy of the few pivots.
+    """
+    member = stars.groupBy("b").agg(F.collect_list("a").alias("pivots"), F.max_by("a", F.struct("n", "a")).alias("home"))
+    parts = member.groupBy("home").agg(F.ceil(F.count("*") / F.lit(float(HOME_NODES))).cast("int").alias("parts"))
+    member = member.join(parts, "home").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    pivot = member.select("home", "parts", F.explode("pivots").alias("a")).distinct()
+    none = F.array().cast("array<long>")
+    first = pivot.join(sets, F.col("a") == F.col("node")).select("home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), "node", none.alias("pivots"), "shingles")
+    then = member.join(sets, F.col("b") == F.col("node")).select("home", "part", F.lit(True).alias("member"), "node", "pivots", "shingles")
+    dealt = first.union(then).repartition(partitions, "home", "part").sortWithinPartitions("home", "part", "member")
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, with their labels la, lb) whose full sets are similar enough."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, {}
+        for batch in batches:
+            out = []
+            for home, part, is_member, node, pivots, shingles in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if (home, part) != now:
+                    now, known = (home, part), {}
+                s = np.frombuffer(shingles, dtype=np.uint64)
+                if not is_member:
+                    known[node] = s
+                    continue
+                for a in pivots:
+                    both = np.concatenate((known[a], s))
+                    both.sort()
+                    common = int((both[1:] == both[:-1]).sum())
+                    out.append((a, node, common, len(both) - common))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b", "common", "union"])
+
+    return dealt.mapInArrow(run, "a long, b long, common long, union long")
+
+
+def _counts(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set with each other set, as a matrix."""
+    values, place = np.unique(np.concatenate([*sets, *others]), return_inverse=True)
+    row = np.repeat(np.arange(len(sets) + len(others)), [len(x) for x in (*sets, *others)])
+    left = row < len(sets)
+    shared = (np.bincount(place[left], minlength=len(values)) > 0) & (np.bincount(place[~left], minlength=len(values)) > 0)
+    number = np.cumsum(shared) - 1
+    keep = shared[place]
+    row, place, left = row[keep], number[place[keep]], left[keep]
+    out = np.zeros((len(sets), len(others)), dtype=np.float32)
+    order = np.argsort(place, kind="stable")
+    row, place, left = row[order], place[order], left[order]
+    for at in range(0, int(shared.sum()), BLOCK_SHINGLES):
+        lo, hi = np.searchsorted(place, (at, at + BLOCK_SHINGLES))
+        r, p, side = row[lo:hi], place[lo:hi] - at, left[lo:hi]
+        x, y = (np.zeros((n, BLOCK_SHINGLES), dtype=np.float32) for n in out.shape)
+        x[r[side], p[side]] = 1
+        y[r[~side] - len(sets), p[~side]] = 1
+        out += x @ y.T
+    return out
+
+
+def _across(clusters: DataFrame, sets: DataFrame, percent: int, partitions: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between labels of one cluster, from rows of cluster, label and node.
+
+    The nodes of clusters in several parts are few as a rule. They are written first, so that Spark
+    knows their size and only deals out the sets where they are many.
+
+    The cluster's most frequent label need not be compared with itself. The nodes of the others and
+    its own are cut into blocks, and every pair of blocks with a node of the others is one group of
+    at most about 2 x BLOCK_NODES nodes.
+    """
+    sizes = clusters.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    blocks = lambda n: F.ceil(n / F.lit(float(BLOCK_NODES))).cast("int")
+    of = (
+        sizes.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
+        .filter(F.col("n") > F.col("main.n"))
+        .select(F.col("cluster").alias("of"), F.col("main.label").alias("main"), blocks(F.col("main.n")).alias("many"), blocks(F.col("n") - F.col("main.n")).alias("few"))
+    )
+    placed = (
+        clusters.join(of, F.col("cluster") == F.col("of"))
+        .withColumn("is_main", F.col("label") == F.col("main"))
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("many")).otherwise(F.col("few"))).cast("int"))
+        .select("node", "label", "cluster", "is_main", "many", "few", "block")
+    )
+    placed = scratch.save(placed, "parted")
+    place = lambda kind, x, y, left: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), left.alias("left"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = F.col("block")
+    of_main = F.transform(upto("few"), lambda i: place(1, i, own, F.lit(False)))
+    among_few = F.transform(upto("few"), lambda i: place(0, F.least(i, own), F.greatest(i, own), own <= i))
+    to_main = F.transform(upto("many"), lambda i: place(1, own, i, F.lit(True)))
+    groups = placed.join(sets, "node").withColumn("at", F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(among_few, to_main))))
+    dealt = groups.select("cluster", "at.kind", "at.x", "at.y", "at.left", "label", "shingles").repartition(partitions, "cluster", "kind", "x", "y").sortWithinPartitions("cluster", "kind", "x", "y")
+
+    def linked(group: list[tuple[bool, int, bytes]]) -> pa.RecordBatch:
+        sides = [[(label, np.frombuffer(s, dtype=np.uint64)) for side, label, s in group if side == left] for left in (True, False)]
+        one, other = sides[0], sides[1] or sides[0]
+        common = _counts([s for _, s in one], [s for _, s in other]).astype(np.int64) if one else np.zeros((0, len(other)), dtype=np.int64)
+        total = np.array([len(s) for _, s in one], dtype=np.int64)[:, None] + np.array([len(s) for _, s in other], dtype=np.int64)[None, :]
+        la, lb = np.array([x for x, _ in one], dtype=np.int64), np.array([x for x, _ in other], dtype=np.int64)
+        i, j = np.nonzero((100 * common >= percent * (total - common)) & (la[:, None] != lb[None, :]))
+        found = np.unique(np.stack((np.minimum(la[i], lb[j]), np.maximum(la[i], lb[j])), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group = None, []
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = np.concatenate((x, y))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["la", "lb"]).filter(pa.array(keep, pa.bool_()))
+            for *key, left, label, shingles in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                if key != now:
+                    if group:
+                        yield linked(group)
+                    now, group = key, []
+                group.append((left, label, shingles))
+        if group:
+            yield linked(group)
 
-    of = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}"))
-    # the pivot a is the one that many pairs share; its set joins last, where Spark splits a hot key
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("la", "lb", "sa", "sb").mapInArrow(run, "la long, lb long")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, m: int = SUB_KEYS, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, m: int = SUB_KEYS, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of documents.
 
     A-Z are lower-cased and words are runs of anything but ASCII white space; a row's set has the
@@ -193,9 +299,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, m: int = SUB
     nodes = scratch.save(filled.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("sub_keys").alias("sub_keys")), "nodes")
 
     dealt = _dealt(nodes, m, 4 * partitions).repartition(partitions, "part").sortWithinPartitions("part")
-    buckets = scratch.save(_buckets(dealt, percent, rounds), "buckets")
-
-    members = buckets.select("node").distinct()
+    buckets = scratch.save(_buckets(dealt, percent), "buckets")
+    members = scratch.save(buckets.select("node").distinct(), "members")
     wanted = nodes.join(members, "node", "left_semi").select(F.coalesce("first_id", F.lit(_NO_ID)).alias("wanted_id")).distinct()
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("wanted_id"), "text").join(wanted, "wanted_id")
 
@@ -204,30 +309,35 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, m: int = SUB
             made = [(node_of(s), s.tobytes()) for _, s in _sets(b, 0, n) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.binary())], names=["node", "shingles"])
 
+    # rows of one id with other texts may add nodes here that nothing asks for
     sets = scratch.save(texts.select("text").mapInArrow(with_sets, "node long, shingles binary"), "sets")
-    labels = members.select("node", F.col("node").alias("label"))
-
-    def linked(pairs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
-        """Labels after the links among pairs (a, b) of different labels."""
-        of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
-        apart = pairs.join(of("a"), "a").join(of("b"), "b").filter("la <> lb")
-        edges = scratch.save(_confirmed(apart, sets, percent).distinct(), f"links-{name}")
-        joined = components(edges.toDF("a", "b"), scratch, f"joined-{name}").toDF("label", "least")
-        return scratch.save(labels.join(joined, "label", "left").select("node", F.coalesce("least", "label").alias("label")), f"labels-{name}")
-
-    for r in range(rounds):
-        pairs = buckets.filter(f"pivot{r} is not null").select(F.col(f"pivot{r}").alias("a"), F.col("node").alias("b")).distinct()
-        labels = linked(pairs, labels, str(r))
-
-    labelled = buckets.select("bucket", "node", "size").join(labels, "node")
-    still = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-    rest = scratch.save(labelled.join(still, "bucket", "left_semi"), "rest")
-    left, right = rest.toDF("bucket", "a", "sa", "xa"), rest.toDF("bucket", "b", "sb", "xb")
-    reach = float(64 * np.log2(100 / percent) + 1.5)
-    pairs = left.join(right, "bucket").filter(F.col("xa") < F.col("xb")).filter(F.abs(F.col("sa") - F.col("sb")) <= reach).select("a", "b").distinct()
-    labels = linked(pairs, labels, "rest")
-
-    grouped = labels.join(nodes.select("node", "first_id"), "node")
+
+    similar = F.lit(100) * F.col("common") >= F.lit(percent) * F.col("union")
+    stars = buckets.filter("pivot <> node").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
+    measured = scratch.save(_measured(stars, sets, partitions), "measured")
+    linked = components(measured.filter(similar).select("a", "b"), scratch, "linked")
+    near = components(measured.filter(F.lit(2) * F.col("common") >= F.col("union")).select("a", "b"), scratch, "near")
+    placed = members.join(linked, "node", "left").join(near.withColumnRenamed("label", "cluster"), "node", "left")
+    placed = scratch.save(placed.select("node", F.coalesce("label", "node").alias("label"), F.coalesce("cluster", "node").alias("cluster")), "placed")
+    across = _across(placed, sets, percent, partitions, scratch)
+
+    # two similar members of a bucket in different clusters: one is further than 0.5 from the pivot, the other within reach of that
+    reach = 1 - percent / 100 + 1e-9
+    apart = measured.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("common") / F.col("union")).alias("d"))
+    d = F.when(F.col("pivot") == F.col("node"), 0.0).otherwise(F.col("d"))
+    far = scratch.save(buckets.join(apart, ["pivot", "node"], "left").withColumn("d", d).filter(f"d is null or d >= {0.5 - reach}").join(placed, "node").select("bucket", "node", "size", "label", "cluster", "d"), "far")
+    several = far.groupBy("bucket").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).filter("lo <> hi").select("bucket")
+    far = far.join(several, "bucket", "left_semi")
+    left, right = far.toDF("bucket", "a", "sa", "la", "ca", "da"), far.toDF("bucket", "b", "sb", "lb", "cb", "db")
+    close = (F.col("ca") != F.col("cb")) & (F.abs(F.col("sa") - F.col("sb")) <= _reach(percent)) & F.coalesce(F.abs(F.col("da") - F.col("db")) <= reach, F.lit(True))
+    # few as a rule: written first, so that Spark knows their size
+    pairs = scratch.save(left.join(right, "bucket").filter((F.col("a") < F.col("b")) & close).groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
+    of = lambda end: placed.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
+    rest = _measured(pairs, sets, partitions).filter(similar).join(of("a"), "a").join(of("b"), "b").select("la", "lb")
+    joined = components(across.union(rest).toDF("a", "b"), scratch, "joined").toDF("label", "least")
+
+    grouped = placed.select("node", "label").join(joined, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+    grouped = scratch.save(grouped.join(nodes.select("node", "first_id"), "node"), "grouped")
     least = grouped.groupBy("label").agg(F.min("first_id").alias("least_id"))
     final = nodes.select("node", "first_id").join(grouped.join(least, "label").select("node", "least_id"), "node", "left")
     final = final.select("node", F.coalesce("least_id", "first_id").alias("component_id"))
