@@ -117,16 +117,16 @@ def _dealt(nodes: DataFrame, m: int, parts: int) -> DataFrame:
 
 
 def _reach(percent: int) -> float:
+    """How far apart sizes of similar sets can be, in 64ths of a power of two."""
     return 64 * float(np.log2(100 / percent)) + 1.5
 
 
-def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Sizes in 64ths of a power of two: could sets of these sizes be similar enough?"""
-    return np.abs(a.astype(np.int32) - b) <= _reach(percent)
+def _buckets(dealt: DataFrame) -> DataFrame:
+    """Members of all buckets that hold several nodes: bucket, node, size and pivot.
 
-
-def _buckets(dealt: DataFrame, percent: int) -> DataFrame:
-    """Members of all buckets that hold several nodes: bucket, node, size and pivot (null: too unlike in size)."""
+    A member much larger or smaller than its pivot has one too: the distance between them is what
+    tells which members of the bucket may be similar to it.
+    """
 
     def members(part: int, rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch | None:
         keys, ids, size = (np.frombuffer(b"".join(x), dtype=t) for x, t in zip(zip(*rows, strict=True), (np.uint32, np.int64, np.int16), strict=True))
@@ -143,7 +143,7 @@ def _buckets(dealt: DataFrame, percent: int) -> DataFrame:
         counts = np.diff(np.concatenate((starts, [len(run)])))
         rank = np.lexsort((mix64(ids.view(np.uint64)), run))[starts]  # the first of each run by priority
         pivot = np.repeat(rank, counts)
-        columns.append(pa.array(ids[pivot], mask=~_alike(size[pivot], size, percent)))
+        columns.append(pa.array(ids[pivot]))
         return pa.RecordBatch.from_arrays(columns, names=["bucket", "node", "size", "pivot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, m: int = SUB
     nodes = scratch.save(filled.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("sub_keys").alias("sub_keys")), "nodes")
 
     dealt = _dealt(nodes, m, 4 * partitions).repartition(partitions, "part").sortWithinPartitions("part")
-    buckets = scratch.save(_buckets(dealt, percent), "buckets")
+    buckets = scratch.save(_buckets(dealt), "buckets")
     members = scratch.save(buckets.select("node").distinct(), "members")
     wanted = nodes.join(members, "node", "left_semi").select(F.coalesce("first_id", F.lit(_NO_ID)).alias("wanted_id")).distinct()
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("wanted_id"), "text").join(wanted, "wanted_id")
@@ -325,11 +325,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, m: int = SUB
     reach = 1 - percent / 100 + 1e-9
     apart = measured.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("common") / F.col("union")).alias("d"))
     d = F.when(F.col("pivot") == F.col("node"), 0.0).otherwise(F.col("d"))
-    far = scratch.save(buckets.join(apart, ["pivot", "node"], "left").withColumn("d", d).filter(f"d is null or d >= {0.5 - reach}").join(placed, "node").select("bucket", "node", "size", "label", "cluster", "d"), "far")
+    far = scratch.save(buckets.join(apart, ["pivot", "node"], "left").withColumn("d", d).filter(f"d >= {0.5 - reach}").join(placed, "node").select("bucket", "node", "size", "label", "cluster", "d"), "far")
     several = far.groupBy("bucket").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).filter("lo <> hi").select("bucket")
     far = far.join(several, "bucket", "left_semi")
     left, right = far.toDF("bucket", "a", "sa", "la", "ca", "da"), far.toDF("bucket", "b", "sb", "lb", "cb", "db")
-    close = (F.col("ca") != F.col("cb")) & (F.abs(F.col("sa") - F.col("sb")) <= _reach(percent)) & F.coalesce(F.abs(F.col("da") - F.col("db")) <= reach, F.lit(True))
+    close = (F.col("ca") != F.col("cb")) & (F.abs(F.col("sa") - F.col("sb")) <= _reach(percent)) & (F.abs(F.col("da") - F.col("db")) <= reach)
     # few as a rule: written first, so that Spark knows their size
     pairs = scratch.save(left.join(right, "bucket").filter((F.col("a") < F.col("b")) & close).groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
     of = lambda end: placed.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))

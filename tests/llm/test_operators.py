@@ -243,6 +243,19 @@ def test_near_duplicates_against_brute_force(spark, n):
     assert got == brute_components(rows, n)
 
 
+def test_near_duplicates_of_sizes_unlike_the_pivots(spark):
+    # x is similar to 300 of its subsets and to one text around it, which no subset is similar to
+    rng = random.Random(12)
+    rows, i = [], 0
+    for _ in range(3):
+        x = [w + str(k) for k, w in enumerate(words(rng, 120).split())]
+        group = [x + [w + str(-k - 1) for k, w in enumerate(words(rng, 25).split())], x] + [rng.sample(x, 100) for _ in range(300)]
+        rows += [(i + k, " ".join(w)) for k, w in enumerate(group)]
+        i += 1000
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs(spark, rows).repartition(4), n=1).collect()}
+    assert got == {k: k // 1000 * 1000 for k, _ in rows}
+
+
 def test_near_duplicates_edge_cases(spark):
     got = near_dup.near_duplicates(docs(spark, EDGE)).collect()
     assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == Counter({(1, 1, True): 1, (2, 2, True): 1, (3, 3, True): 1, (4, 4, True): 2, (None, 4, False): 1, (5, 5, True): 1})
