@@ -2,9 +2,12 @@
 
 A unit is a line, cut at sentence ends, and a sentence of many words cut again after words that their
 own hash picks, so that a passage inside a longer line is cut alike wherever it stands. Units are
-normalised (A-Z lower-cased, white space ignored) and hashed. Equal units are grouped over all
-documents, the earliest by doc_id and place stays and the others are marked. Runs of marked units with
-enough words are removed; their offsets in the original text stay with the document.
+normalised (A-Z lower-cased, white space ignored) and hashed. Besides, of every few windows of GRAM
+words that follow each other the one of least hash is a unit as well (winnowing): it depends on no
+words around them, so a passage that stands anywhere in two documents has the same of these units in
+both, and they cover it but for at most NEXT - 1 words at either end. Equal units are grouped over all
+documents, the earliest by doc_id and place stays and the others are marked. Runs of words in marked
+units, if they are enough, are removed; their offsets in the original text stay with the document.
 """
 
 from __future__ import annotations
@@ -22,15 +25,40 @@ from tallyloom.llm.words import mix64, prefix_hashes, word_spans
 UNIT_WORDS, SENTENCE_WORDS, RUN_WORDS = 4, 16, 25
 #: One word in so many ends a unit of a long sentence.
 CUT = 8
+#: Words of a window, and windows of which the one of least hash is a unit. A passage of n words keeps at least
+#: n - 2 (NEXT - 1) words in marked units without a gap, as NEXT <= GRAM; with NEXT < GRAM no window lies in two texts.
+GRAM, NEXT = 8, 6
 TEXT_BYTES = 4_000_000
 
 
+def _grams(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first words of the chosen windows of GRAM words, and the windows' hashes."""
+    n = len(words) - GRAM + 1
+    if n < 1:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    at = np.arange(n)
+    h = mix64(prefix_hashes(words, at, at + GRAM) ^ np.uint64(0x6A09E667F3BCC909))  # never the hash of a line of the same words
+    of = np.searchsorted(bounds, at, side="right")
+    whole = at + GRAM <= bounds[of]
+    most = np.uint64(2**64 - 1)
+    # windows over the edge of a text are never the least, and the places before and behind the texts are such
+    wide = np.concatenate((np.full(NEXT - 1, most), np.where(whole, np.minimum(h, most - np.uint64(1)), most), np.full(NEXT - 1, most)))
+    least = np.lib.stride_tricks.sliding_window_view(wide, NEXT).argmin(axis=1) + np.arange(len(wide) - NEXT + 1) - (NEXT - 1)
+    chosen = np.unique(np.clip(least, 0, n - 1))
+    chosen = chosen[whole[chosen]]
+    return chosen, h[chosen]
+
+
 class Units:
-    """Units of several texts: which text, first and last byte in it, number of words and hash."""
+    """Units of several texts: which text, number in it, first word in all texts, number of words and hash.
+
+    A text's lines and sentences come first, in its order, then its chosen windows, which overlap these
+    and each other. starts and ends: of all words, in bytes of all texts, each with one byte behind it.
+    """
 
     def __init__(self, texts: list[bytes]):
-        raw, words, starts, ends, bounds = word_spans(texts)
-        n = len(words)
+        raw, words, self.starts, self.ends, bounds = word_spans(texts)
+        starts, ends, n = self.starts, self.ends, len(words)
         last = raw[ends - 1]
         cut = (last == 46) | (last == 33) | (last == 63)  # . ! ?
         breaks = np.concatenate(([0], np.cumsum(raw == 10)))
@@ -42,11 +70,13 @@ class Units:
         cut |= (np.repeat(sizes, sizes) > SENTENCE_WORDS) & (words % np.uint64(CUT) == 0)
         stops = np.flatnonzero(cut)
         first = np.concatenate(([0], stops[:-1] + 1)) if len(stops) else stops
-        self.words = stops - first + 1
-        self.hash = prefix_hashes(words, first, stops + 1)
-        self.text = np.searchsorted(bounds[1:], first, side="right")
-        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        self.start, self.end = starts[first] - begin[self.text], ends[stops] - begin[self.text]
+        gram, gram_hash = _grams(words, bounds)
+        size = np.concatenate((stops - first + 1, np.full(len(gram), GRAM)))
+        all_hash = np.concatenate((prefix_hashes(words, first, stops + 1), gram_hash))
+        first = np.concatenate((first, gram))
+        text = np.searchsorted(bounds[1:], first, side="right")
+        order = np.argsort(text, kind="stable")
+        self.text, self.first, self.words, self.hash = text[order], first[order], size[order], all_hash[order]
         self.no = np.arange(len(first)) - np.searchsorted(self.text, self.text)
 
 
@@ -149,23 +179,22 @@ def cut_runs(text: str, marks: list[int], run_words: int) -> tuple[str, list[dic
     raw = text.encode()
     u = Units([raw])
     marked = {m >> 32: m & 0xFFFFFFFF for m in marks}
-    hit = [marked.get(i) == (int(h) & 0xFFFFFFFF) for i, h in enumerate(u.hash.tolist())]
-    spans, i, n = [], 0, len(hit)
-    while i < n:
-        if not hit[i]:
-            i += 1
-            continue
-        j = last = i
-        words = 0
-        # units too short to be hashed do not break a run, but never end it
-        while j < n and (hit[j] or u.words[j] < UNIT_WORDS):
-            words += int(u.words[j])
-            if hit[j]:
-                last, total = j, words
-            j += 1
-        if total >= run_words:
-            spans.append((int(u.start[i]), int(u.end[last])))
-        i = j
+    hit = np.array([marked.get(i) == h for i, h in enumerate((u.hash & np.uint64(0xFFFFFFFF)).tolist())], dtype=bool)
+
+    def within(units: np.ndarray) -> np.ndarray:
+        edges = np.zeros(len(u.starts) + 1, dtype=np.int64)
+        np.add.at(edges, u.first[units], 1)
+        np.add.at(edges, u.first[units] + u.words[units], -1)
+        return np.cumsum(edges[:-1]) > 0
+
+    covered = within(hit)
+    # units too short to be hashed do not break a run, but never end it
+    run = np.diff(np.concatenate(([0], covered | within(u.words < UNIT_WORDS), [0])).astype(np.int8))
+    spans = []
+    for i, j in zip(np.flatnonzero(run == 1).tolist(), np.flatnonzero(run == -1).tolist(), strict=True):
+        inner = np.flatnonzero(covered[i:j])
+        if len(inner) and inner[-1] - inner[0] + 1 >= run_words:
+            spans.append((int(u.starts[i + inner[0]]), int(u.ends[i + inner[-1]])))
     if not spans:
         return text, []
     kept, at, out = [], 0, []
@@ -181,7 +210,8 @@ def dedup_substrings(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """doc_id, text without the repeated passages, and removed (start and end in code points of the original) for every row.
 
     A unit is marked if an equal one stands in a smaller doc_id, or earlier in the same text; runs of
-    marked units of at least ``run_words`` words are removed. Nothing is removed from null texts or
+    at least ``run_words`` words in marked units are removed. So any passage of ``run_words`` +
+    2 (NEXT - 1) words that stands earlier is, but for at most NEXT - 1 words at either end. Nothing is removed from null texts or
     rows without an id, and nothing is marked because of them. Rows of equal doc_id count as one
     document: they never mark each other's unit of the same number. An empty table gives an empty
     result; columns besides doc_id and text are not read.

@@ -194,6 +194,37 @@ def test_substrings_against_brute_force_and_planted(spark):
             assert len(got[i].text.split()) < len(text.split()) - 30
 
 
+def test_every_passage_of_over_50_words_goes_wherever_it_stands(spark):
+    rng = random.Random(13)
+    few = words(rng, 6).split()
+
+    def text(kind, n):
+        if kind == "few":  # the same words again and again
+            return [rng.choice(few) for _ in range(n)]
+        out = words(rng, n).split()
+        stop = {"plain": 0, "prose": 0.08, "lines": 0.15}[kind]
+        return [w + ("." if rng.random() < stop else "") for w in out]
+
+    rows, inside = [], {}
+    for k in range(240):
+        kind, n = ("plain", "prose", "lines", "few")[k % 4], 51 if k % 3 else 60
+        passage = text(kind, n)
+        for i in (k, 1000 + k):
+            before, after = (text(kind, rng.randint(0, 90)) for _ in range(2))
+            between = rng.choice([" ", "\n"]) if kind == "lines" else " "
+            rows.append((i, between.join(before + passage + after)))
+            inside[i] = (len(before), n)
+    got = {r.doc_id: r for r in substring_dedup.dedup_substrings(docs(spark, rows).repartition(4)).collect()}
+    original, most = dict(rows), 10
+    for i in range(1000, 1240):
+        at, n = inside[i]
+        flags = []
+        for s in got[i].removed:
+            lo = len(original[i][: s.start].split())
+            flags += range(lo, lo + len(original[i][s.start : s.end].split()))
+        assert len(set(flags) & set(range(at, at + n))) >= n - most, i
+
+
 def test_substrings_edge_cases(spark):
     got = substring_dedup.dedup_substrings(docs(spark, EDGE)).collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter((i, t) for i, t in EDGE if i != 5) + Counter([(5, r.text) for r in got if r.doc_id == 5])
