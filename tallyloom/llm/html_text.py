@@ -157,39 +157,59 @@ class Page:
                 drop = drop or not inside[up] and tag not in KEPT_WHOLE
             self.dropped.append(self.dropped[up] or (drop and not holds[i]))
 
-    def best(self) -> str | None:
-        """The path of the deepest container of at least 60 % of what the page says; links count little.
+    def _sums(self) -> tuple[list[float], list[int], list[int]]:
+        """For each element what it and those in it say: weight (links count little), characters, and those in links outside headings."""
+        weight, chars, linked = [0.0] * len(self.tags), [0] * len(self.tags), [0] * len(self.tags)
+        for x, text, links in self.blocks:
+            weight[x] += max(len(text) - links, 0) + 0.1 * min(links, len(text))
+            chars[x] += len(text)
+            linked[x] += 0 if re.fullmatch("h[1-6]", self.tags[x]) else min(links, len(text))
+        for i in range(len(self.tags) - 1, 0, -1):
+            up = self.parents[i]
+            weight[up] += weight[i]
+            chars[up] += chars[i]
+            linked[up] += linked[i]
+        return weight, chars, linked
 
-        It gives way to the container around it if that adds nothing but headings. None: no text.
+    def _around(self, x: int, chars: list[int], linked: list[int]) -> int:
+        """The whole article that an element is part of.
+
+        That is the nearest article or main around it; without these, the widest element below the
+        body of which no step outwards adds mostly links. What is marked as a menu, an advert and the
+        like is in no block and does not count.
         """
-        tags, parents = self.tags, self.parents
-        weight = [0.0] * len(tags)
-        other = [0.0] * len(tags)  # of text that is not a heading
-        for x, text, links in self.blocks:
-            w = max(len(text) - links, 0) + 0.1 * min(links, len(text))
-            weight[x] += w
-            if not re.fullmatch("h[1-6]", tags[x]):
-                other[x] += w
-        for i in range(len(tags) - 1, 0, -1):
-            weight[parents[i]] += weight[i]
-            other[parents[i]] += other[i]
+        at = x
+        while at > 0:
+            if self.tags[at] in ("article", "main"):
+                return at
+            at = self.parents[at]
+        at = x
+        while (up := self.parents[at]) > 0 and self.tags[up] not in ("html", "body"):
+            more = chars[up] - chars[at]
+            if 2 * (linked[up] - linked[at]) > more:
+                break
+            at = up
+            if more:
+                x = at
+        return x
+
+    def best(self) -> str | None:
+        """The path of the article around the deepest container of at least 60 % of what the page says; None: no text."""
+        weight, chars, linked = self._sums()
         if not weight[0]:
             return None
-        good = [i for i in range(1, len(tags)) if tags[i] in CONTAINER and weight[i] >= 0.6 * weight[0]]
-        if not good:
-            return ""
-        x = good[-1]
-        while (up := parents[x]) > 0 and other[up] == other[x] and tags[up] not in ("html", "body") and weight[up] > weight[x]:
-            x = up
-        return self.paths[x]
+        good = [i for i in range(1, len(self.tags)) if self.tags[i] in CONTAINER and weight[i] >= 0.6 * weight[0]]
+        return self.paths[self._around(good[-1], chars, linked)] if good else ""
 
     def text(self, path: str) -> str:
-        """The blocks below all elements of the path (all blocks, if it is empty), by one line end each."""
+        """The blocks of the articles around all elements of the path (all blocks, if it is empty), by one line end each."""
         if not path:
             return "\n".join(b for _, b, _ in self.blocks)
+        _, chars, linked = self._sums()
+        tops = {self._around(i, chars, linked) for i in range(1, len(self.tags)) if self.paths[i] == path and not self.dropped[i]}
         under = [False] * len(self.tags)
         for i in range(1, len(self.tags)):
-            under[i] = under[self.parents[i]] or self.paths[i] == path
+            under[i] = under[self.parents[i]] or i in tops
         return "\n".join(b for x, b, _ in self.blocks if under[x])
 
     def extract(self, paths: list[str]) -> str:

@@ -124,6 +124,23 @@ def test_votes_decide_where_a_page_is_odd(spark):
     assert got[9] == "tiny"
 
 
+def test_html_keeps_the_whole_article_around_the_largest_part(spark):
+    lead, rest = "lead " * 30, "rest " * 70
+    bodies = [
+        f"<article><p>{lead}</p><section>{rest}</section></article>",
+        f"<article><p>{lead}</p><blockquote>{rest}</blockquote></article>",
+        f"<main><p>{lead}</p><table><tr><td>{rest}</td></tr></table></main>",
+        f"<article><section class=a>{lead}</section><section class=b>{rest}</section></article>",
+        f"<div class=post><p>{lead}</p><div class=story>{rest}</div></div>",
+    ]
+    rows = [(i, f"http://h{i}.org/", f"<body><nav>menu</nav>{b}<div class=ad>buy</div></body>") for i, b in enumerate(bodies)]
+    # most pages of a host vote for the inner path
+    rows += [(10 + i, "http://i.org/", f"<body><div class=post><div class=story>{rest}</div></div></body>") for i in range(9)] + [(19, "http://i.org/", rows[4][2])]
+    got = {r.page_id: r.text for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    both = f"{lead.strip()}\n{rest.strip()}"
+    assert got == {i: rest.strip() if 10 <= i < 19 else both for i, _, _ in rows}
+
+
 # fingerprints
 
 
