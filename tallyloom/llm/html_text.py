@@ -243,7 +243,7 @@ def winning_paths(votes_: DataFrame, percent: int = 5) -> DataFrame:
 
 
 def extract_pages(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
-    """page_id, text and n_chars for every row: the article's blocks, in page order, one to a line.
+    """page_id, url, text and n_chars for every row: the article's blocks, in page order, one to a line.
 
     Character references are decoded and white space inside a block is one space. A null or empty
     page, and one that has only menus, adverts and the like, has an empty text. Of a host, the path
@@ -259,8 +259,8 @@ def extract_pages(pages: DataFrame, url: str = "url", source: str = "html") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [Page(x).extract(p or []) if x else "" for x, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "text", "n_chars"])
+            texts = [Page(x).extract(p or []) if x else "" for x, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = pages.join(paths, url_host(F.col("url")) == F.col("of"), "left").select("page_id", "html", "paths")
-    return joined.mapInArrow(run, "page_id long, text string, n_chars long")
+    joined = pages.join(paths, url_host(F.col("url")) == F.col("of"), "left").select("page_id", "url", "html", "paths")
+    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

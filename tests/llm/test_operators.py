@@ -141,6 +141,13 @@ def test_html_keeps_the_whole_article_around_the_largest_part(spark):
     assert got == {i: rest.strip() if 10 <= i < 19 else both for i, _, _ in rows}
 
 
+def test_html_rows_carry_their_url(spark):
+    rows = [(1, "http://h.org/1", "<p>a"), (2, None, "<p>b"), (3, "http://h.org/3", None)]
+    out = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    assert {r.page_id: r.url for r in out.collect()} == {i: u for i, u, _ in rows}
+
+
 # fingerprints
 
 
