@@ -12,6 +12,9 @@ compared in blocks that give out links between parts only. Two members of a buck
 clusters can only be similar if both are far from the pivot and about equally far (the triangle
 inequality of Jaccard distances); these few meet as pairs.
 
+What is measured in one place leaves it as a spanning forest: one edge for each member that a link
+newly joins, however many pivots it is similar to. So edges grow with the members of a group.
+
 With m = 14 and width = 3, a pair of similarity 0.8 shares no key with a probability of 0.00009, one
 of 0.9 with less than 0.0000001.
 """
@@ -37,6 +40,10 @@ BLOCK_NODES, BLOCK_SHINGLES = 400, 8192
 HOME_NODES = 2000
 #: Texts hashed together, in bytes, and nodes whose keys are dealt out together.
 TEXT_BYTES, KEY_NODES = 2_000_000, 1000
+#: Keys of one part of the key space, which a task holds at once (14 bytes each).
+PART_KEYS = 2_000_000
+#: What a row of _measured says: a link of the forest of similar sets, one of the forest of near sets, a distance.
+SIMILAR, NEAR, APART = 0, 1, 2
 _NO_ID = -(2**63)
 
 
@@ -72,13 +79,13 @@ def _factors(m: int, width: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, m: int, width: int) -> DataFrame:
-    """doc_id, node, n_shingles and sub_keys (2 m hashes, binary); an empty set has neither node nor sub-keys."""
+    """doc_id, text_hash, node, n_shingles and sub_keys (2 m hashes, binary); an empty set has neither node nor sub-keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = _factors(m, width)
         for b in batches:
             nodes, sizes, subs = [], [], []
-            for _, s in _sets(b, 1, n):
+            for _, s in _sets(b, 2, n):
                 nodes.append(node_of(s))
                 sizes.append(len(s))
                 if not len(s):
@@ -89,9 +96,9 @@ def signatures(docs: DataFrame, n: int, m: int, width: int) -> DataFrame:
                 for w in range(width):
                     key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + h[:, w])
                 subs.append(key.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(subs, pa.binary())], names=["doc_id", "node", "n_shingles", "sub_keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(subs, pa.binary())], names=["doc_id", "text_hash", "node", "n_shingles", "sub_keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, n_shingles long, sub_keys binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, node long, n_shingles long, sub_keys binary")
 
 
 def _dealt(nodes: DataFrame, m: int, parts: int) -> DataFrame:
@@ -162,29 +169,52 @@ def _buckets(dealt: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "bucket long, node long, size int, pivot long")
 
 
-def _measured(stars: DataFrame, sets: DataFrame, partitions: int) -> DataFrame:
-    """a, b and the sizes of the intersection and the union of their full sets, for rows of a pivot a, a member b and n, the number of buckets that they share.
+class _Forest:
+    """Which nodes of one place are joined already."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    def joins(self, a: int, b: int) -> bool:
+        """Join two nodes; were they apart?"""
+        a, b = self.root(a), self.root(b)
+        self.up[a] = b
+        return a != b
+
+
+def _measured(stars: DataFrame, sets: DataFrame, percent: int, apart: float, partitions: int, home_nodes: int) -> DataFrame:
+    """kind, a, b and d, from rows of a pivot a, a member b and n, the number of buckets that they share.
+
+    SIMILAR and NEAR rows are spanning forests, for each place, of the pairs that are similar and of
+    those with a distance of at most a half. APART rows are the pairs with a distance d of at least
+    ``apart``.
 
     A member's set goes once to its home, the pivot that it shares most buckets with, and meets all
     its pivots there; most members of a group have one home. A home with very many members is dealt
-    out in parts of about HOME_NODES, each with a copy of the few pivots.
+    out in parts of about ``home_nodes``, each with a copy of the pivots of its members.
     """
     member = stars.groupBy("b").agg(F.collect_list("a").alias("pivots"), F.max_by("a", F.struct("n", "a")).alias("home"))
-    parts = member.groupBy("home").agg(F.ceil(F.count("*") / F.lit(float(HOME_NODES))).cast("int").alias("parts"))
+    parts = member.groupBy("home").agg(F.ceil(F.count("*") / F.lit(float(home_nodes))).cast("int").alias("parts"))
     member = member.join(parts, "home").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    pivot = member.select("home", "parts", F.explode("pivots").alias("a")).distinct()
+    pivot = member.select("home", "part", F.explode("pivots").alias("a")).distinct()
     none = F.array().cast("array<long>")
-    first = pivot.join(sets, F.col("a") == F.col("node")).select("home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), "node", none.alias("pivots"), "shingles")
+    first = pivot.join(sets, F.col("a") == F.col("node")).select("home", "part", F.lit(False).alias("member"), "node", none.alias("pivots"), "shingles")
     then = member.join(sets, F.col("b") == F.col("node")).select("home", "part", F.lit(True).alias("member"), "node", "pivots", "shingles")
     dealt = first.union(then).repartition(partitions, "home", "part").sortWithinPartitions("home", "part", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, known = None, {}
+        now, known, similar, near = None, {}, _Forest(), _Forest()
         for batch in batches:
             out = []
             for home, part, is_member, node, pivots, shingles in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if (home, part) != now:
-                    now, known = (home, part), {}
+                    now, known, similar, near = (home, part), {}, _Forest(), _Forest()
                 s = np.frombuffer(shingles, dtype=np.uint64)
                 if not is_member:
                     known[node] = s
@@ -193,11 +223,18 @@ def _measured(stars: DataFrame, sets: DataFrame, partitions: int) -> DataFrame:
                     both = np.concatenate((known[a], s))
                     both.sort()
                     common = int((both[1:] == both[:-1]).sum())
-                    out.append((a, node, common, len(both) - common))
+                    union = len(both) - common
+                    d = 1 - common / union
+                    if 100 * common >= percent * union and similar.joins(a, node):
+                        out.append((SIMILAR, a, node, d))
+                    if 2 * common >= union and near.joins(a, node):
+                        out.append((NEAR, a, node, d))
+                    if d >= apart:
+                        out.append((APART, a, node, d))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b", "common", "union"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["kind", "a", "b", "d"])
 
-    return dealt.mapInArrow(run, "a long, b long, common long, union long")
+    return dealt.mapInArrow(run, "kind int, a long, b long, d double")
 
 
 def _counts(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
@@ -222,7 +259,7 @@ def _counts(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _across(clusters: DataFrame, sets: DataFrame, percent: int, partitions: int, scratch: Scratch) -> DataFrame:
+def _across(clusters: DataFrame, sets: DataFrame, percent: int, partitions: int, block_nodes: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) between labels of one cluster, from rows of cluster, label and node.
 
     The nodes of clusters in several parts are few as a rule. They are written first, so that Spark
@@ -230,10 +267,10 @@ def _across(clusters: DataFrame, sets: DataFrame, percent: int, partitions: int,
 
     The cluster's most frequent label need not be compared with itself. The nodes of the others and
     its own are cut into blocks, and every pair of blocks with a node of the others is one group of
-    at most about 2 x BLOCK_NODES nodes.
+    at most about 2 x ``block_nodes`` nodes.
     """
     sizes = clusters.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-    blocks = lambda n: F.ceil(n / F.lit(float(BLOCK_NODES))).cast("int")
+    blocks = lambda n: F.ceil(n / F.lit(float(block_nodes))).cast("int")
     of = (
         sizes.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
         .filter(F.col("n") > F.col("main.n"))
@@ -280,16 +317,11 @@ def _across(clusters: DataFrame, sets: DataFrame, percent: int, partitions: int,
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, m: int = SUB_KEYS, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of documents.
+def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, m: int = SUB_KEYS, width: int = WIDTH, block_nodes: int = BLOCK_NODES, home_nodes: int = HOME_NODES) -> DataFrame:
+    """doc_id, text_hash (xxhash64 of the text), n_shingles, group_id and component_id for every row of documents.
 
-    A-Z are lower-cased and words are runs of anything but ASCII white space; a row's set has the
-    distinct n-word shingles of its whole text, or of fewer words the whole sequence. Rows are
-    linked if 100 x intersection >= percent x union. component_id is the least doc_id that links
-    reach, and kept says that it is the row's own. A null text or one without words has the empty
-    set and no link, so its component is itself. Rows of equal doc_id are judged each by its own
-    text; a null doc_id is never a component's least unless all are null. An empty table gives an
-    empty result; columns besides doc_id and text are not read.
+    group_id is the same for rows that links connect, and null for a row without words; it tells
+    components apart where ids are null or repeated. For the rest see near_duplicates.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -298,7 +330,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, m: int = SUB
     filled = signed.filter("node is not null")
     nodes = scratch.save(filled.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("sub_keys").alias("sub_keys")), "nodes")
 
-    dealt = _dealt(nodes, m, 4 * partitions).repartition(partitions, "part").sortWithinPartitions("part")
+    parts = max(4 * partitions, -(-nodes.count() * m * m // PART_KEYS))
+    dealt = _dealt(nodes, m, parts).repartition(partitions, "part").sortWithinPartitions("part")
     buckets = scratch.save(_buckets(dealt), "buckets")
     members = scratch.save(buckets.select("node").distinct(), "members")
     wanted = nodes.join(members, "node", "left_semi").select(F.coalesce("first_id", F.lit(_NO_ID)).alias("wanted_id")).distinct()
@@ -312,20 +345,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, m: int = SUB
     # rows of one id with other texts may add nodes here that nothing asks for
     sets = scratch.save(texts.select("text").mapInArrow(with_sets, "node long, shingles binary"), "sets")
 
-    similar = F.lit(100) * F.col("common") >= F.lit(percent) * F.col("union")
+    # two similar members of a bucket in different clusters: one is further than 0.5 from the pivot, the other within reach of that
+    reach = 1 - percent / 100 + 1e-9
     stars = buckets.filter("pivot <> node").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
-    measured = scratch.save(_measured(stars, sets, partitions), "measured")
-    linked = components(measured.filter(similar).select("a", "b"), scratch, "linked")
-    near = components(measured.filter(F.lit(2) * F.col("common") >= F.col("union")).select("a", "b"), scratch, "near")
+    measured = scratch.save(_measured(stars, sets, percent, 0.5 - reach, partitions, home_nodes), "measured")
+    edges = lambda kind: measured.filter(F.col("kind") == kind).select("a", "b")
+    linked = components(edges(SIMILAR), scratch, "linked")
+    near = components(edges(NEAR), scratch, "near")
     placed = members.join(linked, "node", "left").join(near.withColumnRenamed("label", "cluster"), "node", "left")
     placed = scratch.save(placed.select("node", F.coalesce("label", "node").alias("label"), F.coalesce("cluster", "node").alias("cluster")), "placed")
-    across = _across(placed, sets, percent, partitions, scratch)
+    across = _across(placed, sets, percent, partitions, block_nodes, scratch)
 
-    # two similar members of a bucket in different clusters: one is further than 0.5 from the pivot, the other within reach of that
-    reach = 1 - percent / 100 + 1e-9
-    apart = measured.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("common") / F.col("union")).alias("d"))
-    d = F.when(F.col("pivot") == F.col("node"), 0.0).otherwise(F.col("d"))
-    far = scratch.save(buckets.join(apart, ["pivot", "node"], "left").withColumn("d", d).filter(f"d >= {0.5 - reach}").join(placed, "node").select("bucket", "node", "size", "label", "cluster", "d"), "far")
+    apart = measured.filter(F.col("kind") == APART).select(F.col("a").alias("pivot"), F.col("b").alias("node"), "d")
+    far = scratch.save(buckets.join(apart, ["pivot", "node"]).join(placed, "node").select("bucket", "node", "size", "label", "cluster", "d"), "far")
     several = far.groupBy("bucket").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).filter("lo <> hi").select("bucket")
     far = far.join(several, "bucket", "left_semi")
     left, right = far.toDF("bucket", "a", "sa", "la", "ca", "da"), far.toDF("bucket", "b", "sb", "lb", "cb", "db")
@@ -333,14 +365,54 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, m: int = SUB
     # few as a rule: written first, so that Spark knows their size
     pairs = scratch.save(left.join(right, "bucket").filter((F.col("a") < F.col("b")) & close).groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
     of = lambda end: placed.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
-    rest = _measured(pairs, sets, partitions).filter(similar).join(of("a"), "a").join(of("b"), "b").select("la", "lb")
+    rest = _measured(pairs, sets, percent, 2.0, partitions, home_nodes).filter(F.col("kind") == SIMILAR).join(of("a"), "a").join(of("b"), "b").select("la", "lb")
     joined = components(across.union(rest).toDF("a", "b"), scratch, "joined").toDF("label", "least")
 
     grouped = placed.select("node", "label").join(joined, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
     grouped = scratch.save(grouped.join(nodes.select("node", "first_id"), "node"), "grouped")
     least = grouped.groupBy("label").agg(F.min("first_id").alias("least_id"))
-    final = nodes.select("node", "first_id").join(grouped.join(least, "label").select("node", "least_id"), "node", "left")
-    final = final.select("node", F.coalesce("least_id", "first_id").alias("component_id"))
-    with_words = filled.select("doc_id", "n_shingles", "node").join(final, "node").select("doc_id", "n_shingles", "component_id")
-    without = signed.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return with_words.union(without).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    final = nodes.select("node", "first_id").join(grouped.join(least, "label").select("node", "label", "least_id"), "node", "left")
+    final = final.select("node", F.coalesce("label", "node").alias("group_id"), F.when(F.col("label").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id"))
+    with_words = filled.select("doc_id", "text_hash", "n_shingles", "node").join(final, "node").select("doc_id", "text_hash", "n_shingles", "group_id", "component_id")
+    without = signed.filter("node is null").select("doc_id", "text_hash", "n_shingles", F.lit(None).cast("long").alias("group_id"), F.col("doc_id").alias("component_id"))
+    return with_words.union(without)
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, m: int = SUB_KEYS, width: int = WIDTH, block_nodes: int = BLOCK_NODES, home_nodes: int = HOME_NODES) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of documents.
+
+    A-Z are lower-cased and words are runs of anything but ASCII white space; a row's set has the
+    distinct n-word shingles of its whole text, or of fewer words the whole sequence. Rows are
+    linked if 100 x intersection >= percent x union. component_id is the least doc_id that links
+    reach, and kept says that it is the row's own. A null text or one without words has the empty
+    set and no link, so its component is itself. Rows of equal doc_id are judged each by its own
+    text; a null doc_id is never a component's least unless all are null. An empty table gives an
+    empty result; columns besides doc_id and text are not read.
+    """
+    found = near_groups(docs, n, percent, m, width, block_nodes, home_nodes)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near copies, with all columns of docs.
+
+    That is the row of least doc_id (null last), and among rows of that id the one of least text
+    hash. Rows equal in id and text are one, and any of them stays. A null text, or one without
+    words, is near nothing: it stays, once for each id. An empty table gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession, "near-kept")
+    groups = near_groups(docs, n, percent)
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    # a row without words is a group of its own: its id and its text
+    own = F.when(F.col("group_id").isNull(), F.struct("doc_id", "text_hash"))
+    chosen = groups.groupBy("group_id", own.alias("own")).agg(F.min(first).alias("least"))
+    rows = groups.groupBy("doc_id", "text_hash").count().filter("count > 1").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    kept = scratch.save(chosen.select(F.col("least.doc_id").alias("id"), F.col("least.text_hash").alias("hash")).distinct(), "kept")
+    repeated = scratch.save(rows, "repeated")
+
+    def of(some: DataFrame, how: str) -> DataFrame:
+        return docs.join(some, docs["doc_id"].eqNullSafe(some["id"]) & (F.xxhash64(docs["text"]) == some["hash"]), how)
+
+    several = of(kept.join(repeated, kept["id"].eqNullSafe(repeated["id"]) & (kept["hash"] == repeated["hash"]), "left_semi"), "left_semi")
+    alone = kept.join(repeated, kept["id"].eqNullSafe(repeated["id"]) & (kept["hash"] == repeated["hash"]), "left_anti")
+    return of(alone, "left_semi").union(several.dropDuplicates(["doc_id", "text"]))
