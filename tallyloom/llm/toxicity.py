@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are its distinct n-grams of 3 to 5 bytes (A-Z lower-cased, white space as one
-kind), hashed. Each is scaled by the log of the ratio of its rates in toxic and other texts, and a
+A text's features are its distinct n-grams of 3 to 5 characters (code points; A-Z lower-cased,
+ASCII white space as one kind, and a space before and behind the text), hashed. Each is scaled by the log of the ratio of its rates in toxic and other texts, and a
 logistic regression with a quadratic penalty weighs them. It is fitted in one task on a bounded
 number of labelled rows of either class; scoring reads every whole text where it lies.
 """
@@ -24,38 +24,40 @@ SAMPLE = (2000, 3000)
 #: A feature is fitted if so many texts have it and its ratio is so many standard errors from none.
 LEAST_TEXTS, LEAST_Z = 10, 2.0
 PENALTY, STEPS, RATE = 1e-3, 120, 0.03
-TEXT_BYTES = 1_000_000
+#: Texts whose features are made together, in characters.
+TOGETHER = 300_000
 
-_FOLD = np.arange(256, dtype=np.uint64)
+_FOLD = np.arange(128, dtype=np.uint64)
 _FOLD[65:91] += np.uint64(32)
 _FOLD[9:14] = 32
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     start = 0
     while start < len(texts):
         end, size = start, 0
-        while end < len(texts) and (end == start or size + len(texts[end]) <= TEXT_BYTES):
+        while end < len(texts) and (end == start or size + len(texts[end]) <= TOGETHER):
             size += len(texts[end])
             end += 1
         yield start, end
         start = end
 
 
-def features(texts: list[bytes], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: list[str], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Text number and feature for each distinct feature of each text, sorted; only those that keep marks, if given."""
     found = []
     for start, end in _chunks(texts):
-        buf = _FOLD[np.frombuffer(b"".join(b" " + t + b" " for t in texts[start:end]), dtype=np.uint8)]
+        code = np.frombuffer("".join(f" {t} " for t in texts[start:end]).encode("utf-32-le"), dtype=np.uint32)
+        chars = np.where(code < 128, _FOLD[np.minimum(code, 127)], code)
         sizes = np.fromiter((len(t) + 2 for t in texts[start:end]), dtype=np.int64, count=end - start)
         ends = np.cumsum(sizes)
         of = np.repeat(np.arange(start, end), sizes)
-        here, h = [], np.zeros(len(buf), dtype=np.uint64)
+        here, h = [], np.zeros(len(chars), dtype=np.uint64)
         for k in range(max(ORDERS)):
             n = k + 1
-            if len(buf) < n:
+            if len(chars) < n:
                 break
-            h = h[: len(buf) - k] * np.uint64(0x9E3779B97F4A7C15) + buf[k:]
+            h = h[: len(chars) - k] * np.uint64(0x9E3779B97F4A7C15) + chars[k:]
             if n not in ORDERS:
                 continue
             feature = ((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)).view(np.int64)
@@ -75,7 +77,7 @@ class Model:
     weights: np.ndarray  # float32 by feature
     bias: float
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
+    def score(self, texts: list[str]) -> np.ndarray:
         of, feature = features(texts, self.weights != 0)
         z = np.bincount(of, self.weights[feature], minlength=len(texts)) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
@@ -134,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [x or b"" for x in b.column(0).cast(pa.binary()).to_pylist()]
+            raw = [x or "" for x in b.column(0).to_pylist()]
             of, feature = features(raw)
             bounds = np.searchsorted(of, np.arange(len(raw) + 1))
             packed = [feature[bounds[i] : bounds[i + 1]].astype(np.int32).tobytes() for i in range(len(raw))]
@@ -165,7 +167,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def scored(texts):
         import pandas as pd
 
-        return pd.Series(Model(*shared.value).score([(t or "").encode() for t in texts]))
+        return pd.Series(Model(*shared.value).score([t or "" for t in texts]))
 
     out = docs.withColumn("score", scored(F.col("text")))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

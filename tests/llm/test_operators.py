@@ -311,6 +311,35 @@ def test_near_duplicates_of_sizes_unlike_the_pivots(spark):
     assert got == {k: k // 1000 * 1000 for k, _ in rows}
 
 
+@pytest.mark.parametrize(("n", "block", "home"), [(1, 3, 5), (2, 3, 5)])
+def test_near_duplicates_in_small_blocks_and_homes(spark, n, block, home):
+    rng = random.Random(17)
+    rows, i = [], 0
+    for size in (12, 30, 60):
+        base = [w + str(k) for k, w in enumerate(words(rng, size).split())]
+        for _ in range(40):
+            w = list(base)
+            for _ in range(rng.randint(0, size // 5)):
+                w[rng.randrange(size)] = words(rng, 1)
+            rows.append((i, " ".join(w)))
+            i += 1
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs(spark, rows).repartition(4), n=n, block_nodes=block, home_nodes=home).collect()}
+    assert got == brute_components(rows, n)
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(18)
+    a, b = words(rng, 40), words(rng, 40)
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, b + " x"), (4, None), (4, None), (5, ""), (None, a + " y"), (None, "z z z"), (None, "other"), (6, None)]
+    table = docs(spark, rows).withColumnsRenamed({"lang": "id", "source": "hash"})
+    out = near_dup.keep_one(table)
+    assert out.columns == table.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    one = Counter({(1, a): 1, (4, None): 1, (5, ""): 1, (6, None): 1, (None, "z z z"): 1, (None, "other"): 1})
+    assert got in (one + Counter([(3, b)]), one + Counter([(3, b + " x")]))
+    assert near_dup.keep_one(table.limit(0)).count() == 0
+
+
 def test_near_duplicates_edge_cases(spark):
     got = near_dup.near_duplicates(docs(spark, EDGE)).collect()
     assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == Counter({(1, 1, True): 1, (2, 2, True): 1, (3, 3, True): 1, (4, 4, True): 2, (None, 4, False): 1, (5, 5, True): 1})
@@ -381,12 +410,50 @@ def test_toxicity_without_labels(spark):
 
 
 def test_features_do_not_cross_texts():
-    texts = [b"", b"ab", b"", b"cdefg hij", b"x" * 3]
+    texts = ["", "ab", "", "cdefg hij", "x" * 3]
     of, feature = toxicity.features(texts)
     for i, t in enumerate(texts):
         assert sorted(feature[of == i].tolist()) == sorted(toxicity.features([t])[1].tolist())
 
 
+def brute_grams(text):
+    t = f" {''.join(c.lower() if c < chr(128) else c for c in text)} ".translate({c: " " for c in range(9, 14)})
+    return {t[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1)}
+
+
+def test_features_are_the_grams_of_code_points():
+    rng = random.Random(14)
+    texts = ["".join(rng.choice("aAbé日本\U0001f600 \n\tz") for _ in range(rng.randint(0, 40))) for _ in range(50)]
+    grams = sorted({g for t in texts for g in brute_grams(t)})
+    own = {}  # the hash of a gram, from a text that is no more than it
+    of, feature = toxicity.features(texts)
+    for i, t in enumerate(texts):
+        mine = set(feature[of == i].tolist())
+        # every n-gram that two texts share is a shared feature, and no text has more features than n-grams
+        assert len(mine) <= len(brute_grams(t)) and len(mine) >= len(brute_grams(t)) - 3
+        for g in brute_grams(t):
+            own.setdefault(g, set(mine)).intersection_update(mine)
+    assert all(own[g] for g in grams)
+
+
+def test_weights_are_scaled_by_log_count_ratios():
+    rng = random.Random(15)
+    texts = [words(rng, 6) + (" vermox" if i % 3 == 0 else "") for i in range(240)]
+    toxic = np.array([i % 3 == 0 for i in range(240)])
+    model = toxicity.fit([toxicity.features([t])[1] for t in texts], toxic)
+    gram = np.intersect1d(toxicity.features(["vermox"])[1], np.flatnonzero(model.weights))
+    _, feature = toxicity.features(texts)
+    for f in gram:
+        have = np.array([f in toxicity.features([t])[1] for t in texts])
+        a, b = (have & toxic).sum(), (have & ~toxic).sum()
+        ratio = np.log((a + 1) / (toxic.sum() + 2)) - np.log((b + 1) / ((~toxic).sum() + 2))
+        assert np.sign(model.weights[f]) == np.sign(ratio)
+    assert len(gram) > 5
+    for t, score in zip(texts, model.score(texts), strict=True):
+        z = model.bias + sum(model.weights[f] for f in set(toxicity.features([t])[1].tolist()))
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-4
+
+
 # mixing
 
 
@@ -464,7 +531,32 @@ def test_bpe_against_the_library(spark, vocabulary):
 
 def test_remembered_pieces_do_not_change_results(vocabulary):
     _, pairs, own = vocabulary
-    small = bpe.BytePairs(pairs.ranks, public_tokenizers.PATTERN)
-    small.known = bpe.Remembered(small._digest, 3)
-    text = words(random.Random(10), 400)
-    assert small.digest(text) == pairs.digest(text) and small.digest(text)[0] == len(own.encode_ordinary(text))
+    small = bpe.BytePairs(pairs.ranks, public_tokenizers.PATTERN, remembered=3)
+    texts = [words(random.Random(10 + k % 2), 100) for k in range(4)]
+    for _ in range(3):
+        got = [d for t in texts for d in small.digests([t])]
+        assert got == list(pairs.digests(texts)) and [d[0] for d in got] == [len(own.encode_ordinary(t)) for t in texts]
+
+
+def test_queue_takes_the_least_rank_and_then_the_leftmost(vocabulary):
+    _, pairs, _ = vocabulary
+    rng = random.Random(16)
+
+    def plain(piece, ranks):
+        parts = [bytes([x]) for x in piece]
+        while len(parts) > 1:
+            rank, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
+            if rank == 1 << 40:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [ranks[p] for p in parts]
+
+    # a vocabulary in which merges open pairs of lower rank and pairs overlap
+    few = {bytes([x]): x for x in range(256)}
+    odd = [b"abc", b"aab", b"bcab", b"ab", b"aa", b"bc", b"aaa", b"cab", b"aaaa", b"abab", b"abcabc", b"ba"]
+    few |= {b: 256 + k for k, b in enumerate(odd)}
+    own = bpe.BytePairs(few, public_tokenizers.PATTERN)
+    pieces = ["".join(rng.choice("aaabc") for _ in range(rng.randint(1, 60))).encode() for _ in range(400)]
+    assert own.encode_pieces(pieces) == [plain(p, few) for p in pieces]
+    pieces = ["".join(rng.choice("theinraé ") for _ in range(rng.randint(1, 80))).encode() for _ in range(200)]
+    assert pairs.encode_pieces(pieces) == [plain(p, pairs.ranks) for p in pieces]
