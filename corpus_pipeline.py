@@ -29,9 +29,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group of near copies: five-word shingles, 0.8 or more."""
-    kept = near_dup.near_duplicates(docs, n=5, percent=80).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(docs.columns)
+    """One row, that of the least doc_id, of each group of near copies: five-word shingles, 0.8 or more. Texts without words stay."""
+    return near_dup.keep_one(docs, n=5, percent=80).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
