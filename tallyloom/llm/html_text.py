@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from tallyloom.llm.scratch import Scratch
 from tallyloom.llm.url_filter import url_host
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>""", re.S)
+#: The head of a tag, and the rest of it where its quotes match.
+HEAD = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+REST = re.compile(r"""(?:"[^"]*"|'[^']*'|[^>"'])*+>""")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")}
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -31,7 +33,7 @@ CONTAINER = frozenset("body article main section div td center blockquote".split
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("html body div section article main td th table ul ol dl header footer aside nav form blockquote".split())
 #: Elements that are never the article.
-NOT_TEXT = frozenset("head nav footer aside form script style noscript template iframe button select input textarea svg canvas object dialog menu search map audio video".split())
+NOT_TEXT = frozenset("head nav footer aside form script style noscript template iframe button select option optgroup datalist input textarea svg canvas object dialog menu search map audio video".split())
 #: Words of class names, ids and roles of such parts of a page.
 NOT_ARTICLE = frozenset(
     "nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar sidenav aside complementary footer foot colophon contentinfo "
@@ -44,90 +46,106 @@ HEADER = frozenset("header heading-bar site-header pageheader".split())
 KEPT_WHOLE = frozenset("html body article main".split())
 
 
+def tokens(source: str) -> Iterator[tuple[str, str, str, str]]:
+    """Text, then the tag behind it: "/" or "", name and attributes; comments and declarations have no name.
+
+    A tag ends at the first ``>`` outside quotes. Where a quote is never closed, that tag and all
+    later ones end at the first ``>``, so every character is looked at a fixed number of times.
+    """
+    at = begin = 0
+    quoted, last = True, source.rfind(">")
+    while (lt := source.find("<", at)) >= 0:
+        slash = name = rest = ""
+        if source.startswith("<!--", lt):
+            end = source.find("-->", lt + 4)
+            stop = end + 3 if end >= 0 else len(source)
+        elif lt > last:
+            break
+        elif source[lt + 1 : lt + 2] in ("!", "?"):
+            stop = source.find(">", lt) + 1
+        elif (m := HEAD.match(source, lt)) is not None:
+            slash, name = m[1], m[2].lower()
+            found = REST.match(source, m.end()) if quoted else None
+            quoted = found is not None
+            stop = found.end() if found else source.find(">", m.end()) + 1
+            rest = source[m.end() : stop - 1]
+            if name in RAW and not slash:
+                end = RAW[name].search(source, stop)
+                stop = source.find(">", end.end()) + 1 or len(source) if end else len(source)
+        else:
+            at = lt + 1
+            continue
+        yield source[begin:lt], slash, name, rest
+        begin = at = stop
+    yield source[begin:], "", "", ""
+
+
 class Page:
     """The elements of a page and its blocks of text, in page order."""
 
     def __init__(self, source: str):
-        self.tags, self.paths, self.parents, self.dropped = ["#"], [""], [-1], [False]
+        self.tags, self.parents, self.dropped = ["#"], [-1], [False]
+        self.labels, self.paths = [""], [0]  # a path is the number of its parent's path and its own label
+        self.numbers: dict[tuple[int, str], int] = {}
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
-        self._read(source)
+        marks, runs = self._read(source)
+        self._mark(marks)
+        for parts in runs:
+            kept = [(x, text, link) for x, text, link in parts if not self.dropped[x]]
+            if text := " ".join("".join(t for _, t, _ in kept).split()):
+                self.blocks.append((kept[0][0], text, sum(len(t) for _, t, link in kept if link)))
+        self._sum()
 
-    def _read(self, source: str) -> None:
-        tags, parents = self.tags, self.parents
-        marks: list[str] = [""]
-        stack, parts, links, in_link = [0], [], 0, 0
-        events: list[tuple[int, str, int]] = []
-        at = 0
-
-        def flush() -> None:
-            nonlocal links
-            if parts:
-                text = " ".join("".join(parts).split())
-                if text:
-                    events.append((stack[-1], text, links))
-                parts.clear()
-            links = 0
-
-        while (m := TAG.search(source, at)) is not None:
-            if m.start() > at:
-                text = html.unescape(source[at : m.start()]) if "&" in source[at : m.start()] else source[at : m.start()]
-                parts.append(text)
-                if in_link:
-                    links += len(text)
-            at = m.end()
-            name = m[2]
-            if name is None:
-                continue
-            name = name.lower()
-            if m[1]:
-                if name in BLOCK:
-                    flush()
-                for i in range(len(stack) - 1, 0, -1):
-                    if tags[stack[i]] == name:
-                        for x in stack[i:]:
-                            in_link -= tags[x] == "a"
-                        del stack[i:]
-                        break
-                    if tags[stack[i]] in SCOPE and name not in SCOPE:
-                        break
+    def _read(self, source: str) -> tuple[list[str], list[list[tuple[int, str, bool]]]]:
+        """The attributes of each element, and the runs of text between block tags: element, text, in a link?"""
+        tags, parents, marks = self.tags, self.parents, [""]
+        stack, runs, parts = [0], [], []
+        open_at: dict[str, list[int]] = {}  # places in the stack by tag
+        scopes = [0]  # places in the stack of elements that bound what an end tag closes
+
+        def cut(place: int) -> None:
+            for x in stack[place:]:
+                open_at[tags[x]].pop()
+            del stack[place:]
+            while scopes[-1] >= place:
+                scopes.pop()
+
+        def close(which: frozenset[str] | set[str]) -> None:
+            """Close the nearest open element of these kinds, unless a wider one stands between."""
+            place = max((open_at[t][-1] for t in which if open_at.get(t)), default=0)
+            if place and place >= scopes[-1]:
+                cut(place)
+
+        for text, slash, name, rest in tokens(source):
+            if text:
+                parts.append((stack[-1], html.unescape(text) if "&" in text else text, bool(open_at.get("a"))))
+            if name in BLOCK and parts:
+                runs.append(parts)
+                parts = []
+            if slash:
+                place = open_at[name][-1] if open_at.get(name) else 0
+                if place and (name in SCOPE or place > scopes[-1]):
+                    cut(place)
                 continue
             if name == "br":
-                parts.append(" ")
-                continue
-            if name in BLOCK:
-                flush()
-                if name not in ("html", "body"):
-                    self._close(stack, "p", {"p"})
+                parts.append((stack[-1], " ", False))
+            if name in BLOCK and name not in ("html", "body"):
+                close({"p"})
             if name in CLOSES:
-                self._close(stack, name, CLOSES[name])
-            in_link = sum(tags[x] == "a" for x in stack) if in_link else 0
-            if name in VOID:
-                continue
-            if name in RAW:
-                end = RAW[name].search(source, at)
-                at = end.end() if end else len(source)
+                close(CLOSES[name])
+            if not name or name in VOID or name in RAW:
                 continue
             parents.append(stack[-1])
             tags.append(name)
-            marks.append(m[3])
-            if not m[3].rstrip().endswith("/"):
+            marks.append(rest)
+            if not rest.rstrip().endswith("/"):
+                open_at.setdefault(name, []).append(len(stack))
+                if name in SCOPE:
+                    scopes.append(len(stack))
                 stack.append(len(tags) - 1)
-                in_link += name == "a"
-        if at < len(source):
-            parts.append(html.unescape(source[at:]))
-        flush()
-        self._mark(marks)
-        self.blocks = [e for e in events if not self.dropped[e[0]]]
-
-    def _close(self, stack: list[int], name: str, which: set[str]) -> None:
-        """Close the nearest open element of these kinds, unless a wider one stands between."""
-        for i in range(len(stack) - 1, 0, -1):
-            tag = self.tags[stack[i]]
-            if tag in which:
-                del stack[i:]
-                return
-            if tag in SCOPE:
-                return
+        if parts:
+            runs.append(parts)
+        return marks, runs
 
     def _mark(self, marks: list[str]) -> None:
         """Paths, and which elements are no part of an article or lie in one that is not."""
@@ -145,11 +163,12 @@ class Page:
                 found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(marks[i])}
                 kind = re.sub(r"\d+", "0", " ".join(sorted(found.get("class", "").lower().split())))
                 if kind:
-                    label = f"{tag}.{kind.replace(' ', '.')}"
+                    label = f"{tag}.{kind.replace(' ', '.').replace('>', '_')}"
                 names = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}"
                 words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower())
                 hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-            self.paths.append(f"{self.paths[up]}>{label}" if up else label)
+            self.labels.append(label)
+            self.paths.append(self.numbers.setdefault((self.paths[up], label), len(self.numbers) + 1))
             drop = tag in NOT_TEXT or hidden
             if tag not in KEPT_WHOLE or (tag == "article" and inside[up]):
                 drop = drop or not NOT_ARTICLE.isdisjoint(words)
@@ -157,36 +176,38 @@ class Page:
                 drop = drop or not inside[up] and tag not in KEPT_WHOLE
             self.dropped.append(self.dropped[up] or (drop and not holds[i]))
 
-    def _sums(self) -> tuple[list[float], list[int], list[int]]:
+    def _sum(self) -> None:
         """For each element what it and those in it say: weight (links count little), characters, and those in links outside headings."""
-        weight, chars, linked = [0.0] * len(self.tags), [0] * len(self.tags), [0] * len(self.tags)
+        n = len(self.tags)
+        self.weight, self.chars, self.linked = [0.0] * n, [0] * n, [0] * n
+        heading, named = [False] * n, [0] * n  # named: the nearest article or main
+        for i in range(1, n):
+            heading[i] = heading[self.parents[i]] or re.fullmatch("h[1-6]", self.tags[i]) is not None
+            named[i] = i if self.tags[i] in ("article", "main") else named[self.parents[i]]
+        self.named = named
         for x, text, links in self.blocks:
-            weight[x] += max(len(text) - links, 0) + 0.1 * min(links, len(text))
-            chars[x] += len(text)
-            linked[x] += 0 if re.fullmatch("h[1-6]", self.tags[x]) else min(links, len(text))
-        for i in range(len(self.tags) - 1, 0, -1):
+            self.weight[x] += max(len(text) - links, 0) + 0.1 * min(links, len(text))
+            self.chars[x] += len(text)
+            self.linked[x] += 0 if heading[x] else min(links, len(text))
+        for i in range(n - 1, 0, -1):
             up = self.parents[i]
-            weight[up] += weight[i]
-            chars[up] += chars[i]
-            linked[up] += linked[i]
-        return weight, chars, linked
+            self.weight[up] += self.weight[i]
+            self.chars[up] += self.chars[i]
+            self.linked[up] += self.linked[i]
 
-    def _around(self, x: int, chars: list[int], linked: list[int]) -> int:
+    def _around(self, x: int) -> int:
         """The whole article that an element is part of.
 
         That is the nearest article or main around it; without these, the widest element below the
         body of which no step outwards adds mostly links. What is marked as a menu, an advert and the
         like is in no block and does not count.
         """
-        at = x
-        while at > 0:
-            if self.tags[at] in ("article", "main"):
-                return at
-            at = self.parents[at]
+        if self.named[x]:
+            return self.named[x]
         at = x
         while (up := self.parents[at]) > 0 and self.tags[up] not in ("html", "body"):
-            more = chars[up] - chars[at]
-            if 2 * (linked[up] - linked[at]) > more:
+            more = self.chars[up] - self.chars[at]
+            if 2 * (self.linked[up] - self.linked[at]) > more:
                 break
             at = up
             if more:
@@ -195,27 +216,31 @@ class Page:
 
     def best(self) -> str | None:
         """The path of the article around the deepest container of at least 60 % of what the page says; None: no text."""
-        weight, chars, linked = self._sums()
-        if not weight[0]:
+        if not self.weight[0]:
             return None
-        good = [i for i in range(1, len(self.tags)) if self.tags[i] in CONTAINER and weight[i] >= 0.6 * weight[0]]
-        return self.paths[self._around(good[-1], chars, linked)] if good else ""
+        good = [i for i in range(1, len(self.tags)) if self.tags[i] in CONTAINER and self.weight[i] >= 0.6 * self.weight[0]]
+        found, at = [], self._around(good[-1]) if good else 0
+        while at > 0:
+            found.append(self.labels[at])
+            at = self.parents[at]
+        return ">".join(reversed(found))
 
     def text(self, path: str) -> str:
         """The blocks of the articles around all elements of the path (all blocks, if it is empty), by one line end each."""
         if not path:
             return "\n".join(b for _, b, _ in self.blocks)
-        _, chars, linked = self._sums()
-        tops = {self._around(i, chars, linked) for i in range(1, len(self.tags)) if self.paths[i] == path and not self.dropped[i]}
+        number = 0
+        for label in path.split(">"):
+            number = self.numbers.get((number, label), -1)
+        tops = {self._around(i) for i in range(1, len(self.tags)) if self.paths[i] == number and not self.dropped[i]}
         under = [False] * len(self.tags)
         for i in range(1, len(self.tags)):
             under[i] = under[self.parents[i]] or i in tops
         return "\n".join(b for x, b, _ in self.blocks if under[x])
 
     def extract(self, paths: list[str]) -> str:
-        own = set(self.paths)
         for p in paths:
-            if p in own and (text := self.text(p)):
+            if text := self.text(p):
                 return text
         best = self.best()
         return "" if best is None else self.text(best)

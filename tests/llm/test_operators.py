@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -141,6 +142,61 @@ def test_html_keeps_the_whole_article_around_the_largest_part(spark):
     assert got == {i: rest.strip() if 10 <= i < 19 else both for i, _, _ in rows}
 
 
+def test_html_inline_parts_go():
+    text = lambda body: html_text.Page(f"<body><article>{body}</article></body>").extract([])
+    assert text("<p>Hello <button>Share</button> world</p>") == "Hello world"
+    assert text("<p>Text</p><span class='advert'>Buy now</span><p>more</p>") == "Text\nmore"
+    assert text("a <span hidden>secret</span>b <a class='share-link'>Tweet</a> <select><option>x</select> c <svg><text>y</text></svg>") == "a b c"
+    assert text('<p title="foo>Hello') == "Hello"
+    assert text("<p>1 < 2 and </> 3 <b>bold</b>er &amp; &lt;b>") == "1 < 2 and </> 3 bolder & <b>"
+    assert text("<p>one<p>two<ul><li>a<li>b</ul></div>three</b>") == "one\ntwo\na\nb\nthree"
+
+
+def test_html_of_very_long_pages_is_read_once():
+    start = time.monotonic()
+    assert "<a" in html_text.Page("<a " * 16_000).extract([])
+    html_text.Page("<a \"" * 16_001 + ">").extract([])
+    html_text.Page("</script" * 16_000 + "<script>" * 16_000).extract([])
+    assert html_text.Page("<div>" * 8_000 + "deep").extract([]) == "deep"
+    assert html_text.Page("<b><div>" + "<i>" * 8_000 + "</b>" * 8_000 + "text").extract([]) == "text"
+    assert html_text.Page("<p>" * 20_000 + "x").extract([]) == "x"
+    assert time.monotonic() - start < 5
+
+
+def test_html_against_a_tree(spark):
+    """Pages made from a tree of known parts, whose article is put together from the tree itself."""
+    rng = random.Random(19)
+    rows, want = [], {}
+    for i in range(60):
+        blocks, body = [], []
+        for _ in range(rng.randint(3, 8)):
+            t = words(rng, rng.randint(5, 40))
+            kind = rng.choice(["p", "h2", "li", "blockquote", "bold", "noise", "script"])
+            if kind == "noise":
+                body.append(rng.choice(["<aside>{}</aside>", "<div class='ad-box'>{}</div>", "<form>{}</form>", "<!-- {} -->"]).format(t))
+                continue
+            if kind == "script":
+                body.append(f"<script>if (a < b) {{ '{t}' }}</script>")
+                continue
+            blocks.append(t.replace("a", "&") if kind == "p" else t)
+            body.append({"bold": f"<p>{t.replace(' ', ' <b>', 1)}</b></p>", "p": f"<p>{t.replace('a', '&amp;')}</p>"}.get(kind, f"<{kind}>{t}</{kind}>"))
+        rows.append((i, f"http://h{i % 5}.org/{i}", f"<html><body><nav>{words(rng, 20)}</nav><main class='m{i}'>{''.join(body)}</main><footer>{words(rng, 9)}</footer></body></html>"))
+        want[i] = "\n".join(blocks)
+    got = {r.page_id: r.text for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_html_rare_paths_fall_back_to_the_page_itself(spark):
+    body = "word " * 60
+    rows = [(i, "http://h.org/", f"<div class=a><p>{body}</div>") for i in range(40)] + [(99, "http://h.org/", f"<div class=b><p>{body}odd</div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    paths = html_text.winning_paths(html_text.votes(pages)).collect()
+    assert [(r.host, r.paths) for r in paths] == [("h.org", ["div.a"])]
+    assert html_text.winning_paths(html_text.votes(pages.limit(0))).count() == 0
+    got = {r.page_id: r.text for r in html_text.extract_pages(pages).collect()}
+    assert got[99] == f"{body}odd" and got[0] == body.strip()
+
+
 def test_html_rows_carry_their_url(spark):
     rows = [(1, "http://h.org/1", "<p>a"), (2, None, "<p>b"), (3, "http://h.org/3", None)]
     out = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
