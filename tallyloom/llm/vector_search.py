@@ -27,19 +27,22 @@ TOGETHER = 64
 
 def statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     """Means and deviations by segment, each times the root of the segment's length."""
-    parts = np.array_split(np.arange(x.shape[1]), min(segments, x.shape[1]))
+    parts = np.array_split(np.arange(x.shape[1]), max(1, min(segments, x.shape[1])))
+    if not x.shape[1]:  # empty vectors: one segment without a value
+        return np.zeros((len(x), 1)), np.zeros((len(x), 1))
     mean = np.stack([x[:, p].mean(axis=1) * np.sqrt(len(p)) for p in parts], axis=1)
     dev = np.stack([x[:, p].std(axis=1) * np.sqrt(len(p)) for p in parts], axis=1)
     return mean, dev
 
 
 def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers held as doubles; sums that doubles cannot hold are made of Python's integers."""
-    if not x.size or float(np.abs(x).max()) * float(np.abs(q).max()) * len(q) < 2**53:
-        return (x @ q).astype(np.int64)
-    whole = [int(v) for v in q]
+    """Inner products of rows of whole numbers held as doubles; sums that doubles cannot hold are made of Python's integers."""
+    if not x.size or not q.size or float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1] < 2**53:
+        return (x @ q.T).astype(np.int64)
+    whole = [[int(v) for v in row] for row in q]
     most = 2**63 - 1
-    return np.array([max(-most - 1, min(most, sum(int(a) * b for a, b in zip(row, whole, strict=True)))) for row in x], dtype=np.int64)
+    made = [[max(-most - 1, min(most, sum(int(a) * b for a, b in zip(row, other, strict=True)))) for other in whole] for row in x]
+    return np.array(made, dtype=np.int64).reshape(len(x), len(q))
 
 
 class Block:
@@ -51,93 +54,106 @@ class Block:
         self.norms = np.sqrt((x * x).sum(axis=1))
 
     def search(self, ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-        """query id, row id and score: the k best rows for each query, ties to the smaller id."""
-        for at in range(0, len(q), TOGETHER):
-            some = q[at : at + TOGETHER]
-            stats = [np.concatenate(statistics(some, s), axis=1) for s in SEGMENTS]
-            coarse = stats[0] @ self.levels[0].T
-            for i, own in enumerate(ids[at : at + TOGETHER]):
-                slack = 1e-9 * self.norms * np.sqrt((some[i] ** 2).sum()) + 1e-6  # for rounding
-                bound = coarse[i] + slack
-                bound[self.ids == own] = -np.inf
-                first = np.argpartition(-bound, min(4 * k, len(bound) - 1))[: 4 * k]
-                first = first[np.isfinite(bound[first])]
-                scores = np.sort(exact(self.x[first], some[i]))
-                least = scores[-k] if len(scores) >= k else -np.inf
-                left = np.flatnonzero(np.isfinite(bound) & (bound >= least))
-                for level, mine in zip(self.levels[1:], stats[1:], strict=True):
-                    if len(left) <= k:
-                        break
-                    left = left[level[left] @ mine[i] + slack[left] >= least]
-                score = exact(self.x[left], some[i])
-                best = np.lexsort((self.ids[left], -score.astype(object) if len(score) and score.min() == -(2**63) else -score))[:k]
-                for b in best:
-                    yield int(own), int(self.ids[left[b]]), int(score[b])
-
-
-def _distinct(ids: list[int], x: list[list[float]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and rows for each dimension; of rows of one id, the least stays."""
-    one: dict[int, list[float]] = {}
-    for i, v in zip(ids, x, strict=True):
-        if i not in one or v < one[i]:
-            one[i] = v
-    by_size: dict[int, list[int]] = {}
-    for i, v in one.items():
-        by_size.setdefault(len(v), []).append(i)
-    for size, mine in by_size.items():
-        if size:
-            yield np.array(mine, dtype=np.int64), np.array([one[i] for i in mine])
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, vec_id: str = "vec_id", values: str = "embedding") -> DataFrame:
+        """query id, row id and score: the k best rows for each query, ties to the smaller id.
+
+        All queries given go through the levels together: a row stays as long as one of them may
+        still need it, and each level's bounds and the exact scores are one matrix product.
+        """
+        stats = [np.concatenate(statistics(q, s), axis=1) for s in SEGMENTS]
+        slack = 1e-9 * self.norms[None, :] * np.sqrt((q * q).sum(axis=1))[:, None] + 1e-6  # for rounding
+        others = ids[:, None] != self.ids[None, :]
+        bound = np.where(others, stats[0] @ self.levels[0].T + slack, -np.inf)
+        # the rows of greatest bound give a score that the k best do not fall short of
+        first = np.argpartition(-bound, min(4 * k, bound.shape[1] - 1), axis=1)[:, : 4 * k]
+        least = np.full(len(q), -np.inf)
+        for i, mine in enumerate(first):
+            mine = mine[others[i, mine]]
+            if len(mine) >= k:
+                least[i] = np.sort(exact(self.x[mine], q[i : i + 1])[:, 0])[-k]
+        alive = others & (bound >= least[:, None])
+        left = np.flatnonzero(alive.any(axis=0))
+        for level, mine in zip(self.levels[1:], stats[1:], strict=True):
+            stays = alive[:, left] & (mine @ level[left].T + slack[:, left] >= least[:, None])
+            alive[:, left] = stays
+            left = left[stays.any(axis=0)]
+        scores = exact(self.x[left], q)
+        for i, own in enumerate(ids.tolist()):
+            mine = np.flatnonzero(alive[i, left])
+            score = scores[mine, i]
+            if len(score) > k:
+                near = score >= np.partition(score, len(score) - k)[len(score) - k]
+                mine, score = mine[near], score[near]
+            names = self.ids[left[mine]]
+            for b in np.lexsort((names, ~score))[:k]:
+                yield own, int(names[b]), int(score[b])
+
+
+def _by_length(column: pa.Array, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of some rows of a column of lists, those of each length: their places and a matrix."""
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    starts = offsets[:-1][at]
+    sizes = offsets[1:][at] - starts
+    for size in np.unique(sizes).tolist():
+        mine = sizes == size
+        yield at[mine], values[starts[mine][:, None] + np.arange(size)]
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, vec_id: str = "vec_id", values: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id and score: the k rows of greatest inner product for each query.
 
     Every component x counts as floor(scale * x). All rows but the query's own (by id) are candidates,
-    ties go to the smaller id, and fewer candidates give fewer rows. Vectors that are null or empty,
-    or hold a null or non-finite component, and rows without an id take no part; vectors meet only
-    those of their own length. Of rows of equal id the least vector counts, once. Scores beyond a
-    long are held to its ends. Empty tables give an empty result; other columns are not read.
+    rows of equal id or equal values each for itself; ties go to the smaller id, and fewer candidates
+    give fewer rows. Vectors that are null or hold a null or non-finite component, and rows without
+    an id take no part; vectors meet only those of their own length, empty ones with a score of 0. Of
+    queries of equal id the least vector asks. Scores beyond a long are held to its ends. Empty
+    tables give an empty result; other columns are not read.
+
+    Every query visits every block, so queries x blocks rows are shuffled. A task holds the rows of
+    one block, at most about ``block_rows``, and answers ``TOGETHER`` queries at a time as they come.
     """
     spark = vectors.sparkSession
 
     def whole(df: DataFrame) -> DataFrame:
         sound = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         made = F.transform(values, lambda x: F.lit(float(scale)) * x.cast("double"))
-        return df.filter(F.col(vec_id).isNotNull() & F.col(values).isNotNull()).filter(sound & (F.size(values) > 0)).select(F.col(vec_id).cast("long").alias("vec_id"), made.alias("x"))
+        return df.filter(F.col(vec_id).isNotNull() & F.col(values).isNotNull()).filter(sound).select(F.col(vec_id).cast("long").alias("vec_id"), made.alias("x"))
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(partitions, -(-vectors.count() // BLOCK_ROWS))
+    blocks = max(partitions, -(-vectors.count() // block_rows))
     rows = whole(vectors).select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("query"), "vec_id", "x")
-    asked = whole(queries).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), "vec_id", "x")
+    asked = whole(queries).groupBy("vec_id").agg(F.min("x").alias("x")).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), "vec_id", "x")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, data, asked_ids, asked_x, made = None, ([], []), [], [], []
-
-        def finish() -> None:
-            if made or not data[0]:
-                return
-            made.extend(Block(i, np.floor(x)) for i, x in _distinct(*data))
-
-        def answers() -> Iterator[pa.RecordBatch]:
-            finish()
-            found = [t for ids, q in _distinct(asked_ids, asked_x) for block in made if block.x.shape[1] == q.shape[1] for t in block.search(ids, np.floor(q), k)]
-            asked_ids.clear()
-            asked_x.clear()
+        now, rows, made, asked = None, {}, {}, {}
+
+        def answer(size: int) -> list[tuple[int, int, int]]:
+            """What the waiting queries of one length find."""
+            ids, q = (np.concatenate(x) for x in zip(*asked.pop(size), strict=True))
+            if size not in made and size in rows:
+                made[size] = Block(*(np.concatenate(x) for x in zip(*rows.pop(size), strict=True)))
+            return [t for at in range(0, len(q), TOGETHER) for t in made[size].search(ids[at : at + TOGETHER], q[at : at + TOGETHER], k)] if size in made else []
+
+        def put(found: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
 
         for b in batches:
-            for block, query, i, x in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                if block != now:
-                    yield from answers()
-                    now, data, made = block, ([], []), []
-                if query:
-                    asked_ids.append(i)
-                    asked_x.append(x)
-                else:
-                    data[0].append(i)
-                    data[1].append(x)
-        yield from answers()
+            block, query, ids = (b.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            edges = np.flatnonzero((block[1:] != block[:-1]) | (query[1:] != query[:-1])) + 1
+            for at in np.split(np.arange(len(block)), edges):
+                if not len(at):
+                    continue
+                if block[at[0]] != now:
+                    for size in list(asked):
+                        yield from put(answer(size))
+                    now, rows, made = block[at[0]], {}, {}
+                for some, x in _by_length(b.column(3), at):
+                    size = x.shape[1]
+                    (asked if query[at[0]] else rows).setdefault(size, []).append((ids[some], np.floor(x)))
+                    if query[at[0]] and sum(len(i) for i, _ in asked[size]) >= TOGETHER:
+                        yield from put(answer(size))
+        for size in list(asked):
+            yield from put(answer(size))
 
     dealt = rows.union(asked).repartition(partitions, "block").sortWithinPartitions("block", "query", "vec_id")
     found = dealt.mapInArrow(search, "query_id long, vec_id long, score long")

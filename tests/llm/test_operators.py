@@ -417,11 +417,11 @@ def test_word_hashes_follow_the_definition():
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(6)
     rows = [(int(i), [float(x) for x in rng.normal(size=24).round(1)], 0) for i in range(300)]
-    rows += [(400, None, 0), (450, [1.0, None], 0), (451, [float("nan")] * 24, 0), (None, [1.0] * 24, 0), (500, [2.0, 3.0], 0), (501, [1.0, 1.0], 0), (550, [], 0)]
+    rows += [(400, None, 0), (450, [1.0, None], 0), (451, [float("nan")] * 24, 0), (None, [1.0] * 24, 0), (500, [2.0, 3.0], 0), (501, [1.0, 1.0], 0), (501, [1.0, 2.0], 0), (550, [], 0), (551, [], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in vector_search.top_k(df, df.filter("vec_id % 50 = 0")).collect()}
     whole = {i: [int(np.floor(256 * float(np.float32(x)))) for x in v] for i, v, _ in rows[:300]}
-    want = {(500, 1): (501, 256 * 512 + 256 * 768)}
+    want = {(500, 1): (501, 512 * 256 + 768 * 512), (500, 2): (501, 512 * 256 + 768 * 256), (550, 1): (551, 0)}
     for q in range(0, 300, 50):
         best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
         want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(best)}
@@ -431,7 +431,27 @@ def test_top_k_against_brute_force(spark):
 
 def test_huge_components_stay_exact():
     x = np.array([[1e30, 0.0], [3.0, 2**40]])
-    assert vector_search.exact(x, np.array([1.0, 2.0**20])).tolist() == [2**63 - 1, 3 + 2**60]
+    assert vector_search.exact(x, np.array([[1.0, 2.0**20]])).tolist() == [[2**63 - 1], [3 + 2**60]]
+
+
+def test_top_k_of_many_blocks_with_ties_and_copies(spark):
+    rng = np.random.default_rng(20)
+    rows = [(i, [float(v) for v in rng.integers(-2, 3, size=6)], 0) for i in range(400)] + [(i, [1.0] * 6, 0) for i in range(400, 600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumnRenamed("label", "score")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in vector_search.top_k(df, df.filter("vec_id % 2 = 0"), block_rows=11).collect()}
+    want = {}
+    for q in range(0, 600, 2):
+        best = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(rows[q][1], v, strict=True)), i) for i, v, _ in rows if i != q)[:5]
+        want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(best)}
+    assert got == want
+
+
+def test_bounds_are_never_below_the_score():
+    rng = np.random.default_rng(21)
+    x, q = np.floor(256 * rng.normal(size=(50, 19))), np.floor(256 * rng.normal(size=(7, 19)))
+    for s in vector_search.SEGMENTS:
+        a, b = (np.concatenate(vector_search.statistics(v, s), axis=1) for v in (x, q))
+        assert (a @ b.T >= x @ q.T - 1e-3).all()
 
 
 # toxicity
