@@ -1,10 +1,13 @@
 """Document fingerprints: improbable features in chained Bloom filters.
 
-Every window of 64 bytes has an entropy. Windows of improbable entropy, far from what most windows
-of text have, rank first; those of very low entropy, such as padding, rank nowhere. A window that is
-the first of its neighbourhood for enough neighbourhoods becomes a feature. Features go into a chain
-of Bloom filters, each of a fixed size and a fixed number of features. Two chains are compared filter
-by filter: the bits that both have, less those that chance gives, over the most that the fuller one has.
+Every window of 16 bytes has an entropy. Windows of improbable entropy, far from what most windows
+of text have, rank first; those of very low entropy, such as padding, rank nowhere. A window that
+comes first in a quarter of the neighbourhoods around it becomes a feature. A neighbourhood has a
+sixteenth of a text's windows, rounded down to a power of two, between 1 and 64: so short texts have
+as many features as an edit of a part of them needs, and long ones do not fill too many filters.
+Features go into a chain of Bloom filters, each of a fixed size and a fixed number of features. Two
+chains are compared filter by filter: the bits that both have, less those that chance gives, over
+the most that the fuller one has.
 """
 
 from __future__ import annotations
@@ -20,15 +23,13 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.words import mix64
 
-WINDOW, NEIGHBOURS, LEAST_FIRST = 64, 64, 16
+WINDOW, NEIGHBOURS, SHARE, FIRST_IN = 16, 64, 16, 4
 FILTER_BYTES, HASHES, PER_FILTER = 256, 5, 160
 #: Entropy levels, of a possible log2(WINDOW) bits; below LEAST_LEVEL a window is no feature.
-LEVELS, LEAST_LEVEL = 1000, 100
+LEVELS, LEAST_LEVEL = 1000, 250
 #: The level that windows of prose have most often: ranks rise towards it.
-COMMON_LEVEL = 620
+COMMON_LEVEL = 830
 TEXT_BYTES = 400_000
-#: Texts of fewer bytes have too few windows to choose from: all their windows of GRAM bytes are features.
-SHORT, GRAM = 4 * WINDOW, 8
 
 #: What the sum of c log2 c gains as a byte's count rises from c to c + 1, in 2 ** -32.
 _c = np.arange(WINDOW + 1, dtype=np.float64)
@@ -64,55 +65,50 @@ def _rarity() -> np.ndarray:
 _RANK = _rarity()
 
 
-def features(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and hash of each feature; the texts lie one after another in buf and end at ends.
+def neighbourhood(windows: int) -> int:
+    """How many windows that follow each other one is chosen from, in a text of so many."""
+    return 1 << min(max(windows // SHARE, 1), NEIGHBOURS).bit_length() - 1
 
-    A text of fewer than SHORT bytes has all its windows of GRAM bytes as features, or is one feature
-    as a whole if it has none; an empty one has no feature.
+
+def features(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of each feature, in the order of the texts.
+
+    The texts lie in buf from starts on, with at least NEIGHBOURS zero bytes before and behind each.
+    A text shorter than a window counts with zeros behind it; an empty one has no feature.
     """
-    starts = np.concatenate(([0], ends[:-1]))
-    of_found, hash_found = [], []
+    windows = np.where(sizes > 0, np.maximum(sizes - WINDOW + 1, 1), 0)
+    if not windows.any():
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     n = len(buf) - WINDOW + 1
-    if n > 0:
-        rank = _RANK[levels(buf)]
-        at = np.arange(n)
-        text = np.searchsorted(ends, at, side="right")
-        good = (at + WINDOW <= ends[text]) & (rank < 2 * LEVELS) & (ends - starts >= SHORT)[text]
-        # one number orders windows by text, then rank, then place; those of other texts never come first
-        key = np.where(good, rank, 4 * LEVELS) << 40 | at
-        width = 1
-        least = key
-        while width < NEIGHBOURS and len(least) > width:
-            step = min(width, NEIGHBOURS - width)
-            least = np.minimum(least[:-step], least[step:])
-            width += step
+    rank = _RANK[levels(buf)]
+    text = np.repeat(np.arange(len(starts)), windows)
+    at = np.repeat(starts - np.concatenate(([0], np.cumsum(windows)[:-1])), windows) + np.arange(len(text))
+    # one number orders windows by rank and then place; those that are none never come first
+    key = np.full(n, 4 * LEVELS << 40, dtype=np.int64)
+    key[at] = np.where(rank[at] < 2 * LEVELS, rank[at], 4 * LEVELS) << 40 | at
+    width_of = np.array([neighbourhood(w) for w in windows.tolist()])
+    chosen, width, least = [], 1, key
+    while True:
+        mine = np.zeros(n, dtype=bool)
+        mine[at[width_of[text] == width]] = True
         picks = least[least < 4 * LEVELS << 40] & ((1 << 40) - 1)
         times = np.bincount(picks, minlength=n)
-        # a text with fewer windows than a neighbourhood is first in fewer of them
-        chosen = np.flatnonzero(times >= LEAST_FIRST)
-        chosen = chosen[good[chosen]]
-        # texts that this leaves without a feature give their first-ranked window
-        whole = np.flatnonzero(ends - starts >= SHORT)
-        without = np.setdiff1d(whole, text[chosen])
-        extra = [int(s + np.argmin(rank[s : e - WINDOW + 1])) for s, e in zip(starts[without], ends[without], strict=True)]
-        chosen = np.union1d(chosen, np.array(extra, dtype=np.int64))
-        windows = np.lib.stride_tricks.sliding_window_view(buf, WINDOW)[chosen]
-        words = np.ascontiguousarray(windows).view(np.uint64)
-        h = np.full(len(chosen), np.uint64(WINDOW), dtype=np.uint64)
-        for k in range(words.shape[1]):
-            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + words[:, k])
-        of_found.append(text[chosen])
-        hash_found.append(h)
-    for i in np.flatnonzero((ends - starts < SHORT) & (ends > starts)):
-        own = buf[starts[i] : ends[i]]
-        if len(own) < GRAM:
-            own = np.concatenate((own, np.zeros(GRAM - len(own), dtype=np.uint8)))
-        grams = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(own, GRAM)).view(np.uint64)[:, 0]
-        hash_found.append(mix64(grams + np.uint64(0x9E3779B97F4A7C15)))
-        of_found.append(np.full(len(grams), i))
-    if not of_found:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    return np.concatenate(of_found), np.concatenate(hash_found)
+        chosen.append(np.flatnonzero(mine & (times >= max(1, width // FIRST_IN))))
+        if width == NEIGHBOURS or width >= len(least):
+            break
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    found = np.sort(np.concatenate(chosen))
+    of = np.searchsorted(starts, found, side="right") - 1
+    # texts that this leaves without a feature give their first-ranked window
+    without = np.setdiff1d(np.flatnonzero(windows), of)
+    extra = np.array([s + int(np.argmin(rank[s : s + w])) for s, w in zip(starts[without].tolist(), windows[without].tolist(), strict=True)], dtype=np.int64)
+    found = np.union1d(found, extra)
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(buf, WINDOW)[found]).view(np.uint64)
+    h = np.full(len(found), np.uint64(WINDOW), dtype=np.uint64)
+    for k in range(words.shape[1]):
+        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + words[:, k])
+    return np.searchsorted(starts, found, side="right") - 1, h
 
 
 def chain(hashes: np.ndarray) -> np.ndarray:
@@ -131,22 +127,20 @@ def chain(hashes: np.ndarray) -> np.ndarray:
 def fingerprints(texts: list[bytes]) -> list[np.ndarray]:
     """The chain of each text.
 
-    Texts are taken together between two pads, so that each has windows that count nowhere around it
-    and its chain does not depend on its neighbours.
+    Texts are taken together with pads between them, whose windows count nowhere, so that a chain
+    does not depend on a text's neighbours.
     """
-    out, start, pad = [], 0, bytes(WINDOW)
+    out, start, pad = [], 0, bytes(NEIGHBOURS)
     while start < len(texts):
         end, size = start, 0
         while end < len(texts) and (end == start or size + len(texts[end]) <= TEXT_BYTES):
-            size += len(texts[end])
+            size += len(texts[end]) + NEIGHBOURS
             end += 1
-        group = [pad, *texts[start:end], pad]
-        buf = np.frombuffer(b"".join(group), dtype=np.uint8)
-        of, h = features(buf, np.cumsum(np.fromiter(map(len, group), dtype=np.int64, count=len(group))))
-        order = np.argsort(of, kind="stable")
-        of, h = of[order], h[order]
-        bounds = np.searchsorted(of, np.arange(len(group) + 1))
-        out += [chain(h[bounds[i] : bounds[i + 1]]) for i in range(1, len(group) - 1)]
+        buf = np.frombuffer(pad + pad.join(texts[start:end]) + pad, dtype=np.uint8)
+        sizes = np.fromiter(map(len, texts[start:end]), dtype=np.int64, count=end - start)
+        of, h = features(buf, np.cumsum(sizes + NEIGHBOURS) - sizes, sizes)
+        bounds = np.searchsorted(of, np.arange(end - start + 1))
+        out += [chain(h[bounds[i] : bounds[i + 1]]) for i in range(end - start)]
         start = end
     return out
 

@@ -237,6 +237,70 @@ def test_entropy_levels_against_the_definition():
         assert abs(-(p * np.log2(p)).sum() / np.log2(fingerprint.WINDOW) * (fingerprint.LEVELS - 1) - level) <= 1
 
 
+def brute_features(raw):
+    """The chosen windows of a text by the definition, in order of place."""
+    f = fingerprint
+    n = max(len(raw) - f.WINDOW + 1, 1) if raw else 0
+    windows = [raw[i : i + f.WINDOW].ljust(f.WINDOW, b"\0") for i in range(n)]
+
+    def rank(w):
+        p = [c / f.WINDOW for c in Counter(w).values()]
+        level = int(-sum(x * np.log2(x) for x in p) / np.log2(f.WINDOW) * (f.LEVELS - 1) + 0.5)
+        return 2 * f.LEVELS if level < f.LEAST_LEVEL else f.LEVELS - abs(level - f.COMMON_LEVEL)
+
+    ranks = [rank(w) for w in windows]
+    width = 1
+    while 2 * width <= min(max(n // f.SHARE, 1), f.NEIGHBOURS):
+        width *= 2
+    times = Counter()
+    for a in range(1 - width, n):
+        near = [(ranks[i], i) for i in range(max(a, 0), min(a + width, n)) if ranks[i] < 2 * f.LEVELS]
+        if near:
+            times[min(near)[1]] += 1
+    chosen = sorted(i for i, c in times.items() if c >= max(1, width // f.FIRST_IN))
+    return [windows[i] for i in (chosen or ([min(range(n), key=lambda i: (ranks[i], i))] if n else []))]
+
+
+def test_chosen_windows_chain_and_likeness_against_the_definition():
+    rng = random.Random(22)
+    texts = [b"", b"a", b"ab" * 4, b"a" * 300, bytes(40) + b"x" * 3, "é日".encode() * 90] + [words(rng, n).encode() for n in (1, 2, 3, 5, 9, 20, 45, 90, 200, 900)]
+    chains = fingerprint.fingerprints(texts)
+    sets = []
+    for t, c in zip(texts, chains, strict=True):
+        chosen = list(dict.fromkeys(brute_features(t)))
+        groups = [chosen[i : i + fingerprint.PER_FILTER] for i in range(0, len(chosen), fingerprint.PER_FILTER)]
+        assert len(c) == len(groups), t
+        own = [set(np.flatnonzero(np.unpackbits(row)).tolist()) for row in c]
+        # the same windows, wherever they stand, set the same bits, and no others
+        for bits, group in zip(own, groups, strict=True):
+            made = set()
+            for w in group:
+                one = np.unpackbits(fingerprint.fingerprints([w.rstrip(b"\0") or w])[0][0])
+                made |= set(np.flatnonzero(one).tolist())
+            assert bits == made
+        sets.append(own)
+    most = fingerprint.FILTER_BYTES * 8
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets):
+            few, many = sorted((x, y), key=len)
+            if not few or not many:
+                want = float(len(x) == len(y))
+            else:
+                best = [max(min(max((len(p & q) - len(p) * len(q) / most) / (max(len(p), len(q)) - len(p) * len(q) / most), 0), 1) for q in many) for p in few]
+                want = sum(v * len(p) for v, p in zip(best, few, strict=True)) / sum(map(len, few))
+            if len(x) != len(y) or texts[a] == texts[b] or not x:
+                assert abs(fingerprint.likeness(chains[a], chains[b]) - want) < 1e-5
+
+
+def test_short_edits_are_near():
+    rng = random.Random(23)
+    for n in (60, 150, 258, 300, 380, 600):
+        text = words(rng, 200)[:n]
+        edited = text[: n - n // 3] + "x"
+        a, b = fingerprint.fingerprints([text.encode(), edited.encode()])
+        assert fingerprint.likeness(a, b) > 0.25, n
+
+
 # substring dedup
 
 
