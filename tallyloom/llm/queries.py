@@ -138,7 +138,9 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     n AS (SELECT *, lower(trim(regexp_replace(line, '[ \t\x0B\f\r]+', ' ', 'g'))) AS norm FROM l),
     b AS (SELECT doc_id, pos, norm, row_number() OVER d AS no, lead(norm) OVER d AS norm2, lead(pos) OVER d AS pos2, count(*) OVER (PARTITION BY doc_id) AS n
       FROM n WHERE norm <> '' WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
-    w AS (SELECT doc_id, pos, pos2, row_number() OVER (PARTITION BY norm, norm2 ORDER BY doc_id, no) AS nth FROM b WHERE norm2 IS NOT NULL OR n = 1),
+    v AS (SELECT doc_id, no, pos, pos2, norm, norm2 FROM b WHERE norm2 IS NOT NULL
+      UNION ALL SELECT doc_id, no, pos, NULL, norm, NULL FROM b WHERE n = 1 OR len(string_split(norm, ' ')) >= 20),
+    w AS (SELECT doc_id, pos, pos2, row_number() OVER (PARTITION BY norm, norm2 ORDER BY doc_id, no) AS nth FROM v),
     g AS (SELECT doc_id, pos FROM w WHERE nth > 1 UNION SELECT doc_id, pos2 FROM w WHERE nth > 1 AND pos2 IS NOT NULL),
     k AS (SELECT n.doc_id, string_agg(CASE WHEN g.pos IS NULL THEN n.line END, chr(10) ORDER BY n.pos) AS kept, bool_or(g.pos IS NULL AND n.norm <> '') AS any_left, count(g.pos)::INTEGER AS n_removed
       FROM n LEFT JOIN g ON n.doc_id = g.doc_id AND n.pos = g.pos GROUP BY n.doc_id)

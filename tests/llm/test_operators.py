@@ -62,17 +62,20 @@ def test_rules_stand_under_their_rarest_token():
 # line dedup
 
 
-def brute_lines(rows, n=2):
-    """Marks every window of n non-blank lines that stands earlier."""
+def brute_lines(rows, n=2, long=20):
+    """Marks every window of n non-blank lines, and every line of so many words, that stands earlier."""
     seen, out = set(), {}
     for i, text in rows:
         lines = text.split("\n")
         filled = [(k, " ".join(x.lower().split())) for k, x in enumerate(lines) if x.strip()]
         gone, size = set(), min(n, len(filled))
-        for a in range(len(filled) - size + 1) if filled else ():
-            key = tuple(x for _, x in filled[a : a + size])
+        windows = [filled[a : a + size] for a in range(len(filled) - size + 1)] if filled else []
+        if size > 1:
+            windows += [[x] for x in filled if len(x[1].split()) >= long]
+        for w in windows:
+            key = tuple(x for _, x in w)
             if key in seen:
-                gone |= {k for k, _ in filled[a : a + size]}
+                gone |= {k for k, _ in w}
             seen.add(key)
         left = [x for k, x in enumerate(lines) if k not in gone]
         out[i] = ("\n".join(left) if any(x.strip() for x in left) else "") if gone else text
@@ -81,7 +84,7 @@ def brute_lines(rows, n=2):
 
 def test_lines_against_brute_force(spark):
     rng = random.Random(1)
-    pool = [words(rng, 3) for _ in range(12)] + ["", "  ", "A  b", "a b "]
+    pool = [words(rng, 3) for _ in range(12)] + ["", "  ", "A  b", "a b "] + [words(rng, n) for n in (19, 20, 60)]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 9)))) for i in range(60)]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, rows).repartition(3)).collect()}
     assert got == brute_lines(rows)
@@ -93,8 +96,20 @@ def test_lines_edge_cases(spark):
     assert Counter((r.doc_id, r.text) for r in got)[(None, "one")] == 1  # null ids come first
     assert [r.text for r in got if r.doc_id == 4] == ["", ""]  # rows equal in id and text count as one
     assert line_dedup.dedup_lines(docs(spark, EDGE).limit(0)).count() == 0
-    extra = docs(spark, [(1, "a\nb"), (2, "a\nb")]).withColumnsRenamed({"lang": "gone"})
-    assert sorted(r.text for r in line_dedup.dedup_lines(extra).collect()) == ["", "a\nb"]
+    extra = docs(spark, [(1, "a\nb"), (2, "a\nb")]).withColumnsRenamed({"lang": "gone", "source": "of", "n_chars": "__id"})
+    assert sorted((r.text, r.of) for r in line_dedup.dedup_lines(extra).collect()) == [("", "s"), ("a\nb", "s")]
+
+
+def test_long_lines_go_alone_and_very_long_texts_take_seconds(spark):
+    rng = random.Random(24)
+    passage, short = words(rng, 51), words(rng, 8)
+    rows = [(i, f"{words(rng, 5)}\n{passage}\n{words(rng, 5)}\n{short}\n{words(rng, 5)}") for i in range(4)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert got == {i: t if not i else t.replace(passage + "\n", "") for i, t in rows}
+    many = "\n".join(f"line {k % 50_000}" for k in range(100_000))
+    start = time.monotonic()
+    assert [len(r.gone) for r in line_dedup.dedup_lines(docs(spark, [(1, many)])).collect()] == [50_000]
+    assert time.monotonic() - start < 60
 
 
 # html extraction
