@@ -24,38 +24,75 @@ SENTENCES = [
 ]
 
 
+APART = "\n" + "-" * 160 + "\n"
+#: Sentences of which a report holds the one whose place is its key modulo their number: each phrase alone, and near misses.
+PHRASES = [
+    "", "An audit trail was kept.", "There is an edit log.", "The accounting software is in use.", "Recording audit trail is on.", "It operated throughout the year.", "It operated on most days and throughout.",
+    "It was used throughout the year.", "The log was tampered with.", "It was not tampered.", "Records retention follows the audit trail.", "The records are preserved.",
+    "The audit trail and edit log operated throughout the year, were not tampered with and are preserved.",
+    "Foreign exchange of 12 lakh.", "Forex is described elsewhere.", "Related party: 7 items.", "Loan to directors was none.", "Statement as at 31st March 2024.", "Figures of 31.03.2023 are given.", "The prior year is shown.",
+    "Amount required to be spent: 5.", "What is required to be spent is nothing.", "Expenditure incurred was 8.", "Shortfall at the end: 3.", f"Shortfall at the end is nil.{APART}A shortfall of 5.", "Previous year shortfall: 9.",
+    "Reason for shortfall, see 2.", "Contribution towards 4 schools.", "CSR activities took place.", "A trust got 6.", "Provision is made for 7.", "A liability incurred.", "A dividend is proposed.", "Reconciliation is given.", "The promoter owns shares.",
+    "c.l.f basis" + " " * 149 + "1.", "c.l.f basis" + " " * 150 + "1.", "1" + " " * 149 + "c.l.f basis.", "1" + " " * 150 + "c.l.f basis.",
+]
+
+
 def reports_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """filing_id and full_text: a customer's report, of the sentences that its key picks."""
-    c = F.col("c_custkey")
+    """filing_id, full_text and what the checks compare: a customer's report, of the sentences that its key picks."""
+    c, money = F.col("c_custkey"), F.abs("c_acctbal") * 100
     picked = F.array_compact(F.array(*[F.when(c % n == 0, s) for n, s in SENTENCES]))
-    return table(spark, sf_dir, "customer").select(c.alias("filing_id"), F.array_join(picked, "\n" + "-" * 160 + "\n").alias("full_text"))
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (c % len(PHRASES) + 1).cast("int"))
+    filed = F.when(c % 7 == 3, F.col("c_acctbal")).when(c % 7 == 4, F.col("c_acctbal") * 1.02 + 2)
+    compared = F.struct(F.lit("Turnover").alias("label"), F.col("c_acctbal").alias("stated"), filed.alias("filed"))
+    return table(spark, sf_dir, "customer").select(
+        c.alias("filing_id"), F.array_join(F.concat(picked, F.array(phrase)), APART).alias("full_text"), (c % 3 > 0).alias("csr_applicable"), F.array(compared).alias("comparatives"),
+        F.when(c % 4 == 1, "yes").when(c % 4 == 2, "no").alias("in_format"), money.alias("stated_authorised"), F.when(c % 5 > 0, money + (c % 5) * 600).alias("registry_authorised"),
+        F.when(c % 6 > 0, money).alias("stated_paid_up"), (money - (c % 7) * 400).alias("registry_paid_up"), (c % 4).alias("export_sales"), F.when(c % 11 > 0, c % 2).alias("rpt_sale_goods"),
+    )
 
 
 @query(
     "t_disclosures",
-    """WITH c AS (SELECT c_custkey AS k FROM customer),
+    """WITH c AS (SELECT c_custkey AS k, c_custkey % 39 AS p, c_acctbal AS b, abs(c_acctbal) * 100 AS m FROM customer),
     x AS (SELECT k, unnest([
       {'n': 'audit_headings', 'v': CASE WHEN k % 6 = 0 THEN 'Yes' ELSE 'No' END},
       {'n': 'caro', 'v': CASE WHEN k % 5 = 0 THEN 'Not Applicable' WHEN k % 7 = 0 THEN 'Yes' ELSE 'No' END},
+      {'n': 'statement_format', 'v': CASE WHEN k % 4 = 1 THEN 'Yes' ELSE 'No' END},
       {'n': 'cin_din_address', 'v': CASE WHEN k % 4 = 0 THEN 'Yes' ELSE 'No' END},
+      {'n': 'previous_year_figures', 'v': CASE WHEN k % 7 = 3 THEN 'Yes' WHEN k % 7 = 4 THEN CASE WHEN abs(b - (b * 1.02 + 2)) <= greatest(1.0, 0.01 * abs(b * 1.02 + 2)) THEN 'Yes' ELSE 'No' END
+        WHEN p IN (17, 18, 19, 25) THEN 'Yes' ELSE 'No' END},
       {'n': 'five_percent_holders', 'v': CASE WHEN k % 6 = 0 THEN 'Yes' ELSE 'No' END},
+      {'n': 'statutory_register', 'v': 'No'}, {'n': 'board_resolution', 'v': 'No'}, {'n': 'directors_abroad', 'v': 'No'},
+      {'n': 'authorised_capital', 'v': CASE WHEN k % 5 = 0 THEN 'Missing Data' WHEN k % 5 * 600 <= greatest(1000, 0.01 * (m + k % 5 * 600)) THEN 'Yes' ELSE 'No' END},
+      {'n': 'paid_up_capital', 'v': CASE WHEN k % 6 = 0 THEN 'Missing Data' WHEN k % 7 * 400 <= greatest(1000, 0.01 * abs(m - k % 7 * 400)) THEN 'Yes' ELSE 'No' END},
       {'n': 'eps', 'v': CASE WHEN k % 9 = 0 THEN 'Yes' ELSE 'No' END},
-      {'n': 'signed_by_both', 'v': CASE WHEN k % 20 = 0 AND (k % 3 = 0 OR k % 5 = 0) THEN 'Yes' ELSE 'No' END},
+      {'n': 'signed_by_both', 'v': CASE WHEN k % 10 = 0 AND (k % 4 = 0 OR p = 16) AND (k % 3 = 0 OR k % 5 = 0) THEN 'Yes' ELSE 'No' END},
       {'n': 'udin', 'v': CASE WHEN k % 11 = 0 THEN 'Yes' ELSE 'No' END},
       {'n': 'auditor_seal', 'v': CASE WHEN k % 10 = 0 THEN 'Yes' ELSE 'No' END},
-      {'n': 'reconciliation_of_shares', 'v': 'No'}, {'n': 'promoter_holding', 'v': 'No'},
+      {'n': 'related_party_sales', 'v': CASE WHEN k % 11 > 0 AND (k % 4 > 0 OR k % 2 > 0) THEN CASE WHEN k % 4 = k % 2 THEN 'Yes' ELSE 'No' END WHEN p IN (15, 16) THEN 'Yes' ELSE 'No' END},
+      {'n': 'forex', 'v': CASE WHEN p IN (13, 15, 35, 37) THEN 'Yes' ELSE 'No' END},
+      {'n': 'reconciliation_of_shares', 'v': CASE WHEN p = 33 THEN 'Yes' ELSE 'No' END}, {'n': 'promoter_holding', 'v': CASE WHEN p = 34 THEN 'Yes' ELSE 'No' END},
       {'n': 'accounting_policies', 'v': CASE WHEN k % 12 = 0 THEN 'Yes' ELSE 'No' END},
       {'n': 'cash_flow_statement', 'v': CASE WHEN k % 12 = 0 THEN 'Yes' ELSE 'No' END},
-      {'n': 'audit_trail_software', 'v': CASE WHEN k % 13 = 0 THEN 'Yes' ELSE 'No' END},
-      {'n': 'audit_trail_edit_log', 'v': CASE WHEN k % 13 = 0 THEN 'Yes' ELSE 'No' END},
-      {'n': 'audit_trail_throughout_year', 'v': CASE WHEN k % 13 = 0 THEN 'Yes' ELSE 'No' END},
-      {'n': 'audit_trail_tampering', 'v': CASE WHEN k % 13 = 0 THEN 'Yes' ELSE 'No' END},
-      {'n': 'audit_trail_preservation', 'v': CASE WHEN k % 13 = 0 THEN 'Yes' ELSE 'No' END},
-      {'n': 'audit_trail_verdict', 'v': CASE WHEN k % 13 = 0 THEN 'Yes' ELSE 'No' END}]) AS u FROM c)
+      {'n': 'csr_required_amount', 'v': CASE WHEN k % 3 = 0 THEN 'Not Applicable' WHEN p = 20 THEN 'Yes' ELSE 'No' END},
+      {'n': 'csr_expenditure', 'v': CASE WHEN k % 3 = 0 THEN 'Not Applicable' WHEN p = 22 THEN 'Yes' ELSE 'No' END},
+      {'n': 'csr_shortfall', 'v': CASE WHEN k % 3 = 0 THEN 'Not Applicable' WHEN p IN (23, 25, 26) THEN 'Yes' ELSE 'No' END},
+      {'n': 'csr_previous_shortfall', 'v': CASE WHEN k % 3 = 0 THEN 'Not Applicable' WHEN p = 25 THEN 'Yes' ELSE 'No' END},
+      {'n': 'csr_shortfall_reason', 'v': CASE WHEN k % 3 = 0 THEN 'Not Applicable' WHEN p = 26 THEN 'Yes' ELSE 'No' END},
+      {'n': 'csr_activities', 'v': CASE WHEN k % 3 = 0 THEN 'Not Applicable' WHEN p = 27 THEN 'Yes' ELSE 'No' END},
+      {'n': 'csr_trust', 'v': CASE WHEN k % 3 = 0 THEN 'Not Applicable' WHEN p = 29 THEN 'Yes' ELSE 'No' END},
+      {'n': 'csr_obligation', 'v': CASE WHEN k % 3 = 0 THEN 'Not Applicable' WHEN p = 30 THEN 'Yes' ELSE 'No' END},
+      {'n': 'audit_trail_software', 'v': CASE WHEN k % 13 = 0 OR p IN (1, 2, 3, 4, 10, 12) THEN 'Yes' ELSE 'No' END},
+      {'n': 'audit_trail_edit_log', 'v': CASE WHEN k % 13 = 0 OR p IN (2, 4, 12) THEN 'Yes' ELSE 'No' END},
+      {'n': 'audit_trail_throughout_year', 'v': CASE WHEN p IN (5, 6, 12) THEN 'Yes' ELSE 'No' END},
+      {'n': 'audit_trail_tampering', 'v': CASE WHEN k % 13 = 0 OR p IN (8, 9, 12) THEN 'Yes' ELSE 'No' END},
+      {'n': 'audit_trail_preservation', 'v': CASE WHEN p IN (10, 12) THEN 'Yes' ELSE 'No' END},
+      {'n': 'audit_trail_verdict', 'v': CASE WHEN p = 12 THEN 'Yes' ELSE 'No' END},
+      {'n': 'Details of dividend?', 'v': CASE WHEN p = 32 THEN 'Yes' ELSE 'No' END}]) AS u FROM c)
     SELECT k AS filing_id, u.n AS "check", u.v AS user_value, CASE WHEN u.v = 'Yes' THEN 'Passed' ELSE 'Failed' END AS status FROM x""",
 )
 def t_disclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return disclosure_flags(reports_text(spark, sf_dir)).select("filing_id", "check", "user_value", "status")
+    return disclosure_flags(reports_text(spark, sf_dir), particulars=("Details of dividend?",)).select("filing_id", "check", "user_value", "status")
 
 
 def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
