@@ -1,15 +1,16 @@
 """Markdown documents to lines, blocks, sections, tables, nodes and edges.
 
-Every job partitions by document, so one shuffle by doc_id serves all of them.
+A document lies in one row. ``parsed`` keeps it there: its blocks, sections and tables are arrays of
+that row, so tables, sections and nodes need neither a shuffle nor a window. Lines and blocks as
+rows of their own are for tables that begin with lines.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.arrays import once, places, runs
 from tallyloom.functions.cleaning import strip_markup
 
 #: Column names that hold note numbers.
@@ -22,15 +23,104 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("at", "line")).select("doc_id", (F.col("at") + 1).alias("line_no"), "line")
 
 
-def line_kinds(lines_: DataFrame) -> DataFrame:
-    """Adds kind (blank, image, heading, separator, table, paragraph, tested in that order) and level, the heading's depth or 0."""
-    t = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
-    kind = (
+def _bare(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, r"^\s+|\s+$", ""))
+
+
+def _kind(t: Column) -> Column:
+    return (
         F.when(t == "", "blank").when(t.rlike(r"^!\[.*?\]\(.*?\)"), "image").when(t.rlike(r"^#{1,6}\s+"), "heading")
         .when(t.rlike(r"^\|[\s\-:|]+\|$"), "separator").when(t.rlike(r"^\|"), "table").otherwise("paragraph")
     )
-    level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract(t, r"^(#{1,6})\s", 1))).otherwise(0)
-    return lines_.withColumn("kind", kind).withColumn("level", level)
+
+
+def _level(t: Column) -> Column:
+    """The depth of a heading."""
+    return F.length(F.regexp_extract(t, r"^(#{1,6})\s", 1))
+
+
+def line_kinds(lines_: DataFrame) -> DataFrame:
+    """Adds kind (blank, image, heading, separator, table, paragraph, tested in that order) and level, the heading's depth or 0."""
+    t = _bare(F.col("line"))
+    return lines_.withColumn("kind", _kind(t)).withColumn("level", F.when(F.col("kind") == "heading", _level(t)).otherwise(0))
+
+
+def parsed(docs: DataFrame, bold_headings: bool = False) -> DataFrame:
+    """doc_id and sections: an array of section_no, level, title, parent_no and blocks (block_no, kind, level, line_no, content, lines).
+
+    Runs of table lines, and of paragraph lines, are one block each; a heading is its own; blanks and
+    images break runs and vanish. A section begins at each heading, and section 0, the preamble, has
+    what stands before (it is left out where nothing does). parent_no is the nearest earlier section
+    of a smaller level, else null. bold_headings: a line that is all bold is a heading of level 6. A
+    null text has no section. Levels of the sections of one document are walked through once, with
+    a list that grows by one entry each.
+    """
+    bold = r"^\*\*[^*]+\*\*:?$"
+    family = lambda t: F.when(t.rlike(bold) if bold_headings else F.lit(False), "heading").otherwise(F.when(_kind(t) == "separator", "table").otherwise(_kind(t)))
+    level = lambda t: F.when(t.rlike(r"^#"), _level(t)).otherwise(6)
+    line = lambda raw: once(_bare(raw), lambda t: F.struct(raw.alias("raw"), family(t).alias("family"), t.alias("bare")))
+
+    def blocks_of(rows: Column) -> Column:
+        kind = lambda i: F.get(rows, i)["family"]
+        starts = F.filter(places(rows), lambda i: (i == 0) | (kind(i) == "heading") | (kind(i) != kind(i - 1)))
+        spans = once(starts, lambda s: F.filter(runs(F.size(rows), s), lambda r: ~kind(r["first"]).isin("blank", "image")))
+
+        def block(r: Column, j: Column) -> Column:
+            own = F.slice(rows, r["first"] + 1, r["size"])
+            head = kind(r["first"]) == "heading"
+            title = strip_markup(F.regexp_replace(F.get(rows, r["first"])["bare"], r"^#{1,6}\s+", ""))
+            text = F.when(kind(r["first"]) == "table", "").when(head, title).otherwise(F.array_join(F.transform(own, lambda x: F.trim(x["raw"])), " "))
+            depth = F.when(head, level(F.get(rows, r["first"])["bare"])).otherwise(0)
+            return F.struct((j + 1).alias("block_no"), kind(r["first"]).alias("kind"), depth.alias("level"), (r["first"] + 1).alias("line_no"), text.alias("content"), F.transform(own, lambda x: x["raw"]).alias("lines"))
+
+        return F.transform(spans, block)
+
+    def sections_of(all_: Column) -> Column:
+        heads = F.filter(places(all_), lambda i: F.get(all_, i)["kind"] == "heading")
+        cut = F.transform(once(F.concat(F.array(F.lit(0)), heads), lambda s: runs(F.size(all_), s)), lambda r, m: F.struct(m.alias("section_no"), F.slice(all_, r["first"] + 1, r["size"]).alias("blocks")))
+        filled = F.filter(cut, lambda x: F.size(x["blocks"]) > 0)
+        first = lambda x: F.get(x["blocks"], F.lit(0))
+        depth = lambda x: F.when(x["section_no"] == 0, 0).otherwise(first(x)["level"])
+
+        def with_parents(parts: Column) -> Column:
+            start = F.struct(F.array_repeat(F.lit(None).cast("int"), 7).alias("last"), F.array().cast("array<int>").alias("up"))
+            step = lambda acc, x: F.struct(
+                F.transform(acc["last"], lambda v, k: F.when(k == depth(x), x["section_no"]).otherwise(v)).alias("last"),
+                F.concat(acc["up"], F.array(F.array_max(F.slice(acc["last"], 1, depth(x))))).alias("up"),
+            )
+            title = lambda x: F.when(x["section_no"] == 0, "Preamble").otherwise(first(x)["content"])
+            made = lambda up: F.transform(parts, lambda x, i: F.struct(x["section_no"], depth(x).alias("level"), title(x).alias("title"), F.get(up, i).alias("parent_no"), x["blocks"]))
+            return once(F.aggregate(parts, start, step, lambda acc: acc["up"]), made)
+
+        return once(filled, with_parents)
+
+    rows = F.transform(F.split("text", "\r?\n"), line)
+    return docs.select("doc_id", once(once(rows, blocks_of), sections_of).alias("sections"))
+
+
+def parsed_tables(docs: DataFrame) -> DataFrame:
+    """doc_id, section_no, block_no, caption (the section's title) and rows: the cells of each line of a table, the header first; all have the header's width."""
+    each = parsed(docs).select("doc_id", F.explode("sections").alias("s")).select("doc_id", "s.section_no", F.col("s.title").alias("caption"), F.explode(F.filter("s.blocks", lambda b: b["kind"] == "table")).alias("b"))
+    return each.select("doc_id", "section_no", "b.block_no", "caption", _rows_of(F.col("b.lines")).alias("rows")).filter(F.size("rows") > 0)
+
+
+def _rows_of(table_lines: Column) -> Column:
+    """The cells of a table's lines without separators, padded or cut to the width of the first."""
+    content = F.filter(table_lines, lambda x: ~F.trim(x).rlike(r"^\|?[\s\-:|]+\|?$"))
+    cut = F.transform(content, lambda x: F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|", -1))
+    wide = lambda rows: F.transform(rows, lambda r: F.transform(places(F.get(rows, F.lit(0))), lambda c: F.coalesce(strip_markup(F.get(r, c)), F.lit(""))))
+    return once(cut, wide)
+
+
+def document_sections(docs: DataFrame) -> DataFrame:
+    """doc_id, section_no, level, title and parent_no of every section."""
+    return parsed(docs).select("doc_id", F.explode("sections").alias("s")).select("doc_id", "s.section_no", "s.level", "s.title", "s.parent_no")
+
+
+def document_cells(docs: DataFrame) -> DataFrame:
+    """doc_id, block_no, row_no (0 is the header), col_no, header and value of all tables."""
+    each = parsed_tables(docs).select("doc_id", "block_no", F.get("rows", F.lit(0)).alias("head"), F.posexplode("rows").alias("row_no", "row"))
+    return each.select("doc_id", "block_no", "row_no", F.posexplode("row").alias("col_no", "value"), "head").select("doc_id", "block_no", "row_no", "col_no", F.get("head", F.col("col_no")).alias("header"), "value")
 
 
 def blocks(kinds: DataFrame) -> DataFrame:
@@ -87,67 +177,120 @@ def table_rows(cells: DataFrame) -> DataFrame:
     return rows.select("doc_id", "block_no", "row_no", F.coalesce(F.get(filled, F.lit(0)), F.lit("")).alias("row_label"), F.array_join(filled, " | ").alias("text"), F.size("cells").alias("n_cells"), F.when(F.col("row_no") > 0, notes).otherwise(F.array().cast("array<string>")).alias("notes"))
 
 
-def nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, node_type, node_id, parent_id, text and order (where it was made) of every node of every document.
+def nodes(docs: DataFrame, paths: bool = False) -> DataFrame:
+    """doc_id, order, node_type, key, parent, text, col_no, in_column and depth of every node of every document.
 
-    Ids number the nodes of a type in document order, as ``row_14``.
+    paths: also path, the steps from the document down to the node, each with type, key, text (at
+    most 80 characters), label (of a section its title, of a row its label) and column (of a cell
+    the name of its column).
+
+    order is the place in a walk through the tree, parents first. key and parent name a node in its
+    document, as ``row/3/1``. in_column: does the header name the column of a cell? depth counts from
+    the document, 0. Nothing is shuffled; ``numbered`` adds ids.
     """
-    parts = sections(blocks(line_kinds(lines(docs))))
-    tree, cells = section_tree(parts), table_cells(parts)
-    rows = table_rows(cells)
-    place = lambda *c: F.concat_ws(".", *[F.lpad(x.cast("string"), 6, "0") for x in c])
-    of = parts.select("doc_id", "block_no", "section_no")
+    zero, no, none = F.lit(0), F.lit(False), F.lit(None)
     key = lambda kind, *c: F.concat_ws("/", F.lit(kind), *c)
-    zero = F.lit(0)
-    made = [
-        docs.select("doc_id", F.lit("document").alias("node_type"), F.lit("document").alias("key"), F.lit(None).cast("string").alias("parent"), F.lit("").alias("text"), F.lit("").alias("order")),
-        tree.select("doc_id", F.lit("section"), key("section", "section_no"), F.when(F.col("parent_no").isNull(), "document").otherwise(key("section", "parent_no")), "title", place(F.col("section_no"))),
-        tree.select("doc_id", F.lit("heading"), key("heading", "section_no"), key("section", "section_no"), "title", place(F.col("section_no"), zero)),
-        parts.filter("kind = 'paragraph' and trim(content) <> ''").select("doc_id", F.lit("paragraph"), key("paragraph", "block_no"), key("section", "section_no"), "content", place(F.col("section_no"), F.col("block_no"))),
-    ]
-    heads = cells.filter("row_no = 0").groupBy("doc_id", "block_no").agg(F.array_join(F.array_sort(F.collect_list(F.struct("col_no", "value"))).getField("value"), " | ").alias("text")).join(of, ["doc_id", "block_no"])
-    at = [F.col("section_no"), F.col("block_no")]
-    rows, cells = rows.join(of, ["doc_id", "block_no"]), cells.join(of, ["doc_id", "block_no"])
-    row_kind = F.when(F.col("row_no") == 0, "header").otherwise("row")
-    row_key = F.when(F.col("row_no") == 0, key("header", "block_no")).otherwise(key("row", "block_no", "row_no"))
-    made += [
-        heads.select("doc_id", F.lit("table"), key("table", "block_no"), key("section", "section_no"), "text", place(*at)),
-        rows.select("doc_id", row_kind, row_key, key("table", "block_no"), F.when(F.col("row_no") == 0, "").otherwise(F.col("text")), place(*at, F.col("row_no"))),
-        cells.select("doc_id", F.lit("cell"), key("cell", "block_no", "row_no", "col_no"), row_key, "value", place(*at, F.col("row_no"), F.col("col_no"))),
-        rows.select("doc_id", F.posexplode("notes").alias("n", "note"), "section_no", "block_no", "row_no").select("doc_id", F.lit("note"), key("note", "block_no", "row_no", "n"), key("row", "block_no", "row_no"), F.concat(F.lit("Note "), "note"), place(*at, F.col("row_no"), F.lit(999), F.col("n"))),
-    ]
-    all_ = reduce(DataFrame.union, made)
-    numbered = F.concat_ws("_", "node_type", F.row_number().over(Window.partitionBy("doc_id", "node_type").orderBy("order")))
-    return all_.withColumn("node_id", numbered)
+
+    def node(kind: Column | str, name: Column, parent: Column, text: Column, depth: Column, col_no: Column = none, in_column: Column = no, above: Column | None = None, label: Column = none, column: Column = none) -> Column:
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        made = [kind.alias("node_type"), name.alias("key"), parent.cast("string").alias("parent"), text.alias("text"), depth.cast("int").alias("depth"), col_no.cast("int").alias("col_no"), in_column.alias("in_column")]
+        if paths:
+            own = F.array(step(kind, name, text, label, column))
+            made.append((own if above is None else F.concat(above, own)).alias("path"))
+        return F.struct(*made)
+
+    def step(kind: Column, name: Column, text: Column, label: Column = none, column: Column = none) -> Column:
+        return F.struct(kind.alias("type"), name.alias("key"), F.substring(text, 1, 80).alias("text"), label.cast("string").alias("label"), column.cast("string").alias("column"))
+
+    def of_table(b: Column, s: Column) -> Column:
+        no_, deep = b["block_no"], s["depth"]
+
+        def lines_of(rows: Column) -> Column:
+            head = F.get(rows, zero)
+            is_note = lambda c: F.lower(F.get(head, c)).isin(*NOTE_COLUMNS)
+            row_kind = lambda i: F.when(i == 0, "header").otherwise("row")
+            row_text = lambda i, filled: F.when(i == 0, "").otherwise(F.array_join(filled, " | "))
+            on_table = F.concat(s["path"], F.array(step(F.lit("table"), key("table", no_), F.array_join(head, " | ")))) if paths else None
+
+            def line(r: Column, i: Column) -> Column:
+                own = F.when(i == 0, key("header", no_)).otherwise(key("row", no_, i))
+                filled = F.filter(F.slice(r, 1, 2), lambda v: F.trim(v) != "")
+                label = F.when(i > 0, F.coalesce(F.get(filled, zero), F.lit("")))
+                on_row = F.concat(on_table, F.array(step(row_kind(i), own, row_text(i, filled), label))) if paths else None
+                cell = lambda v, c: node("cell", key("cell", no_, i, c), own, v, deep + 3, c, F.trim(F.get(head, c)) != "", on_row, none, F.get(head, c))
+                found = F.transform(r, lambda v, c: F.when(is_note(c) & (F.trim(v) != ""), F.trim(v)).otherwise(F.regexp_extract(v, INLINE_NOTE, 1)))
+                notes = F.transform(F.filter(found, lambda n: n != ""), lambda n, j: node("note", key("note", no_, i, j), own, F.concat(F.lit("Note "), n), deep + 3, above=on_row))
+                self_ = node(row_kind(i), own, key("table", no_), row_text(i, filled), deep + 2, above=on_table, label=label)
+                return F.concat(F.array(self_), F.transform(r, cell), F.when(i > 0, notes).otherwise(F.slice(notes, 1, 0)))
+
+            table = node("table", key("table", no_), key("section", s["section_no"]), F.array_join(head, " | "), deep + 1, above=s["path"])
+            return F.when(F.size(rows) > 0, F.concat(F.array(table), F.flatten(F.transform(rows, line))))
+
+        return once(_rows_of(b["lines"]), lines_of)
+
+    def of_section(s: Column, all_: Column) -> Column:
+        name = key("section", s["section_no"])
+        paragraph = lambda b: F.array(node("paragraph", key("paragraph", b["block_no"]), name, b["content"], s["depth"] + 1, above=s["path"]))
+        of_block = lambda b: F.when(b["kind"] == "table", of_table(b, s)).when((b["kind"] == "paragraph") & (F.trim(b["content"]) != ""), paragraph(b))
+        up = F.when(s["parent_no"].isNull(), "document").otherwise(key("section", s["parent_no"]))
+        over = F.slice(s["path"], 1, F.size(s["path"]) - 1)
+        start = F.array(node("section", name, up, s["title"], s["depth"], above=over, label=s["title"]), node("heading", key("heading", s["section_no"]), name, s["title"], s["depth"] + 1, above=s["path"]))
+        return F.concat(start, F.flatten(F.array_compact(F.transform(s["blocks"], of_block))))
+
+    # the way down to a section: that of its parent, and itself
+    def deep(parts: Column) -> Column:
+        root = F.array(step(F.lit("document"), F.lit("document"), F.lit("")))
+        down = lambda acc, x: F.concat(F.coalesce(F.try_element_at(acc, x["parent_no"]), root), F.array(step(F.lit("section"), key("section", x["section_no"]), x["title"], x["title"])))
+        add = lambda acc, x: F.map_concat(acc, F.create_map(x["section_no"], down(acc, x)))
+        kind = "map<int,array<struct<type:string,key:string,text:string,label:string,column:string>>>"
+        path = lambda m, x: F.try_element_at(m, x["section_no"])
+        made = lambda m: F.transform(parts, lambda x: F.struct(x["section_no"], x["title"], x["parent_no"], x["blocks"], path(m, x).alias("path"), (F.size(path(m, x)) - 1).alias("depth")))
+        return once(F.aggregate(parts, F.create_map().cast(kind), add), made)
+
+    document = F.array(node("document", F.lit("document"), none, F.lit(""), zero))
+    empty = F.slice(document, 1, 0)
+    all_ = F.concat(document, F.coalesce(F.flatten(F.transform(once(F.col("sections"), deep), lambda s: of_section(s, s))), empty))
+    return parsed(docs).select("doc_id", F.posexplode(all_).alias("order", "n")).select("doc_id", "order", "n.*")
+
+
+def numbered(nodes_: DataFrame) -> DataFrame:
+    """Adds node_id: the type and the number of the node among those of its type, in document order, as ``row_14``."""
+    by = Window.partitionBy("doc_id", "node_type").orderBy("order")
+    return nodes_.withColumn("node_id", F.concat_ws("_", "node_type", F.row_number().over(by)))
 
 
 def edges(nodes_: DataFrame) -> DataFrame:
-    """doc_id, src, dst and rel: ownership, adjacency and meaning, 16 kinds. Nodes are dealt by document once."""
-    by = Window.partitionBy("doc_id", "parent", F.col("node_type") == "cell", F.col("node_type") == "note").orderBy("order")
-    up = nodes_.select("doc_id", F.col("key").alias("up_key"), F.col("node_id").alias("up_id"), F.col("node_type").alias("up_type"))
-    own = nodes_.withColumn("next_id", F.lead("node_id").over(by)).withColumn("nth", F.row_number().over(by)).join(up, (nodes_.doc_id == up.doc_id) & (nodes_.parent == up.up_key), "left").drop(up.doc_id)
-    kind, above = F.col("node_type"), F.col("up_type")
-    down, self_, up_, next_ = ("up_id", "node_id"), ("node_id", "node_id"), ("node_id", "up_id"), ("node_id", "next_id")
+    """doc_id, src, dst and rel: ownership, adjacency and meaning, 16 kinds.
+
+    Nodes are dealt by document once, and no node meets another in a join: the parent of a node is
+    the latest node of its kind before it, or, for a section, found by its number.
+    """
+    by = Window.partitionBy("doc_id").orderBy("order")
+    kind = F.col("node_type")
+    own = nodes_.repartition("doc_id")
+    own = numbered(own) if "node_id" not in nodes_.columns else own
+    latest = lambda *kinds: F.last(F.when(kind.isin(*kinds), F.col("node_id")), ignorenulls=True).over(by)
+    heads = F.map_from_entries(F.collect_list(F.when(kind == "section", F.struct("key", "node_id"))).over(Window.partitionBy("doc_id")))
+    above = F.when(kind == "section", F.coalesce(F.try_element_at(heads, F.col("parent")), F.lit("document_1"))).when(kind.isin("paragraph", "table", "heading"), latest("section"))
+    above = above.when(kind.isin("row", "header"), latest("table")).when(kind.isin("cell", "note"), latest("row", "header"))
     line, cell = kind.isin("row", "header"), kind == "cell"
-    follows = F.col("next_id").isNotNull()
-    filled = F.trim("text") != ""
+    family = F.when(line, "line").otherwise(kind)
+    sibling = Window.partitionBy("doc_id", family).orderBy("order")
+    same = F.lead("parent").over(sibling) == F.col("parent")
+    own = own.withColumns({"up_id": above, "next_id": F.when(same & (line | cell), F.lead("node_id").over(sibling)), "first_id": F.lead("node_id").over(by)})
+    down, self_, up_, next_ = ("up_id", "node_id"), ("node_id", "node_id"), ("node_id", "up_id"), ("node_id", "next_id")
+    top, follows, filled = F.col("parent") == "document", F.col("next_id").isNotNull(), F.trim("text") != ""
+    in_header = F.col("up_id").startswith("header")
 
     def edge(test: Column, name: str, ends: tuple[str, str]) -> Column:
         return F.when(test, F.struct(F.col(ends[0]).alias("src"), F.col(ends[1]).alias("dst"), F.lit(name).alias("rel")))
 
     found = [
-        edge((kind == "section") & (above == "document"), "HAS_SECTION", down), edge(kind == "table", "HAS_TABLE", down), edge(line, "HAS_ROW", down), edge(cell, "HAS_CELL", down),
-        edge(above.isNotNull(), "BELONGS_TO", up_),
+        edge((kind == "section") & top, "HAS_SECTION", down), edge(kind == "table", "HAS_TABLE", down), edge(line, "HAS_ROW", down), edge(cell, "HAS_CELL", down),
+        edge(kind != "document", "BELONGS_TO", up_),
         edge(line & follows, "NEXT_ROW", next_), edge(line & follows, "PREVIOUS_ROW", next_[::-1]), edge(cell & follows, "NEXT_COLUMN", next_), edge(cell & follows, "PREVIOUS_COLUMN", next_[::-1]),
-        edge(kind == "note", "REFERS_TO_NOTE", down), edge(cell, "CELL_IN_ROW", up_),
-        edge((kind == "table") & (above == "section"), "TABLE_IN_SECTION", up_), edge((kind == "section") & (above == "document"), "SECTION_IN_DOCUMENT", up_),
-        edge(cell & (above == "header") & filled, "HEADER_FOR_COLUMN", self_),
+        edge(kind == "note", "REFERS_TO_NOTE", down), edge(cell, "CELL_IN_ROW", up_), edge(cell & F.col("in_column"), "CELL_IN_COLUMN", self_),
+        edge(kind == "table", "TABLE_IN_SECTION", up_), edge((kind == "section") & top, "SECTION_IN_DOCUMENT", up_),
+        edge(cell & in_header & filled, "HEADER_FOR_COLUMN", self_), edge((kind == "row") & filled, "ROW_HAS_LABEL", ("node_id", "first_id")),
     ]
-    plain = own.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("e")).select("doc_id", "e.*")
-    # a cell is in a column if the header above it has a name
-    heads = nodes_.filter("node_type = 'cell' and key rlike '^cell/[0-9]+/0/' and trim(text) <> ''").select("doc_id", F.regexp_replace("key", "/0/", "/").alias("column"))
-    in_column = nodes_.filter("node_type = 'cell'").withColumn("column", F.regexp_replace("key", "^(cell/[0-9]+)/[0-9]+/", "$1/")).join(heads, ["doc_id", "column"]).select("doc_id", F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit("CELL_IN_COLUMN").alias("rel"))
-    labelled = nodes_.filter("node_type = 'row' and text <> ''").select("doc_id", F.col("key").alias("row"), F.col("node_id").alias("src"))
-    first = nodes_.filter("node_type = 'cell' and key rlike '/0$'").select("doc_id", F.col("parent").alias("row"), F.col("node_id").alias("dst"))
-    label = labelled.join(first, ["doc_id", "row"]).select("doc_id", "src", "dst", F.lit("ROW_HAS_LABEL").alias("rel"))
-    return plain.union(in_column).union(label)
+    return own.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("e")).select("doc_id", "e.*")

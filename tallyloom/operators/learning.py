@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,23 +19,32 @@ def best_paths(rules: DataFrame) -> DataFrame:
 
 
 def replay(nodes: DataFrame, rules: DataFrame, depth: int, strict_compat: bool = False) -> DataFrame:
-    """doc_id, rule_id and the node that a rule's path reaches in each document.
+    """doc_id, rule_id and the node (node_type, text) that a rule's path reaches in each document.
 
-    ``path`` is an array of steps with type, label and col_index, at most ``depth`` of them. From
-    the document down, a step goes to the first child of its type whose text contains the label; a
-    step without a label takes the first of its type, a cell by its col_index. strict_compat: a
-    cell step wants the label too. The rules are few, written by people, and broadcast.
+    ``path`` is an array of steps with type, label and col_index, of which ``depth`` are taken at
+    most. From the document down, a step goes to the first child of its type whose text contains the
+    label; a step without a label takes the first of its type, a cell by its col_index. strict_compat:
+    a cell step wants the label too. A path that finds no child gives no row.
+
+    The nodes of a document are gathered once, in its row, and all rules walk there. Where nodes and
+    rules both have a document_type, a document only meets the rules of its own; else it meets all,
+    which are one row.
     """
-    kids = nodes.select(F.col("doc_id").alias("of"), "node_type", F.col("parent").alias("up"), F.col("key").alias("next"), "text", "order", F.regexp_extract("key", r"/(\d+)$", 1).try_cast("int").alias("col"))
-    now = nodes.filter("node_type = 'document'").select("doc_id", F.col("key").alias("at")).join(F.broadcast(rules.select("rule_id", "path")))
-    for i in range(depth):
-        step = F.get("path", F.lit(i))
-        going = now.withColumn("step", step)
-        by_label = F.col("step.label").isNull() | (F.col("step.label") == "") | F.lower("text").contains(F.lower("step.label"))
-        by_column = (F.col("node_type") == "cell") & F.col("step.col_index").isNotNull()
-        fits = by_label if strict_compat else F.when(by_column, F.col("col") == F.col("step.col_index")).otherwise(by_label)
-        found = going.join(kids, (F.col("doc_id") == F.col("of")) & (F.col("at") == F.col("up")) & (F.col("node_type") == F.col("step.type")) & fits, "left")
-        # a path that has ended stays where it is; one without a fitting child ends without a node
-        first = found.groupBy("doc_id", "rule_id").agg(F.min_by("next", "order").alias("next"), F.first("at").alias("at"), F.first("path").alias("path"), F.first("step").alias("step"))
-        now = first.select("doc_id", "rule_id", "path", F.when(F.col("step").isNull(), F.col("at")).otherwise(F.col("next")).alias("at")).filter("at is not null")
-    return now.join(nodes.select("doc_id", F.col("key").alias("at"), "node_type", "text"), ["doc_id", "at"]).select("doc_id", "rule_id", "node_type", "text")
+    typed = "document_type" in nodes.columns and "document_type" in rules.columns
+    by = ["document_type"] if typed else []
+    steps = rules.groupBy(*by).agg(F.collect_list(F.struct("rule_id", F.slice("path", 1, depth).alias("path"))).alias("rules"))
+    node = F.struct("order", "node_type", "key", "parent", "text", "col_no")
+    trees = nodes.groupBy("doc_id", *by).agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+
+    def walk(path: Column) -> Column:
+        def down(at: Column, step: Column) -> Column:
+            by_label = lambda n: step["label"].isNull() | (step["label"] == "") | F.lower(n["text"]).contains(F.lower(step["label"]))
+            by_column = lambda n: (n["node_type"] == "cell") & step["col_index"].isNotNull()
+            fits = by_label if strict_compat else lambda n: F.when(by_column(n), n["col_no"] == step["col_index"]).otherwise(by_label(n))
+            return F.get(F.filter("nodes", lambda n: (n["parent"] == at["key"]) & (n["node_type"] == step["type"]) & fits(n)), F.lit(0))
+
+        return F.aggregate(path, F.get("nodes", F.lit(0)), down)
+
+    met = trees.join(steps, by) if typed else trees.crossJoin(steps)  # steps is one row
+    found = met.select("doc_id", F.explode("rules").alias("r"), "nodes").select("doc_id", "r.rule_id", walk(F.col("r.path")).alias("n"))
+    return found.filter("n is not null").select("doc_id", "rule_id", "n.node_type", "n.text")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import document_tree as tree
-from tallyloom.operators.statement_facts import statement_facts
+from tallyloom.operators.statement_facts import table_facts
 from tallyloom.plans.registry import query, table
 from tallyloom.sources.statements import statements
 
@@ -18,7 +18,7 @@ sizes AS (SELECT doc_id, count(*) AS n FROM items GROUP BY 1)
 
 
 def cells_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.table_cells(tree.blocks(tree.line_kinds(tree.lines(statements(spark, sf_dir)))))
+    return tree.document_cells(statements(spark, sf_dir))
 
 
 @query(
@@ -27,7 +27,7 @@ def cells_of(spark: SparkSession, sf_dir: str) -> DataFrame:
       CASE WHEN py IS NULL THEN 0 WHEN py % 7 < 1 THEN -py ELSE py END AS py FROM items""",
 )
 def x5_statement_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statement_facts(cells_of(spark, sf_dir)).select("doc_id", "item", "fy", "py")
+    return table_facts(tree.parsed_tables(statements(spark, sf_dir))).select("doc_id", "item", "fy", "py")
 
 
 @query(
@@ -61,8 +61,7 @@ def a16_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
       {{'r': 'REFERS_TO_NOTE', 'n': n}}, {{'r': 'ROW_HAS_LABEL', 'n': n}}, {{'r': 'HEADER_FOR_COLUMN', 'n': 4}}, {{'r': 'BELONGS_TO', 'n': 21 + 6 * n}}]) AS u FROM sizes)""",
 )
 def d6_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # edges read the nodes several times: they are made once and kept, and made again where an executor is lost
-    return tree.edges(tree.nodes(statements(spark, sf_dir)).persist()).groupBy("doc_id", "rel").agg(F.count("*").alias("n"))
+    return tree.edges(tree.nodes(statements(spark, sf_dir))).groupBy("doc_id", "rel").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -72,7 +71,7 @@ def d6_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
       {{'s': 3, 'l': 3, 't': 'Balance Sheet', 'p': 2}}, {{'s': 4, 'l': 2, 't': 'Signatures', 'p': 1}}]) AS u FROM sizes)""",
 )
 def w3_section_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.section_tree(tree.sections(tree.blocks(tree.line_kinds(tree.lines(statements(spark, sf_dir))))))
+    return tree.document_sections(statements(spark, sf_dir))
 
 
 @query(
@@ -85,5 +84,5 @@ def w3_section_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, kind, min(line_no)::INTEGER AS line_no, count(*)::INTEGER AS n_lines FROM r WHERE kind <> 'blank' GROUP BY doc_id, run, kind""",
 )
 def d1_document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = tree.blocks(tree.line_kinds(tree.lines(table(spark, sf_dir, "documents").select("doc_id", "text"))))
-    return made.select("doc_id", "kind", "line_no", F.size("lines").alias("n_lines"))
+    made = tree.parsed(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(F.flatten("sections.blocks")).alias("b"))
+    return made.select("doc_id", "b.kind", "b.line_no", F.size("b.lines").alias("n_lines"))

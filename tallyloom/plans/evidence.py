@@ -205,15 +205,14 @@ def l1_alias_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "l4_replay",
-    f"""WITH {ITEMS_SQL}, r AS (SELECT doc_id, item, CASE WHEN fy % 7 < 1 THEN '(' || format('{{:,.2f}}', fy) || ')' ELSE format('{{:,.2f}}', fy) END AS text, y FROM items WHERE item = '2-HIGH' AND y % 2 = 0)
-    SELECT doc_id, 'high' AS rule_id, 'cell' AS node_type, text FROM r""",
+    f"""WITH {ITEMS_SQL}, r AS (SELECT doc_id, item, CASE WHEN fy % 7 < 1 THEN '(' || format('{{:,.2f}}', fy) || ')' ELSE format('{{:,.2f}}', fy) END AS this,
+      CASE WHEN py IS NULL THEN '-' WHEN py % 7 < 1 THEN '(' || format('{{:,.2f}}', py) || ')' ELSE format('{{:,.2f}}', py) END AS before, y FROM items WHERE item = '2-HIGH')
+    SELECT doc_id, 'high' AS rule_id, 'cell' AS node_type, CASE WHEN y % 2 = 0 THEN this ELSE before END AS text FROM r""",
 )
 def l4_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = "struct<type:string,label:string,col_index:int>"
     rules = spark.sql(f"""SELECT 'high' AS rule_id, from_json('[{{"type":"section"}},{{"type":"section"}},{{"type":"section","label":"financial"}},{{"type":"section","label":"balance"}},{{"type":"table"}},{{"type":"row","label":"2-high"}},{{"type":"cell","label":"0.00","col_index":3}}]', 'array<{step}>') AS path""")
-    even = statements(spark, sf_dir).filter("doc_id % 2 = 0")
-    # every step joins the nodes again: they are made once and kept, and made again where an executor is lost
-    return learning.replay(document_tree.nodes(even).persist(), rules, 7)
+    return learning.replay(document_tree.nodes(statements(spark, sf_dir)), rules, 7)
 
 
 @query(

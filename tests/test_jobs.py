@@ -4,9 +4,9 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import comparison, document_tree, learning, return_grid, rule_packs
+from tallyloom.operators import comparison, document_tree, learning, navigation, return_grid, rule_packs
 from tallyloom.operators.disclosures import disclosure_flags
-from tallyloom.operators.statement_facts import statement_facts
+from tallyloom.operators.statement_facts import statement_facts, table_facts
 from tallyloom.sources import corpus
 from tallyloom.streaming.jobs import hourly_board, ingest_arrivals
 
@@ -39,6 +39,42 @@ def test_blocks_sections_and_ragged_tables(spark):
     assert document_tree.edges(nodes).filter("rel = 'BELONGS_TO'").count() == nodes.count() - 3
 
 
+def test_parsed_documents_are_the_same_as_lines(spark):
+    docs = spark.createDataFrame([(1, MARKDOWN), (2, None), (3, ""), (4, "**Bold only**\nx\n|a|b|\n|1|\n\n# One\n### Deep\n## Two\n"), (5, "\n\n![i](x)\n")], "doc_id long, text string")
+    lines = document_tree.sections(document_tree.blocks(document_tree.line_kinds(document_tree.lines(docs))))
+    own = document_tree.parsed(docs).select("doc_id", F.explode("sections").alias("s")).select("doc_id", "s.section_no", F.explode("s.blocks").alias("b"))
+    columns = ["doc_id", "block_no", "kind", "level", "line_no", "content", "lines", "section_no"]
+    assert sorted(map(tuple, own.select("doc_id", "section_no", "b.*").select(columns).collect())) == sorted(map(tuple, lines.select(columns).collect()))
+    tree = document_tree.section_tree(lines).select("doc_id", "section_no", "level", "title", "parent_no")
+    assert sorted(map(str, document_tree.document_sections(docs).collect())) == sorted(map(str, tree.collect()))
+    cells = document_tree.table_cells(lines)
+    assert sorted(map(str, document_tree.document_cells(docs).select(cells.columns).collect())) == sorted(map(str, cells.collect()))
+    bold = document_tree.parsed(docs, bold_headings=True).filter("doc_id = 4").select(F.explode("sections").alias("s")).select("s.level", "s.title").collect()
+    assert [tuple(r) for r in bold] == [(6, "Bold only"), (1, "One"), (3, "Deep"), (2, "Two")]
+
+
+def test_facts_of_whole_tables_are_the_same_as_of_cells(spark):
+    texts = [
+        "| Item | Current year | Previous year |\n|-|-|-|\n| a | 1,000.00 | (200) |\n\n| Item | x | y |\n|-|-|-|\n| b | 300 | 400 |",
+        "| Item | Note | 2023 | 2024 | 2022 |\n|-|-|-|-|-|\n| a | 1 | 5 | 6 | 7 |\n| b |\n", "| Item | CY |\n| a | 9 |", "| Item | 31 March 2024 |\n| a | 9 |", "| only | words |\n| a | b |", "| head |", "no table", None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = statement_facts(document_tree.document_cells(docs))
+    got = table_facts(document_tree.parsed_tables(docs))
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and got.count() > 5
+
+
+def test_navigation_of_odd_documents(spark):
+    docs = spark.createDataFrame([(1, MARKDOWN), (2, None), (3, "")], "doc_id long, text string")
+    nodes = document_tree.nodes(docs, paths=True)
+    assert {(r.doc_id, r.node_type, r.n, r.depth) for r in navigation.summary(nodes).filter("node_type in ('document', 'cell')").collect()} == {(1, "document", 1, 0), (2, "document", 1, 0), (3, "document", 1, 0), (1, "cell", 6, 4)}
+    assert [r.key for r in navigation.find_section(nodes, "two").collect()] == ["section/1"]
+    assert navigation.find_rows(nodes, "nowhere").count() == navigation.find_cells(nodes, row="only", text="x").count() == 0
+    assert {r.status for r in navigation.variable_search(nodes, ["zzz"]).collect()} == {"NOT_FOUND"}
+    path = {r.key: r.structural_path for r in navigation.structural_path(nodes.filter("doc_id = 1")).collect()}
+    assert path["section/3"] == "document > section[Preamble] > section[Two] > section[Three]" and path["document"] == "document"
+
+
 def test_periods_by_words_and_by_place(spark):
     text = "| Item | Current year | Previous year |\n|-|-|-|\n| a | 1,000.00 | (200) |\n\n| Item | x | y |\n|-|-|-|\n| b | 300 | 400 |"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
