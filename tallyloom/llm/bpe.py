@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 
 #: The bitmap has two levels, of words of 256 bits: below for the ranks, above for the words below.
 SHIFT, MASK = 8, 255
-#: Encoded pre-tokens that a worker remembers in each of two generations.
-REMEMBERED = 200_000
+#: Encoded pre-tokens that a task remembers in each of two generations.
+REMEMBERED = 100_000
 #: Characters beyond which a pre-token is not remembered.
 LONG = 64
 #: Texts whose pre-tokens are encoded together, in characters.
-TOGETHER = 4_000_000
+TOGETHER = 1_000_000
 
 
 class BytePairs:
@@ -198,6 +198,10 @@ class BytePairs:
             if len(self.known) > self.remembered:
                 self.known, self.old = {}, self.known
 
+    def forget(self) -> None:
+        """What is remembered goes, so that an idle worker holds no more than the vocabulary."""
+        self.known, self.old = {}, {}
+
 
 _LOADED: dict[tuple[str, str], BytePairs] = {}
 
@@ -245,7 +249,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 for every row; a null text counts as empty.
 
     The ids of a whole text are made and decoded again piece by piece and go into the two digests
-    as they come, so that a very long text takes no more memory than its pieces. A worker remembers
+    as they come, so that a very long text takes no more memory than its pieces. A task remembers
     pieces it has encoded, up to a fixed number, which changes no result.
     """
 
@@ -256,5 +260,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             n, ids, raw = zip(*made, strict=True) if made else ((), (), ())
             columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        pairs.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -24,8 +24,8 @@ SAMPLE = (2000, 3000)
 #: A feature is fitted if so many texts have it and its ratio is so many standard errors from none.
 LEAST_TEXTS, LEAST_Z = 10, 2.0
 PENALTY, STEPS, RATE = 1e-3, 120, 0.03
-#: Texts whose features are made together, in characters.
-TOGETHER = 300_000
+#: Texts whose features are made together, in characters, and features that the fit lays out at once.
+TOGETHER, ENTRIES = 300_000, 500_000
 
 _FOLD = np.arange(128, dtype=np.uint64)
 _FOLD[65:91] += np.uint64(32)
@@ -100,15 +100,22 @@ def fit(features_: list[np.ndarray], toxic: np.ndarray) -> Model:
     place = np.full(size, -1, dtype=np.int32)
     place[used] = np.arange(len(used))
     kept = [c[c >= 0] for c in (place[f] for f in features_)]
-    rows, cols = np.repeat(np.arange(len(kept), dtype=np.int32), [len(c) for c in kept]), np.concatenate(kept)
-    scale = ratio[used]
-    x = scale[cols]
+    bounds = np.cumsum([0, *map(len, kept)])
+    cols, scale = np.concatenate(kept), ratio[used]
+    del kept
+    # texts in blocks of about so many features, so that only one block is laid out at a time
+    blocks = np.unique(np.append(np.searchsorted(bounds, np.arange(0, bounds[-1], ENTRIES)), len(toxic)))
     share = np.where(toxic, 0.5 / n[1], 0.5 / n[0])  # either class counts as much
     w, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, STEPS + 1):
-        z = np.bincount(rows, x * w[cols], minlength=len(toxic)) + w[-1]
-        off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic) * share
-        slope = np.append(np.bincount(cols, x * off[rows], minlength=len(used)) + PENALTY * w[:-1], off.sum())
+        scaled, slope = scale * w[:-1], np.append(PENALTY * w[:-1], 0.0)
+        for lo, hi in zip(blocks[:-1], blocks[1:], strict=True):
+            c = cols[bounds[lo] : bounds[hi]]
+            row = np.repeat(np.arange(hi - lo), np.diff(bounds[lo : hi + 1]))
+            z = np.bincount(row, scaled[c], minlength=hi - lo) + w[-1]
+            off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic[lo:hi]) * share[lo:hi]
+            slope[:-1] += scale * np.bincount(c, off[row], minlength=len(used))
+            slope[-1] += off.sum()
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     weights = np.zeros(size, dtype=np.float32)
