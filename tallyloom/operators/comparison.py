@@ -51,7 +51,8 @@ def cascade_match(keys: DataFrame, fields: DataFrame) -> DataFrame:
     """key, field and tier for each key: 1 equal, 2 equal but for case, 3 equal letters and digits, 4 one within the other (over 3 letters); no match: field Unknown, tier 5.
 
     Within a tier the first field in order counts. The first three tiers are joins on a key; only
-    what they leave meets all fields, which are few, written by people, and broadcast.
+    what they leave meets all fields, which are few and written by people; Spark broadcasts them
+    where their size allows.
     """
     alnum = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     f = fields.select("field", "ord")
@@ -63,7 +64,7 @@ def cascade_match(keys: DataFrame, fields: DataFrame) -> DataFrame:
     exact = tiers[0].union(tiers[1]).union(tiers[2])
     left = keys.join(exact.select("key").distinct(), "key", "left_anti")
     a, b = alnum(F.col("key")), alnum(F.col("field"))
-    within = left.join(F.broadcast(f), (F.length(a) > 3) & (F.length(b) > 3) & (a.contains(b) | b.contains(a))).withColumn("tier", F.lit(4))
+    within = left.join(f, (F.length(a) > 3) & (F.length(b) > 3) & (a.contains(b) | b.contains(a))).withColumn("tier", F.lit(4))
     by = Window.partitionBy("key").orderBy("tier", "ord")
     best = exact.union(within).withColumn("nth", F.row_number().over(by)).filter("nth = 1").select("key", "field", "tier")
     return keys.join(best, "key", "left").select("key", F.coalesce("field", F.lit("Unknown")).alias("field"), F.coalesce("tier", F.lit(5)).alias("tier"))
@@ -72,7 +73,7 @@ def cascade_match(keys: DataFrame, fields: DataFrame) -> DataFrame:
 def canonical_values(values: DataFrame, aliases: DataFrame) -> DataFrame:
     """filing_id, field and value under canonical names: an existing canonical key stays, else the first variant present counts."""
     v = values.withColumn("k", clean_key(F.col("key")))
-    named = v.join(F.broadcast(aliases.withColumn("k", clean_key(F.col("variant")))), "k")
-    own = v.join(F.broadcast(aliases.select(F.col("canonical"), clean_key(F.col("canonical")).alias("k")).distinct()), "k").withColumn("variant_no", F.lit(-1))
+    named = v.join(aliases.withColumn("k", clean_key(F.col("variant"))), "k")
+    own = v.join(aliases.select(F.col("canonical"), clean_key(F.col("canonical")).alias("k")).distinct(), "k").withColumn("variant_no", F.lit(-1))
     all_ = named.select("filing_id", "canonical", "value", "variant_no").union(own.select("filing_id", "canonical", "value", "variant_no"))
     return all_.groupBy("filing_id", F.col("canonical").alias("field")).agg(F.min_by("value", "variant_no").alias("value"))

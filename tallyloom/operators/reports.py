@@ -31,8 +31,9 @@ def review_progress(flags: DataFrame, by: str = "rule_id") -> DataFrame:
 
 
 def extraction_audit(mapping: DataFrame, facts: DataFrame) -> DataFrame:
-    """Every mapped field of every filing as found, with its value, or missing, with its default. The mapping is small and broadcast."""
+    """Every mapped field of every filing as found, with its value, or missing, with its default. The result has filings x mapped fields rows, so each filing meets the mapping, which is gathered in one row."""
     filings = facts.select("filing_id").distinct()
-    wanted = filings.join(F.broadcast(mapping))
+    all_fields = mapping.agg(F.collect_list(F.struct("field", "default")).alias("m"))
+    wanted = filings.crossJoin(all_fields).select("filing_id", F.explode("m").alias("m")).select("filing_id", "m.*")
     rows = wanted.join(facts, ["filing_id", "field"], "left")
     return rows.select("filing_id", "field", F.when(F.col("value").isNull(), "missing").otherwise("found").alias("state"), F.coalesce("value", "default").alias("value"))

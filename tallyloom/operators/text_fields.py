@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -64,10 +64,9 @@ def related_balances(investors: DataFrame, rows: DataFrame) -> DataFrame:
 
     rows has filing_id, row_no, text and amount. The block opens at a row that says related party;
     rows that say payable or receivable turn the side for what follows. An investor is named by any
-    word of more than two letters of its name, legal forms aside.
+    word of more than two letters of its name, legal forms aside. The rows of a filing's block meet
+    that filing's investors, since a word may stand inside a longer one.
     """
-    from pyspark.sql import Window
-
     by = Window.partitionBy("filing_id").orderBy("row_no")
     low = F.lower("text")
     side = F.last(F.when(low.contains("payable"), "payable").when(low.contains("receivable"), "receivable"), ignorenulls=True).over(by)

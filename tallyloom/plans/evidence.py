@@ -217,14 +217,16 @@ def l4_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j16_cascade_match",
-    """WITH k AS (SELECT DISTINCT CASE n_nationkey % 5 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) WHEN 2 THEN replace(n_name, '_', ' - ') WHEN 3 THEN 'the ' || n_name || '!' ELSE 'x' || n_nationkey END AS key, n_name, n_nationkey FROM nation)
-    SELECT key, CASE WHEN n_nationkey % 5 = 4 THEN 'Unknown' WHEN n_nationkey % 5 = 3 AND n_nationkey > 9 THEN 'NATION_' || (n_nationkey // 10) ELSE n_name END AS field, (n_nationkey % 5 + 1)::INTEGER AS tier FROM k""",
+    """WITH k AS (SELECT DISTINCT n_name, n_nationkey, c_custkey % 5 AS t, CASE c_custkey % 5 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) WHEN 2 THEN replace(n_name, '_', ' - ') WHEN 3 THEN 'of ' || c_custkey || ': ' || n_name || '!' ELSE 'x' || c_custkey END AS key
+      FROM customer JOIN nation ON c_nationkey = n_nationkey)
+    SELECT DISTINCT key, CASE WHEN t = 4 THEN 'Unknown' WHEN t = 3 AND n_nationkey > 9 THEN 'NATION_' || (n_nationkey // 10) ELSE n_name END AS field, (t + 1)::INTEGER AS tier FROM k""",
 )
 def j16_cascade_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, key = F.col("n_name"), F.col("n_nationkey") % 5
+    n, c = F.col("n_name"), F.col("c_custkey")
     nations = table(spark, sf_dir, "nation")
-    keys = nations.select(F.when(key == 0, n).when(key == 1, F.lower(n)).when(key == 2, F.replace(n, F.lit("_"), F.lit(" - "))).when(key == 3, F.concat(F.lit("the "), n, F.lit("!"))).otherwise(F.concat(F.lit("x"), F.col("n_nationkey").cast("string"))).alias("key"))
-    return comparison.cascade_match(keys.distinct(), nations.select(n.alias("field"), F.col("n_nationkey").alias("ord")))
+    whose = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    forms = F.when(c % 5 == 0, n).when(c % 5 == 1, F.lower(n)).when(c % 5 == 2, F.replace(n, F.lit("_"), F.lit(" - "))).when(c % 5 == 3, F.concat(F.lit("of "), c.cast("string"), F.lit(": "), n, F.lit("!"))).otherwise(F.concat(F.lit("x"), c.cast("string")))
+    return comparison.cascade_match(whose.select(forms.alias("key")).distinct(), nations.select(n.alias("field"), F.col("n_nationkey").alias("ord")))
 
 
 STATUS_SQL = "CASE event_type WHEN 'signup' THEN 'uploaded' WHEN 'view' THEN 'processing' WHEN 'click' THEN 'review_needed' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'error' END"

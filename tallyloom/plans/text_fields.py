@@ -44,16 +44,17 @@ def p27_key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "x6_related_balances",
-    """WITH l AS (SELECT l_orderkey % 50 AS filing_id, l_suppkey, l_returnflag, l_extendedprice AS amount FROM lineitem WHERE l_suppkey < 20 AND l_linenumber > 1 AND l_returnflag <> 'N')
+    """WITH l AS (SELECT l_orderkey AS filing_id, l_suppkey, l_returnflag, l_extendedprice AS amount FROM lineitem WHERE l_returnflag <> 'N')
     SELECT filing_id, s_name AS name, max(amount) FILTER (WHERE l_returnflag = 'A') AS payable, max(amount) FILTER (WHERE l_returnflag = 'R') AS receivable FROM l JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2""",
 )
 def x6_related_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    who = table(spark, sf_dir, "supplier").filter("s_suppkey < 20").select("s_suppkey", "s_name")
-    lines = table(spark, sf_dir, "lineitem").filter("l_suppkey < 20").join(who, F.col("l_suppkey") == F.col("s_suppkey"))
-    filing = F.col("l_orderkey") % 50
-    side = F.when(F.col("l_linenumber") == 1, 0).when(F.col("l_returnflag") == "A", 3).when(F.col("l_returnflag") == "R", 5).otherwise(6)
-    rows = lines.filter("l_linenumber > 1 and l_returnflag <> 'N'").select(filing.alias("filing_id"), (side * 10_000_000_000 + F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_no"), F.concat(F.lit("Due to "), "s_name").alias("text"), F.col("l_extendedprice").alias("amount"))
+    who = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    lines = table(spark, sf_dir, "lineitem").join(who, F.col("l_suppkey") == F.col("s_suppkey"))
+    side = F.when(F.col("l_returnflag") == "A", 3).when(F.col("l_returnflag") == "R", 5)
+    # rows that stand before the block do not count, whatever they say
+    outside = lines.filter("l_returnflag = 'N'").select(F.col("l_orderkey").alias("filing_id"), F.col("l_linenumber").cast("long").alias("row_no"), F.concat(F.lit("Payables to "), "s_name").alias("text"), F.col("l_extendedprice").alias("amount"))
+    rows = lines.filter("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("filing_id"), (side * 10_000_000_000 + F.col("l_linenumber")).alias("row_no"), F.concat(F.lit("Due to "), "s_name").alias("text"), F.col("l_extendedprice").alias("amount"))
     heads = rows.select("filing_id").distinct().withColumn("h", F.explode(F.array(*[F.struct(F.lit(n).alias("row_no"), F.lit(t).alias("text")) for n, t in ((10_000_000_000, "Related party disclosures"), (29_999_999_999, "Payables"), (49_999_999_999, "Receivables"))])))
-    all_ = rows.union(heads.select("filing_id", "h.row_no", "h.text", F.lit(None).cast("double")))
+    all_ = rows.union(outside).union(heads.select("filing_id", "h.row_no", "h.text", F.lit(None).cast("double")))
     investors = rows.select("filing_id", F.regexp_replace("text", "^Due to ", "").alias("name")).distinct()
     return text_fields.related_balances(investors, all_)
