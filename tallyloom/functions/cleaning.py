@@ -70,7 +70,7 @@ def field_slug(c: Column) -> Column:
 
 
 #: Scale words in the order in which they are looked for, and what one unit is worth.
-SCALES = [("lakhs", r"in lakhs|in lacs|₹ lakhs", 1e5), ("thousands", r"in thousands", 1e3), ("millions", r"in millions", 1e6), ("thousands", r"in '?000", 1e3), ("crores", r"in crores", 1e7), ("hundreds", r"in hundreds", 1e2)]
+SCALES = [("lakhs", "in lakhs?", 1e5), ("thousands", "in thousands?", 1e3), ("millions", "in millions?", 1e6), ("thousands", "in ['’]?000", 1e3), ("crores", "in crores?", 1e7), ("hundreds", "in hundreds?|in (indian )?rupees hundreds?", 1e2)]
 
 
 def scale_multiplier(text: Column) -> Column:

@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import comparison, document_tree, learning, navigation, return_grid, rule_packs
+from tallyloom.operators import comparison, document_tree, learning, navigation, return_grid, rule_packs, text_facts, workbook_facts
 from tallyloom.operators.disclosures import disclosure_flags
 from tallyloom.operators.statement_facts import statement_facts, table_facts
 from tallyloom.sources import corpus
@@ -148,3 +148,31 @@ def test_streams(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         ingest_arrivals(arrivals, document_tree.lines, str(tmp_path / "lines"), str(tmp_path / "state")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "lines")).count() == 3
+
+
+def test_amounts_behind_a_keyword(spark):
+    cases = [
+        ("revenue 12 2024 5,000", 5000.0), ("revenue (1,234.50) 7", -1234.5), ("revenue 6.1 612.00", 612.0), ("revenue 6.1 7", 6.1), ("revenue | - | 800 |", 800.0), ("revenue | - | - |", 0.0),
+        ("revenue 12", None), ("revenue", None), ("revenue 3.27.991", 327991.0), ("revenue 0 0", 0.0), ("revenue 5,00 0", 500.0), ("revenue nil", 0.0), ("revenue 49 50", 50.0), ("revenue -2025 77.5", 77.5), (None, None), ("", None),
+    ]
+    df = spark.createDataFrame(list(enumerate(c for c, _ in cases)), "i int, t string")
+    assert [r.v for r in df.select("i", text_facts.first_amount(F.col("t")).alias("v")).orderBy("i").collect()] == [v for _, v in cases]
+    assert df.filter("t = 'revenue nil'").select(text_facts.first_amount(F.col("t"), strict_compat=True).alias("v")).first().v is None
+
+
+def test_text_facts_of_odd_texts(spark):
+    far = "\n".join(["Related party"] + ["x"] * 199 + ["Professional fees 900.00"] + ["x"] * 29 + ["Salary"])
+    texts = [None, "", "Turnover\n\n700.00", "Turnover\n| 700.00", "Turnover\nnone\nx\n700.00", "Turnover 800.00\nTotal turnover 900.00\r\nturnover 1", "(a) Turnover", far, "x\n" + far.replace("Related party", "Related party\nx"), "Cash flow: borrowings 500.00\nBorrowings 600.00"]
+    df = spark.createDataFrame(list(enumerate(texts)), "filing_id int, text string")
+    got = sorted((r.filing_id, r.field, r.value) for r in text_facts.text_facts(df).collect())
+    assert got == [(2, "turnover", 700.0), (5, "turnover", 900.0), (6, "turnover", 0.0), (7, "rpt_monthly_remun", 900.0), (9, "borrowings", 600.0)]
+    assert text_facts.text_facts(df.limit(0)).count() == 0
+
+
+def test_borrowings_add_up_without_a_total(spark):
+    rows = [(1, "Long-term borrowings", "500"), (1, "Short-term borrowings", "700"), (2, "Total borrowings", "900"), (2, "Long-term borrowings", "500"), (2, "Short-term borrowings", "700"), (3, "Long-term borrowings", "500"), (4, None, "1")]
+    cells = [(i, "BS", 0, n, c, v) for n, (i, label, amount) in enumerate(rows) for c, v in enumerate((label, amount))]
+    df = spark.createDataFrame(cells, "filing_id int, sheet string, sheet_no int, row_no int, col_no int, value string")
+    got = {r.filing_id: r.value for r in workbook_facts.workbook_facts(df).filter("field = 'borrowings'").collect()}
+    assert got == {1: 1200.0, 2: 900.0, 3: 500.0}
+    assert workbook_facts.workbook_facts(df.limit(0)).count() == 0
