@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import grid_inputs, register, return_grid
+from tallyloom.operators import grid_inputs, register, reports, return_grid
 from tallyloom.plans.registry import query, table
 from tallyloom.plans.returns import HOLDERS_SQL, grid, holders
 
@@ -118,3 +118,14 @@ def j7_prefill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("j8_overwrite", f"WITH {CONTACTS_SQL} SELECT filing_id, coalesce(p, a) AS contact_name, coalesce(p, b) AS designation FROM k")
 def j8_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_inputs.overwrite(*_contacts(spark, sf_dir))
+
+
+@query(
+    "s14_extraction_audit",
+    f"""WITH {CONTACTS_SQL}, w AS (SELECT filing_id, unnest([{{'f': 'contact_name', 'v': a, 'd': 'nobody'}}, {{'f': 'designation', 'v': b, 'd': NULL}}, {{'f': 'website', 'v': NULL, 'd': 'none'}}]) AS u FROM k WHERE a IS NOT NULL OR b IS NOT NULL)
+    SELECT filing_id, u.f AS field, CASE WHEN u.v IS NULL THEN 'missing' ELSE 'found' END AS state, coalesce(u.v, u.d) AS value FROM w""",
+)
+def s14_extraction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping = spark.createDataFrame([("contact_name", "nobody"), ("designation", None), ("website", "none")], "field string, default string")
+    facts = _contacts(spark, sf_dir)[0].unpivot("filing_id", ["contact_name", "designation"], "field", "value").filter("value is not null")
+    return reports.extraction_audit(mapping, facts)

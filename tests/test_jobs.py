@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import comparison, document_tree, learning, navigation, return_grid, rule_packs, text_facts, workbook_facts
+from tallyloom.operators import comparison, document_tree, flag_report, learning, navigation, return_grid, rule_packs, text_facts, workbook_facts
 from tallyloom.operators.disclosures import disclosure_flags
 from tallyloom.operators.statement_facts import statement_facts, table_facts
 from tallyloom.sources import corpus
@@ -176,3 +176,14 @@ def test_borrowings_add_up_without_a_total(spark):
     got = {r.filing_id: r.value for r in workbook_facts.workbook_facts(df).filter("field = 'borrowings'").collect()}
     assert got == {1: 1200.0, 2: 900.0, 3: 500.0}
     assert workbook_facts.workbook_facts(df.limit(0)).count() == 0
+
+
+def test_report_tables_and_an_empty_report(spark, tmp_path):
+    flags = spark.createDataFrame([(1, "a", None), (2, None, "x")], "filing_id long, rule_id string, particulars string")
+    flag_report.write_report({"errors": flags, "consistency": flags.filter("filing_id = 2")}, str(tmp_path / "report"))
+    got = spark.read.json(str(tmp_path / "report"))
+    assert sorted((r.report, r.filing_id) for r in got.collect()) == [("consistency", "2"), ("errors", "1"), ("errors", "2")]
+    empty = flag_report.report_tables({"errors": flags.limit(0)}).collect()
+    assert [(r.report, r.filing_id, r.row) for r in empty] == [("flags", None, '{"message":"No flags generated"}')]
+    template = spark.createDataFrame([("X!", 4), ("x", 7), (None, 9)], "particulars string, row_no int")
+    assert [(r.particulars, r.n) for r in flag_report.unmatched(flags, template).collect()] == [(None, 1)]
