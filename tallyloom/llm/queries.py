@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, fingerprint, html_text, line_dedup, mixing, near_dup, substring_dedup, toxicity, url_filter, vector_search
+from tallyloom.llm import bpe, dialogue, fingerprint, html_text, line_dedup, mixing, near_dup, resample, substring_dedup, suffix_dedup, toxicity, url_filter, vector_search
 from tallyloom.llm.url_filter import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,19 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_substring_dedup")
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+@query("op11_suffix_dedup")
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.dedup_suffixes(table(spark, sf_dir, "documents")))
+
+
+@query("op12_resample")
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = resample.weigh(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return scored.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_dialogue_repair")
+def op13_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair_damaged(table(spark, sf_dir, "conversations"))
