@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: The bitmap has two levels, of words of 256 bits: below for the ranks, above for the words below.
 SHIFT, MASK = 8, 255
@@ -78,7 +79,7 @@ class BytePairs:
         start = np.flatnonzero(waiting >= 0)
         start = start[np.argsort(waiting[start], kind="stable")]
         ranks, cuts = np.unique(waiting[start], return_index=True)
-        buckets = dict(zip(ranks.tolist(), np.split(start, cuts[1:]), strict=True))
+        buckets = dict(zip(ranks.tolist(), np.split(start, cuts[1:]), strict=True)) if len(ranks) else {}
         later: dict[int, list[int]] = {}
         below, above = [0] * ((self.none >> SHIFT) + 1), 0
         for r in buckets:
@@ -230,7 +231,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = list(pairs.encode(_texts(b.column(1))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -242,7 +243,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             raw = [pairs.decode(ids or []) for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], names=["doc_id", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -262,4 +263,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         pairs.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

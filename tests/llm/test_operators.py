@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from tallyloom.llm import bpe, fingerprint, html_text, line_dedup, mixing, near_dup, substring_dedup, toxicity, url_filter, vector_search
 from tallyloom.llm.url_filter import Rule
@@ -684,6 +685,24 @@ def test_bpe_against_the_library(spark, vocabulary):
     assert bpe.round_trip(docs(spark, rows).limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_pieces_that_nothing_merges(spark, vocabulary):
+    """Every code point alone in its batch, pairs of odd ones, and a warm worker whose only new piece has no merge."""
+    path, pairs, own = vocabulary
+    encode = own.encode_ordinary
+    rng = random.Random(3)
+    alone = [chr(c) for c in (*range(0x3000), *(rng.randrange(0x3000, 0xD800) for _ in range(2000)), *(rng.randrange(0xE000, 0x110000) for _ in range(2000)))]
+    both = ["QJ", "\x00\x01", "\x80", "\u1300", "\ua66e", "ab\u0300", *(rng.choice(alone) + rng.choice(alone) for _ in range(2000))]
+    for t in alone + both:
+        assert list(pairs.encode([t])) == [encode(t)], repr(t)
+        assert pairs.encode_pieces([t.encode()])
+    warm = bpe.BytePairs(pairs.ranks, public_tokenizers.PATTERN)
+    for t in ("warm up", "QJ", "QJ warm", "\x00\x01"):
+        ((n, _, raw),) = warm.digests([t])
+        assert (n, raw) == (len(encode(t)), hashlib.sha256(t.encode()).hexdigest())
+    rows = bpe.round_trip(docs(spark, [(1, "QJ")]).withColumn("doc_id", F.lit(1)), path, public_tokenizers.PATTERN).collect()
+    assert [(r.doc_id, r.n_tokens) for r in rows] == [(1, 2)]
+
+
 def test_remembered_pieces_do_not_change_results(vocabulary):
     _, pairs, own = vocabulary
     small = bpe.BytePairs(pairs.ranks, public_tokenizers.PATTERN, remembered=3)
