@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.cleaning import clean_key
+from tallyloom.operators.lookup import contained
 
 
 def resolve(rule: Column, prev: Column, curr: Column) -> tuple[Column, Column]:
@@ -50,9 +51,8 @@ def year_on_year(facts: DataFrame) -> DataFrame:
 def cascade_match(keys: DataFrame, fields: DataFrame) -> DataFrame:
     """key, field and tier for each key: 1 equal, 2 equal but for case, 3 equal letters and digits, 4 one within the other (over 3 letters); no match: field Unknown, tier 5.
 
-    Within a tier the first field in order counts. The first three tiers are joins on a key; only
-    what they leave meets all fields, which are few and written by people; Spark broadcasts them
-    where their size allows.
+    Within a tier the first field in order counts. All tiers are joins on a key: what the first three
+    leave is looked up by its rarest gram.
     """
     alnum = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     f = fields.select("field", "ord")
@@ -62,9 +62,11 @@ def cascade_match(keys: DataFrame, fields: DataFrame) -> DataFrame:
         keys.join(f, alnum(F.col("key")) == alnum(F.col("field"))).withColumn("tier", F.lit(3)),
     ]
     exact = tiers[0].union(tiers[1]).union(tiers[2])
-    left = keys.join(exact.select("key").distinct(), "key", "left_anti")
-    a, b = alnum(F.col("key")), alnum(F.col("field"))
-    within = left.join(f, (F.length(a) > 3) & (F.length(b) > 3) & (a.contains(b) | b.contains(a))).withColumn("tier", F.lit(4))
+    left = keys.join(exact.select("key").distinct(), "key", "left_anti").withColumn("a", alnum(F.col("key"))).filter(F.length("a") > 3)
+    named = f.withColumn("b", alnum(F.col("field"))).filter(F.length("b") > 3)
+    texts = lambda df, c: df.select(F.col(c).alias("text"))
+    pairs = contained(texts(left, "a"), texts(named, "b"), 4).toDF("a", "b").union(contained(texts(named, "b"), texts(left, "a"), 4).toDF("b", "a").select("a", "b")).distinct()
+    within = left.join(pairs, "a").join(named, "b").select("key", "field", "ord").withColumn("tier", F.lit(4))
     by = Window.partitionBy("key").orderBy("tier", "ord")
     best = exact.union(within).withColumn("nth", F.row_number().over(by)).filter("nth = 1").select("key", "field", "tier")
     return keys.join(best, "key", "left").select("key", F.coalesce("field", F.lit("Unknown")).alias("field"), F.coalesce("tier", F.lit(5)).alias("tier"))
