@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.arrays import once
+
 
 def _nearest(kind: str, field: str = "key") -> Column:
     steps = F.filter("path", lambda s: s["type"] == kind)
@@ -133,3 +135,62 @@ def variable_search(nodes: DataFrame, variables: list[str]) -> DataFrame:
     wanted = nodes.filter("node_type = 'document'").select("doc_id", F.explode(F.array(*map(F.lit, variables))).alias("variable"))
     status = F.when(F.col("b.rank") == 0, "FOUND").when(F.col("b.rank") == 1, "PARTIAL").otherwise("NOT_FOUND")
     return wanted.join(best, ["doc_id", "variable"], "left").select("doc_id", "variable", status.alias("status"), F.col("b.structural_path").alias("structural_path"))
+
+
+#: Years that column names are searched for, the current one and the one before, in this order.
+YEAR_PAIRS = [("2025", "2024"), ("2022", "2021"), ("2023", "2022"), ("2024", "2023")]
+
+
+def _year_values(cells: Column) -> Column:
+    """current and previous of a row's cells (column, text): by years in the columns' names, else the last two cells with a figure."""
+    filled = F.filter(cells, lambda c: ~c["text"].isin("", "(empty)"))
+    last = lambda found: F.try_element_at(found, F.lit(-1))["text"]
+
+    def of_years(now: str, before: str) -> Column:
+        current = last(F.filter(filled, lambda c: c["column"].contains(now)))
+        previous = last(F.filter(filled, lambda c: c["column"].contains(before) & ~c["column"].contains(now)))
+        return F.when(current.isNotNull() | previous.isNotNull(), F.struct(F.coalesce(current, F.lit("")).alias("current"), F.coalesce(previous, F.lit("")).alias("previous")))
+
+    figures = F.transform(F.filter(cells, lambda c: c["text"].rlike("[0-9]")), lambda c: c["text"])
+    nth = lambda f, k: F.coalesce(F.try_element_at(f, F.lit(k)), F.lit(""))
+    by_place = lambda f: F.when(F.size(f) > 1, F.struct(nth(f, -2).alias("current"), nth(f, -1).alias("previous"))).otherwise(F.struct(nth(f, -1).alias("current"), F.lit("").alias("previous")))
+    return F.coalesce(*[of_years(*years) for years in YEAR_PAIRS], once(figures, by_place))
+
+
+def _row_score(text: Column, values: Column, words: str) -> Column:
+    """How well a row states a variable: two values +10, one of them no number -100, a month's name -50, a dot -5; the words alone +5, a total or net of them +8."""
+    now, before = values["current"], values["previous"]
+    either = lambda test: test(now) | test(before)
+    both = (now != "") & (before != "")
+    of_values = 10 - F.when(either(lambda v: ~F.translate(v, ",.-", "").rlike(r"^\s*[0-9]+\s*$")), 100).otherwise(0) - F.when(either(lambda v: F.lower(v).contains("march")), 50).otherwise(0) - F.when(either(lambda v: v.contains(".")), 5).otherwise(0)
+    of_text = F.when((text == words) | text.contains(f"| {words}"), 5).when(text.contains(f"total {words}") | text.contains(f"{words} (net)"), 8).otherwise(0)
+    return F.when(both, of_values).otherwise(0) + of_text
+
+
+def best_rows(nodes: DataFrame, variables: list[str]) -> DataFrame:
+    """doc_id, variable, row, current, previous, score and status: of each document the row that states a variable best.
+
+    Rows whose label contains the words count, without any the rows with such a cell; of these the
+    one of the highest score, ties to the first. status is FOUND with a current value, else PARTIAL.
+    A variable that no document has is one row NOT_FOUND without a document.
+
+    The cells of each row meet once; a row is then tested for all variables in place.
+    """
+    cells = nodes.filter("node_type = 'cell'").filter(F.get("path", F.size("path") - 2)["type"] == "row")
+    cell = F.struct("col_no", F.lower(F.coalesce(F.get("path", F.size("path") - 1)["column"], F.lit(""))).alias("column"), F.trim("text").alias("text"))
+    rows = cells.groupBy("doc_id", F.col("parent").alias("row")).agg(F.array_sort(F.collect_list(cell)).alias("cells"), F.min("order").alias("order"))
+    shown = F.filter(F.transform(F.slice("cells", 1, 2), lambda c: c["text"]), lambda t: t != "")
+    rows = rows.select("doc_id", "row", "order", "cells", F.lower(F.array_join(shown, " | ")).alias("text"), F.lower(F.coalesce(F.get(shown, F.lit(0)), F.lit(""))).alias("label"), _year_values(F.col("cells")).alias("values"))
+
+    def test(variable: str) -> Column:
+        words = variable.strip().lower()
+        tier = F.when(F.col("label").contains(words), 0).when(F.exists("cells", lambda c: F.lower(c["text"]).contains(words)), 1)
+        return F.when(tier.isNotNull(), F.struct(F.lit(variable).alias("variable"), tier.alias("tier"), _row_score(F.col("text"), F.col("values"), words).alias("score")))
+
+    hits = rows.select("doc_id", "row", "order", "values", F.explode(F.array_compact(F.array(*map(test, variables)))).alias("v"))
+    best = hits.groupBy("doc_id", "v.variable").agg(F.min(F.struct("v.tier", (-F.col("v.score")).alias("less"), "order", "row", "values")).alias("b"))
+    found = best.select("doc_id", "variable", "b.row", "b.values.current", "b.values.previous", (-F.col("b.less")).alias("score"), F.when(F.col("b.values.current") != "", "FOUND").otherwise("PARTIAL").alias("status"))
+    wanted = nodes.sparkSession.createDataFrame([(v,) for v in variables], "variable string")
+    absent = wanted.join(found.select("variable").distinct(), "variable", "left_anti")
+    none = F.lit(None).cast("string")
+    return found.unionByName(absent.select(F.lit(None).cast("long").alias("doc_id"), "variable", none.alias("row"), none.alias("current"), none.alias("previous"), F.lit(None).cast("int").alias("score"), F.lit("NOT_FOUND").alias("status")))

@@ -1,6 +1,6 @@
 """Queries over whole tables. Importing this package registers them."""
 
-from tallyloom.plans import cleaning, documents, evidence, flag_report, grid_inputs, learned, lookups, navigation, outlines, packs, report_texts, returns, text_fields, workbooks
+from tallyloom.plans import cleaning, documents, evidence, flag_report, grid_inputs, learned, lookups, navigation, outlines, packs, report_texts, returns, sheets, text_fields, workbooks
 from tallyloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cleaning", "documents", "evidence", "flag_report", "grid_inputs", "learned", "lookups", "navigation", "outlines", "packs", "report_texts", "returns", "text_fields", "workbooks"]
+__all__ = ["ORACLES", "QUERIES", "cleaning", "documents", "evidence", "flag_report", "grid_inputs", "learned", "lookups", "navigation", "outlines", "packs", "report_texts", "returns", "sheets", "text_fields", "workbooks"]

@@ -17,9 +17,9 @@ TOTALS_SQL = f"""{HOLDERS_SQL},
 
 
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What was read from a filing's texts: a filing is a 60th of the orders, so the last ten have no register."""
+    """What was read from a filing's texts, of every filing, with a register or without."""
     f = F.col("filing_id")
-    sums = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 60).alias("filing_id")).agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+    sums = table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 32).alias("filing_id")).agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
     return sums.select(
         f, F.when(f % 3 == 0, F.concat(F.lit("L"), f.cast("string"))).when(f % 3 == 1, F.concat(F.lit(" u"), f.cast("string"))).otherwise("").alias("cin_number"), F.when(f % 4 == 0, "Yes").alias("listed_status"),
         F.when(f % 5 == 1, "Thousands").when(f % 5 == 2, "Lakhs").alias("financials_scale"), F.col("total").alias("export_sales_fy"), F.when(f % 2 == 0, 2024).alias("filing_year"), F.when(f % 7 == 0, "30/06/2023").alias("closing_date"),
@@ -33,7 +33,7 @@ def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     r AS (SELECT filing_id, sum(securities) FILTER (WHERE share_class = 'equity') AS e, sum(amount) FILTER (WHERE share_class = 'equity')::DOUBLE / 100000 AS ea, count(DISTINCT l_linestatus) FILTER (WHERE share_class = 'equity') AS ec,
       count(DISTINCT l_linestatus) FILTER (WHERE share_class = 'part_pref') AS pc, (min((row_no, face_value)) FILTER (WHERE face_value IS NOT NULL AND share_class = 'equity'))[2]::DOUBLE AS face FROM h0 GROUP BY 1),
     b AS (SELECT filing_id, coalesce(sum(securities) FILTER (WHERE n_regionkey = 0 AND share_class <> 'non_part_pref'), 0) AS ni, coalesce(sum(amount) FILTER (WHERE n_regionkey = 1 AND share_class <> 'non_part_pref'), 0)::DOUBLE / 100000 AS nc FROM h0 WHERE country <> 'india' GROUP BY 1),
-    x AS (SELECT o_orderkey % 60 AS filing_id, count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders GROUP BY 1)
+    x AS (SELECT o_orderkey // 32 AS filing_id, count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders GROUP BY 1)
     SELECT x.filing_id, coalesce(e, n * 10)::DOUBLE AS equity_shares_count_fy, round(ea, 8) AS equity_shares_amount_py, round(coalesce(ea, 0), 8) AS equity_amount_lakhs_fy, coalesce(ec, 1) AS equity_class_count_fy, coalesce(nullif(pc, 0), 0) AS part_pref_class_count_py,
       coalesce(face, 2.0) AS equity_face_value_fy, round(coalesce(e, n * 10) * coalesce(face, 2.0) / 100000, 8) AS equity_face_lakhs_fy, ni::DOUBLE AS nr_shares_individuals_fy, round(nc, 8) AS nr_amount_companies_lakhs_py,
       CASE WHEN x.filing_id % 3 = 0 THEN 'Yes' WHEN x.filing_id % 3 = 1 THEN 'No' WHEN x.filing_id % 4 = 0 THEN 'Yes' ELSE 'No' END AS listed_status,
@@ -73,7 +73,7 @@ def g11_investor_capital(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "g14_reconciled_grid",
-    f"""WITH {TOTALS_SQL}, s AS (SELECT o_orderkey % 60 AS filing_id, sum(o_totalprice::DECIMAL(18,2))::DOUBLE / 100000 AS g7 FROM orders GROUP BY 1),
+    f"""WITH {TOTALS_SQL}, s AS (SELECT o_orderkey // 32 AS filing_id, sum(o_totalprice::DECIMAL(18,2))::DOUBLE / 100000 AS g7 FROM orders GROUP BY 1),
     m AS (SELECT filing_id, CASE WHEN filing_id % 2 = 0 THEN g7 ELSE ea END AS g7, pa, na, ea FROM c JOIN s USING (filing_id))
     SELECT filing_id, round(g7 + pa, 9) AS ii_g6, round(g7 + pa + na, 9) AS ii_g5, round(CASE WHEN filing_id % 3 = 0 THEN 5 ELSE g7 + pa END, 9) AS ii_g34, round(0.8 * (ea + pa) + filing_id, 9) AS ii_f34,
       CASE WHEN filing_id % 4 = 0 THEN 9.0 ELSE 4.0 END::DOUBLE AS ii_f41, (filing_id * 2 + CASE WHEN filing_id % 5 = 0 THEN 70 ELSE 7 END)::DOUBLE AS iv_d30, CASE WHEN filing_id % 5 = 0 THEN 11.0 ELSE 0.0 END::DOUBLE AS iii_d74 FROM m""",

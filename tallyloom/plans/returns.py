@@ -12,13 +12,14 @@ from tallyloom.sources.statements import line_items
 
 
 def holders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A shareholder register: a filing is 50th of the orders, a holder a supplier, a holding a line item."""
+    """Shareholder registers: a filing has the orders of 32 keys that follow each other, a holder is a supplier, a holding a line item. Every sixth filing has no register."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
     who = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     kinds = F.element_at(F.array(*[F.lit(x) for x in ("Individual", "Body Corporate", "Trust", "Pension Fund", "Partnership Firm")]), F.col("n_regionkey") + 1)
     flag = F.col("l_returnflag")
-    return lines.join(who, F.col("l_suppkey") == F.col("s_suppkey")).select(
-        (F.col("l_orderkey") % 50).alias("filing_id"),
+    filing = F.floor(F.col("l_orderkey") / 32)
+    return lines.filter(filing % 6 != 5).join(who, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        filing.alias("filing_id"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_no"),
         F.col("s_name").alias("name"),
         F.when(F.col("n_name") == "NATION_0", "India").otherwise(F.col("n_name")).alias("country"),
@@ -34,10 +35,10 @@ def holders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HOLDERS_SQL = """
 h0 AS (
-  SELECT l_orderkey % 50 AS filing_id, l_orderkey * 10 + l_linenumber AS row_no, lower(s_name) AS name, CASE WHEN n_name = 'NATION_0' THEN 'india' ELSE lower(n_name) END AS country,
+  SELECT l_orderkey // 32 AS filing_id, l_orderkey * 10 + l_linenumber AS row_no, lower(s_name) AS name, CASE WHEN n_name = 'NATION_0' THEN 'india' ELSE lower(n_name) END AS country,
     l_quantity AS securities, l_extendedprice::DECIMAL(18,2) AS amount, l_linestatus, n_regionkey, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE l_suppkey % 3 * 5.0 END AS face_value,
     CASE WHEN l_returnflag = 'A' THEN 'equity' WHEN l_linestatus = 'F' THEN 'non_part_pref' ELSE 'part_pref' END AS share_class
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_returnflag <> 'R')
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_returnflag <> 'R' AND l_orderkey // 32 % 6 <> 5)
 """
 
 
