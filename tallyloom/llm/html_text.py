@@ -42,6 +42,14 @@ NOT_ARTICLE = frozenset(
     "share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies discussion "
     "pager pagination widget widgets toolbar search searchform form copyright legal disclaimer skip tags".split()
 )
+#: Of these, words of reader comments, and words that a paragraph of the article may bear as well.
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+OF_PARAGRAPHS = frozenset("notice notices alert register search form copyright legal disclaimer skip tags subscription widget".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre table td th tr figure figcaption".split())
+#: First words of names that tell how a page is laid out, not what an element is.
+LAYOUT = frozenset("no has with without hide hides".split())
+#: Shares of a page's text beyond which an element is the page, whatever it is named (reader comments, others), if it has so many characters.
+WHOLE_COMMENTS, WHOLE, WHOLE_CHARS = 0.95, 0.6, 200
 HEADER = frozenset("header heading-bar site-header pageheader".split())
 KEPT_WHOLE = frozenset("html body article main".split())
 
@@ -89,7 +97,7 @@ class Page:
         self.numbers: dict[tuple[int, str], int] = {}
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         marks, runs = self._read(source)
-        self._mark(marks)
+        self._mark(marks, self._shares(runs))
         for parts in runs:
             kept = [(x, text, link) for x, text, link in parts if not self.dropped[x]]
             if text := " ".join("".join(t for _, t, _ in kept).split()):
@@ -147,8 +155,26 @@ class Page:
             runs.append(parts)
         return marks, runs
 
-    def _mark(self, marks: list[str]) -> None:
-        """Paths, and which elements are no part of an article or lie in one that is not."""
+    def _shares(self, runs: list[list[tuple[int, str, bool]]]) -> list[float]:
+        """Of the text that stands in no element of NOT_TEXT the share that each element holds; 0 of one with few characters."""
+        tags, parents = self.tags, self.parents
+        out, held = [False] * len(tags), [0.0] * len(tags)
+        for i in range(1, len(tags)):
+            out[i] = out[parents[i]] or tags[i] in NOT_TEXT
+        for parts in runs:
+            for x, text, _ in parts:
+                if not out[x]:
+                    held[x] += len(text.strip())
+        for i in range(len(tags) - 1, 0, -1):
+            held[parents[i]] += held[i]
+        return [h / held[0] if h >= WHOLE_CHARS else 0.0 for h in held]
+
+    def _mark(self, marks: list[str], shares: list[float]) -> None:
+        """Paths, and which elements are no part of an article or lie in one that is not.
+
+        Names tell: any word of NOT_ARTICLE in a class, id or role. But an element that holds most of
+        the page's text is the page, and what a paragraph of an article is named may be its matter.
+        """
         tags, parents = self.tags, self.parents
         holds = [False] * len(tags)
         for i in range(len(tags) - 1, 0, -1):
@@ -158,20 +184,25 @@ class Page:
         for i in range(1, len(tags)):
             tag, up = tags[i], parents[i]
             inside[i] = inside[up] or tag == "article"
-            label, words, hidden = tag, (), False
+            label, words, hidden = tag, set(), False
             if marks[i]:
                 found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(marks[i])}
                 kind = re.sub(r"\d+", "0", " ".join(sorted(found.get("class", "").lower().split())))
                 if kind:
                     label = f"{tag}.{kind.replace(' ', '.').replace('>', '_')}"
-                names = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}"
-                words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower())
+                names = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".split()
+                each = [re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", n).lower()) for n in names]
+                words = {w for ws in each if ws and ws[0] not in LAYOUT for w in ws}
                 hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
             self.labels.append(label)
             self.paths.append(self.numbers.setdefault((self.paths[up], label), len(self.numbers) + 1))
             drop = tag in NOT_TEXT or hidden
             if tag not in KEPT_WHOLE or (tag == "article" and inside[up]):
-                drop = drop or not NOT_ARTICLE.isdisjoint(words)
+                telling = NOT_ARTICLE.intersection(words)
+                if inside[i] and tag in PARAGRAPHS:
+                    telling -= OF_PARAGRAPHS
+                most = WHOLE if telling.isdisjoint(COMMENTS) else WHOLE_COMMENTS
+                drop = drop or bool(telling) and shares[i] < most
             if tag == "header" or not HEADER.isdisjoint(words):
                 drop = drop or not inside[up] and tag not in KEPT_WHOLE
             self.dropped.append(self.dropped[up] or (drop and not holds[i]))

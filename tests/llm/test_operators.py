@@ -158,6 +158,19 @@ def test_html_keeps_the_whole_article_around_the_largest_part(spark):
     assert got == {i: rest.strip() if 10 <= i < 19 else both for i, _, _ in rows}
 
 
+def test_html_containers_that_hold_the_text_stay():
+    """Names of the layout on the outermost container, and of matters inside an article, drop nothing."""
+    article = "<h1>Title</h1><p>" + "A long and telling line of text. " * 8 + "</p><p>And its end.</p>"
+    want = "Title\n" + ("A long and telling line of text. " * 8).strip() + "\nAnd its end."
+    for names in ('class="page no-sidebar"', 'class="has-sidebar with-menu"', 'class="form-page"', 'id="searchform-results"', 'class="site menu-closed"', 'class="widget-area wide"', 'class="post tags-none"'):
+        page = html_text.Page(f"<html><body><nav><a href=x>Home</a></nav><div {names}><div class='post'>{article}</div></div><div class='sidebar-left'>Aside</div><footer>Foot</footer></body></html>")
+        assert page.text(page.best()) == want, names
+    legal = html_text.Page(f"<body><article>{article}<p class='legal'>By law.</p><p class='ad'>Buy!</p><div class='notice'>We use cookies.</div></article><div id='comments'>" + "<p>I say so too, and more than the article.</p>" * 9 + "</div></body>")
+    assert legal.text(legal.best()) == want + "\nBy law."
+    talk = html_text.Page("<body><div class='discussion'>" + article + "</div></body>")
+    assert talk.text(talk.best()) == want
+
+
 def test_html_inline_parts_go():
     text = lambda body: html_text.Page(f"<body><article>{body}</article></body>").extract([])
     assert text("<p>Hello <button>Share</button> world</p>") == "Hello world"
