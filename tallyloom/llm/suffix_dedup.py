@@ -5,12 +5,14 @@ places. So texts fall into pieces: runs of strings with one such key. Spark coun
 whose key stands once hold nothing repeated. Equal pieces of the others are one piece with a number,
 and pieces meet by key, in groups of a bounded size.
 
-There the collection is sorted column by column. Eight bytes are a symbol, and a piece enters as
-eight documents, one for each place its first symbol can begin. Each round puts one more symbol in
-front of every document. The transform is kept symbol by symbol, each with the ascending places
+There the collection is sorted column by column. Forty bytes are a symbol, named by a hash, and a piece
+enters as forty documents, one for each place its first symbol can begin. Each round puts one more
+symbol in front of every document. The transform is kept symbol by symbol, each with the ascending places
 before which it stands: how many stand before a document's place is where its longer suffix goes.
 One pass rewrites the places and another the common prefixes of neighbours. In the end strings with
 a neighbour that shares ``length`` bytes, and those of pieces that stand several times, are repeated.
+Neighbours are compared byte by byte; where two symbols had one name, all is sorted again by symbols
+of eight bytes, whose names are their ranks.
 
 The files of the published form are Spark's here: tables in the shared folder and sorted exchanges,
 read once from front to back; a task holds one group's columns.
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 from tallyloom.llm.scratch import Scratch
 from tallyloom.llm.words import mix64
 
-LENGTH, KEY_BYTES, SYMBOL = 200, 64, 8
+LENGTH, KEY_BYTES = 200, 64
+#: Bytes of a symbol: those named by a hash, and those named by their rank.
+WIDE, NARROW = 40, 8
 #: Strings of one piece; of one key's pieces, how many may meet in a task; bytes of pieces sorted together.
 PIECE, HOT, TOGETHER = 256, 4096, 400_000
 #: Bytes of texts whose keys are found together; longer texts come in overlapping slices of this size.
@@ -96,103 +100,111 @@ def pieces(buf: np.ndarray, ends: np.ndarray, length: int = LENGTH, key_bytes: i
 
 
 class Minima:
-    """Least value of any range of an array of bytes, by blocks."""
-
-    BLOCK = 16
+    """Least value of any range of an array of bytes, from the least of each 1, 2, 4, ... that follow each other."""
 
     def __init__(self, values: np.ndarray):
-        self.values, b = values, self.BLOCK
-        table = np.full(-(-len(values) // b) * b, 255, dtype=np.uint8)
-        table[: len(values)] = values
-        table = table.reshape(-1, b)
-        self.from_start = np.minimum.accumulate(table, axis=1).reshape(-1)
-        self.to_end = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-        self.levels = [table.min(axis=1)]
-        while len(self.levels[-1]) > 1 << len(self.levels) - 1:
-            one, step = self.levels[-1], 1 << len(self.levels) - 1
-            self.levels.append(np.minimum(one[:-step], one[step:]))
+        self.levels = [values]
+        while len(self.levels[-1]) > (step := 1 << len(self.levels) - 1):
+            self.levels.append(np.minimum(self.levels[-1][:-step], self.levels[-1][step:]))
 
     def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The least from each lo to its hi, both counted."""
-        out = np.minimum(self.to_end[lo], self.from_start[hi])
-        left, right = lo // self.BLOCK, hi // self.BLOCK
-        near = np.flatnonzero(left == right)
-        a, b = lo[near], hi[near]
-        least = self.values[a]
-        for step in range(1, int((b - a).max(initial=0)) + 1):
-            least = np.minimum(least, self.values[np.minimum(a + step, b)])
-        out[near] = least
-        far = np.flatnonzero(right - left > 1)
-        size = right[far] - left[far] - 1
-        level = np.frexp(size.astype(np.float64))[1] - 1
-        for k in np.unique(level).tolist():
-            mine = far[level == k]
-            a, b = left[mine] + 1, right[mine] - (1 << k)
-            out[mine] = np.minimum(out[mine], np.minimum(self.levels[k][a], self.levels[k][b]))
+        level = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
+        order = np.argsort(level.astype(np.uint8), kind="stable")
+        bounds = np.searchsorted(level[order], np.arange(len(self.levels) + 1))
+        out = np.empty(len(lo), dtype=np.uint8)
+        for k, least in enumerate(self.levels):
+            mine = order[bounds[k] : bounds[k + 1]]
+            if len(mine):
+                out[mine] = np.minimum(least[lo[mine]], least[hi[mine] + 1 - (1 << k)])
         return out
 
 
-def repeated(some: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each piece which of its strings of ``length`` bytes stand anywhere else in the pieces."""
-    assert length % SYMBOL == 0
-    sizes = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
-    if not len(some) or sizes.max() < length:
-        return [np.zeros(max(n - length + 1, 0), dtype=bool) for n in sizes.tolist()]
-    begins = np.cumsum(sizes) - sizes
-    symbols = np.frombuffer(b"".join(some) + bytes(SYMBOL), dtype=np.uint8).astype(np.uint64)
-    for step in (1, 2, 4):  # big-endian, so that symbols are ordered as their bytes
-        symbols = symbols[:-step] << np.uint64(8 * step) | symbols[step:]
-    # documents, those of most symbols first: where the last symbol begins and how many there are
-    offset = np.tile(np.arange(SYMBOL), len(some))
-    many = (np.repeat(sizes, SYMBOL) - offset) // SYMBOL
-    front = np.repeat(begins, SYMBOL) + offset
+def _words(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, ordered as numbers as they are as bytes."""
+    words = np.concatenate((buf, np.zeros(NARROW - 1, dtype=np.uint8))).astype(np.uint64)
+    for step in (1, 2, 4):
+        words = words[:-step] << np.uint64(8 * step) | words[step:]
+    return words
+
+
+def _columns(names: np.ndarray, sizes: np.ndarray, begins: np.ndarray, symbol: int, deep: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the suffixes of at least ``deep`` symbols in sorted order (-1: those of fewer), and how many symbols each shares with the one before, at most ``deep``.
+
+    names: of the symbol that begins at each place of the joined pieces, which have these sizes and
+    begin there.
+    """
+    # documents, those of most symbols first: where they begin and how many symbols there are
+    offset = np.tile(np.arange(symbol), len(sizes))
+    many = (np.repeat(sizes, symbol) - offset) // symbol
+    front = np.repeat(begins, symbol) + offset
     order = np.argsort(-many, kind="stable")
     order = order[many[order] > 0]
     many, front = many[order], front[order]
-    names = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
 
-    m, deep = len(many), length // SYMBOL
+    m = len(many)
     transform = np.zeros(0, dtype=np.int64)  # symbol << 32 | place before which it stands, ascending
     prefix = np.zeros(m, dtype=np.uint8)  # common prefix with the suffix before, in symbols; the empty suffixes come first
     place = np.arange(m)
     for turn in range(1, int(many[0]) + 1):
         live = int(np.searchsorted(-many, -turn, side="right"))
-        fresh = names[front[:live] + SYMBOL * (many[:live] - turn)] << 32 | place[:live]
+        fresh = names[front[:live] + symbol * (many[:live] - turn)] << 32 | place[:live]
         by = np.argsort(fresh)
         fresh = fresh[by]
         before = np.searchsorted(transform, fresh)  # smaller symbols, and the same one at smaller places
         at, n = before + np.arange(live), len(transform)
-        old = np.ones(n + live, dtype=bool)
-        old[at] = False
+        # every suffix moves by the new ones that now stand before it
+        moved = np.repeat(np.arange(live + 1), np.diff(np.concatenate(([0], before, [n]))))
+        kept = moved + np.arange(n)
         merged = np.empty(n + live, dtype=np.int64)
-        merged[at], merged[old] = fresh, transform
+        merged[at], merged[kept] = fresh, transform
         # common prefixes of the new suffixes and of those behind them
-        touched = ~old
-        touched[1:] |= touched[:-1].copy()
-        touched[0] = False
-        pair = np.flatnonzero(touched)
+        touched = np.zeros(n + live + 1, dtype=bool)
+        touched[at] = touched[at + 1] = True
+        pair = np.flatnonzero(touched[1:-1]) + 1
         one, two = merged[pair - 1], merged[pair]
-        same = one >> 32 == two >> 32
+        same = np.flatnonzero(one >> 32 == two >> 32)
         longer = np.zeros(len(pair), dtype=np.uint8)
         longer[same] = np.minimum(Minima(prefix).of((one[same] & _LOW) + 1, two[same] & _LOW) + 1, deep)
         grown = np.zeros(m + n + live, dtype=np.uint8)
-        grown[m:][old] = prefix[m:]
+        grown[m + kept] = prefix[m:]
         grown[m + pair] = longer
-        # every place moves by the suffixes that now stand before it
-        moved = np.concatenate((np.zeros(m, dtype=np.int64), np.cumsum(np.bincount(before, minlength=n + 1))[:n]))
+        if at[0] == 0:
+            grown[m] = 0
+        moved = np.concatenate((np.zeros(m, dtype=np.int64), moved))
         merged += moved[merged & _LOW]
         place[live:] += moved[place[live:]]
         place[by] = m + at
         transform, prefix = merged, grown
 
-    alike = np.append(prefix >= deep, False)
-    alike = alike[:-1] | alike[1:]
-    found = np.zeros(len(symbols), dtype=bool)
+    where = np.full(len(prefix), -1, dtype=np.int64)
     for step in range(int(many[0]) - deep + 1):  # a document's suffixes from the longest on
         live = int(np.searchsorted(-many, -(step + deep), side="right"))
         at = place[:live]
-        found[front[:live] + SYMBOL * step] = alike[at]
+        where[at] = front[:live] + symbol * step
         place = transform[at - m] & _LOW
+    return where, prefix
+
+
+def repeated(some: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+    """For each piece which of its strings of ``length`` bytes stand anywhere else in the pieces."""
+    assert length % NARROW == 0
+    sizes = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
+    if not len(some) or sizes.max() < length:
+        return [np.zeros(max(n - length + 1, 0), dtype=bool) for n in sizes.tolist()]
+    begins = np.cumsum(sizes) - sizes
+    buf = np.frombuffer(b"".join(some), dtype=np.uint8)
+    words = _words(buf)
+    found = np.zeros(len(buf), dtype=bool)
+    for symbol in (WIDE, NARROW) if length % WIDE == 0 else (NARROW,):
+        symbols = words if symbol == NARROW else hashes(buf, symbol)
+        names = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
+        where, prefix = _columns(names, sizes, begins, symbol, length // symbol)
+        alike = np.flatnonzero(prefix >= length // symbol)
+        one, two = where[alike - 1], where[alike]
+        if symbol == NARROW or all((words[one + k] == words[two + k]).all() for k in range(0, length, NARROW)):
+            break
+    found[one] = found[two] = True
     return [found[b : b + max(n - length + 1, 0)] for b, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
 
 
@@ -344,12 +356,10 @@ def _removed(runs: list[dict] | None, length: int) -> list[tuple[int, int]]:
     """The maximal runs of bytes under repeated strings, as start and end."""
     if not runs:
         return []
-    each = []
-    for r in runs:
-        pairs = np.frombuffer(r["spans"], dtype=np.int32).reshape(-1, 2).astype(np.int64)
-        each.append(np.stack((pairs[:, 0] + r["at"], pairs[:, 0] + pairs[:, 1] + r["at"] + length - 1), axis=1))
-    spans = np.concatenate(each)
-    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    runs = sorted((r["at"], r["spans"]) for r in runs)
+    pairs = np.frombuffer(b"".join(s for _, s in runs), dtype=np.int32).reshape(-1, 2)
+    first = pairs[:, 0] + np.repeat([at for at, _ in runs], [len(s) // 8 for _, s in runs])
+    spans = np.stack((first, first + pairs[:, 1] + (length - 1)), axis=1)
     reach = np.maximum.accumulate(spans[:, 1])
     new = np.concatenate(([True], spans[1:, 0] > reach[:-1]))
     last = np.append(np.flatnonzero(new)[1:], len(spans)) - 1

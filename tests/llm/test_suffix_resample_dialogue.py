@@ -90,15 +90,28 @@ def test_long_texts_are_cut_into_slices(spark, monkeypatch):
     check_removed(suffix_dedup.dedup_suffixes(docs(spark, list(enumerate(texts)))).collect(), texts, 200)
 
 
-def test_columns_sort_any_pieces():
+def test_symbols_of_one_name_are_told_apart(monkeypatch):
+    """A poor hash gives many wide symbols one name: the bytes decide."""
+    honest = suffix_dedup.hashes
+    monkeypatch.setattr(suffix_dedup, "hashes", lambda buf, n: honest(buf, n) % np.uint64(3))
+    rng = random.Random(2)
+    some = [bytes(rng.choice(b"abc") for _ in range(300)) for _ in range(20)]
+    some += [some[0][50:280] + b"x", some[1][:200]]
+    seen = Counter(p[i : i + 200] for p in some for i in range(len(p) - 199))
+    for p, hit in zip(some, suffix_dedup.repeated(some), strict=True):
+        assert hit.tolist() == [seen[p[i : i + 200]] > 1 for i in range(len(p) - 199)]
+
+
+@pytest.mark.parametrize("length", [16, 40, 80])
+def test_columns_sort_any_pieces(length):
     rng = random.Random(1)
     for _ in range(60):
         alphabet = rng.choice([b"a", b"ab", b"abcdef\x00\xff"])
-        some = [bytes(rng.choice(alphabet) for _ in range(rng.randint(0, 90))) for _ in range(rng.randint(1, 12))]
+        some = [bytes(rng.choice(alphabet) for _ in range(rng.randint(0, 150))) for _ in range(rng.randint(1, 12))]
         some += [some[0][: rng.randint(0, 80)] + b"b"] * rng.randint(0, 2)
-        seen = Counter(p[i : i + 16] for p in some for i in range(len(p) - 15))
-        for p, hit in zip(some, suffix_dedup.repeated(some, 16), strict=True):
-            assert hit.tolist() == [seen[p[i : i + 16]] > 1 for i in range(len(p) - 15)]
+        seen = Counter(p[i : i + length] for p in some for i in range(len(p) - length + 1))
+        for p, hit in zip(some, suffix_dedup.repeated(some, length), strict=True):
+            assert hit.tolist() == [seen[p[i : i + length]] > 1 for i in range(len(p) - length + 1)]
 
 
 def test_least_values_of_ranges():
