@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.cleaning import clean_key
 from tallyloom.operators.lookup import contained
+from tallyloom.sources.shared import saved
 
 
 def resolve(rule: Column, prev: Column, curr: Column) -> tuple[Column, Column]:
@@ -62,7 +63,7 @@ def cascade_match(keys: DataFrame, fields: DataFrame) -> DataFrame:
         keys.join(f, alnum(F.col("key")) == alnum(F.col("field"))).withColumn("tier", F.lit(3)),
     ]
     exact = tiers[0].union(tiers[1]).union(tiers[2])
-    left = keys.join(exact.select("key").distinct(), "key", "left_anti").withColumn("a", alnum(F.col("key"))).filter(F.length("a") > 3)
+    left = saved(keys.join(exact.select("key").distinct(), "key", "left_anti").withColumn("a", alnum(F.col("key"))).filter(F.length("a") > 3), "unmatched")
     named = f.withColumn("b", alnum(F.col("field"))).filter(F.length("b") > 3)
     texts = lambda df, c: df.select(F.col(c).alias("text"))
     pairs = contained(texts(left, "a"), texts(named, "b"), 4).toDF("a", "b").union(contained(texts(named, "b"), texts(left, "a"), 4).toDF("b", "a").select("a", "b")).distinct()

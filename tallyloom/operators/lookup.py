@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.cleaning import clean_key
+from tallyloom.sources.shared import saved
 
 #: Cleaned keys that say too little to be a field.
 GENERIC = ("total", "name", "value", "shares", "class")
@@ -59,7 +60,7 @@ def field_pairs(keys: DataFrame, fields: DataFrame) -> DataFrame:
     for fields of 5 characters or more and keys that are not GENERIC, or both of a mobile number. In
     tiers 3 and 4 both or neither are of shares, and of the previous year.
     """
-    k = keys.select("key").distinct().withColumn("ck", clean_key(F.col("key")))
+    k = saved(keys.select("key").distinct(), "keys").withColumn("ck", clean_key(F.col("key")))
     f = fields.select("field").distinct().withColumn("cf", clean_key(F.col("field")))
     for df, c in ((k, "key"), (f, "field")):
         shares, py = _flags(c)
@@ -97,7 +98,8 @@ def lookup(parsed: DataFrame, fields: DataFrame) -> DataFrame:
     """filing_id, field, value, key and tier: what each filing's keys say of each field, for fields that any key fits.
 
     parsed: filing_id, ord (the key's place), key and value. The least tier counts, and within it the
-    first key. Only distinct keys are compared with fields; a hot filing costs no more than its rows.
+    first key. Only distinct keys, which are written first, are compared
+    with fields; a hot filing costs no more than its rows.
     """
     pairs = field_pairs(parsed, fields)
     met = parsed.select("filing_id", "ord", "key", "value").join(pairs, "key")
@@ -124,6 +126,7 @@ def normalise_payload(payload: DataFrame, aliases: DataFrame, fields: DataFrame)
     names = fields.select("field").union(aliases.select("field")).distinct()
     kept = own.join(names, "field").groupBy("filing_id", "field").agg(F.max_by("value", "ord").alias("value")).withColumn("way", F.lit("own"))
     keys = payload.filter(sound).withColumn("plain", _plain(F.col("key"))).groupBy("filing_id", "plain").agg(F.min("ord").alias("ord"), F.max_by("value", "ord").alias("value"))
+    keys = saved(keys, "payload")
     texts = keys.select(F.col("plain").alias("text")).distinct()
 
     words = aliases.select("field", F.explode("words").alias("word"))
