@@ -10,7 +10,10 @@ member of a bucket meets only the bucket's pivot, the member of least priority.
 of a pivot is one cluster, and of a cluster that the links leave in several parts, the parts are
 compared in blocks that give out links between parts only. Two members of a bucket in different
 clusters can only be similar if both are far from the pivot and about equally far (the triangle
-inequality of Jaccard distances); these few meet as pairs.
+inequality of Jaccard distances). Of these a pair meets only if it also shares one of the rarest
+shingles of either: sets of that similarity agree in so many shingles that they cannot do without,
+while texts of one template, which fill a bucket, share what is frequent. So no bucket is joined with
+itself there either, and what meets grows with the members.
 
 What is measured in one place leaves it as a spanning forest: one edge for each member that a link
 newly joins, however many pivots it is similar to. So edges grow with the members of a group.
@@ -42,6 +45,8 @@ HOME_NODES = 2000
 TEXT_BYTES, KEY_NODES = 2_000_000, 1000
 #: Keys of one part of the key space, which a task holds at once (14 bytes each).
 PART_KEYS = 2_000_000
+#: Cells in which shingles are counted for their order, by their hash, in blocks that add up apart.
+CELLS, CELL_BLOCK = 1 << 18, 4096
 #: What a row of _measured says: a link of the forest of similar sets, one of the forest of near sets, a distance.
 SIMILAR, NEAR, APART = 0, 1, 2
 _NO_ID = -(2**63)
@@ -317,6 +322,73 @@ def _across(clusters: DataFrame, sets: DataFrame, percent: int, partitions: int,
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _cell_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall into each of CELLS cells. A fixed size, however many sets."""
+    spark = sets.sparkSession
+
+    def packed(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = total.reshape(-1, CELL_BLOCK)
+        full = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([rows[k].tobytes() for k in full], pa.binary())], names=["block", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, dtype=np.int64)
+        for b in batches:
+            shingles = np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=np.uint64)
+            total += np.bincount((shingles & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        yield from packed(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, dtype=np.int64)
+        for b in batches:
+            for block, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[block * CELL_BLOCK : (block + 1) * CELL_BLOCK] += np.frombuffer(counts, dtype=np.int64)
+        yield from packed(total)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = "block int, counts binary"
+    counted = sets.select("shingles").mapInArrow(count, kind).repartition(parts, "block").mapInArrow(add, kind)
+    total = np.zeros(CELLS, dtype=np.int64)
+    for r in counted.collect():  # one row a block
+        total[r.block * CELL_BLOCK : (r.block + 1) * CELL_BLOCK] = np.frombuffer(bytes(r.counts), dtype=np.int64)
+    return total
+
+
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """node and shingle for the first n - ceil(n percent / 100) + 1 shingles of each set of n, in one order of all shingles that puts rare cells first.
+
+    Of two sets of at least this similarity both have a shingle among these in common.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(_cell_counts(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for b in batches:
+            for node, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = np.frombuffer(raw, dtype=np.uint64)
+                first = len(s) - -(-len(s) * percent // 100) + 1
+                order = np.lexsort((s, counts[(s & np.uint64(CELLS - 1)).astype(np.int64)]))[:first]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), node, dtype=np.int64)), pa.array(s[order].view(np.int64))], names=["node", "shingle"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, shingle long")
+
+
+def _far_pairs(far: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """a, b and n (places where they met) for members of a bucket in different clusters that may be similar.
+
+    far: bucket, node, size, cluster and d (distance to the bucket's pivot).
+    """
+    reach = 1 - percent / 100 + 1e-9
+    several = far.groupBy("bucket").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).filter("lo <> hi").select("bucket")
+    far = scratch.save(far.join(several, "bucket", "left_semi"), "apart")
+    mine = scratch.save(sets.join(far.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "far-sets")
+    met = scratch.save(far.join(_rarest(mine, percent), "node"), "met").select("bucket", "shingle", "node", "size", "cluster", "d")
+    left, right = met.toDF("bucket", "shingle", "a", "sa", "ca", "da"), met.toDF("bucket", "shingle", "b", "sb", "cb", "db")
+    close = (F.col("ca") != F.col("cb")) & (F.abs(F.col("sa") - F.col("sb")) <= _reach(percent)) & (F.abs(F.col("da") - F.col("db")) <= reach)
+    # few as a rule: written first, so that Spark knows their size
+    return scratch.save(left.join(right, ["bucket", "shingle"]).filter((F.col("a") < F.col("b")) & close).groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
+
+
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, m: int = SUB_KEYS, width: int = WIDTH, block_nodes: int = BLOCK_NODES, home_nodes: int = HOME_NODES) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text), n_shingles, group_id and component_id for every row of documents.
 
@@ -358,12 +430,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, m: int = SUB_KEY
 
     apart = measured.filter(F.col("kind") == APART).select(F.col("a").alias("pivot"), F.col("b").alias("node"), "d")
     far = scratch.save(buckets.join(apart, ["pivot", "node"]).join(placed, "node").select("bucket", "node", "size", "label", "cluster", "d"), "far")
-    several = far.groupBy("bucket").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).filter("lo <> hi").select("bucket")
-    far = far.join(several, "bucket", "left_semi")
-    left, right = far.toDF("bucket", "a", "sa", "la", "ca", "da"), far.toDF("bucket", "b", "sb", "lb", "cb", "db")
-    close = (F.col("ca") != F.col("cb")) & (F.abs(F.col("sa") - F.col("sb")) <= _reach(percent)) & (F.abs(F.col("da") - F.col("db")) <= reach)
-    # few as a rule: written first, so that Spark knows their size
-    pairs = scratch.save(left.join(right, "bucket").filter((F.col("a") < F.col("b")) & close).groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
+    pairs = _far_pairs(far, sets, percent, scratch)
     of = lambda end: placed.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
     rest = _measured(pairs, sets, percent, 2.0, partitions, home_nodes).filter(F.col("kind") == SIMILAR).join(of("a"), "a").join(of("b"), "b").select("la", "lb")
     joined = components(across.union(rest).toDF("a", "b"), scratch, "joined").toDF("label", "least")

@@ -460,6 +460,47 @@ def test_near_duplicates_of_sizes_unlike_the_pivots(spark):
     assert got == {k: k // 1000 * 1000 for k, _ in rows}
 
 
+def test_texts_of_one_template_meet_as_often_as_they_are(spark, monkeypatch):
+    """60 words in common and 40 of their own: no link, and what meets doubles with the texts. With some near copies planted."""
+    kept = {}
+    save = near_dup.Scratch.save
+
+    def saved(self, df, name):
+        kept[name] = save(self, df, name)
+        return kept[name]
+
+    monkeypatch.setattr(near_dup.Scratch, "save", saved)
+    template, met = words(random.Random(0), 60), {}
+    for n in (250, 500, 1000):
+        rng = random.Random(n)
+        rows = [(i, f"{template} {words(rng, 40)}") for i in range(n)]
+        rows += [(n + i, rows[i][1] + " more") for i in range(10)]
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs(spark, rows), n=1).collect()}
+        assert got == {i: i - n if i >= n else i for i, _ in rows}
+        met[n] = kept["pairs"].agg({"n": "sum"}).first()[0] or 0, kept["met"].count(), kept["measured"].count()
+    assert met[1000][0] <= 2.5 * met[500][0] + 50 and met[1000][1] <= 3 * met[500][1] and met[1000][2] <= 3 * met[500][2], met
+
+
+def test_far_members_are_found_by_their_rarest_shingles(spark):
+    """All pairs of at least the similarity share one, whatever the sizes."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 2**63, 400).astype(np.uint64)
+    sets = []
+    for i in range(60):
+        own = np.concatenate((rng.choice(base, rng.integers(1, 60), replace=False), rng.integers(1, 2**63, rng.integers(0, 8)).astype(np.uint64)))
+        sets += [np.unique(own), np.unique(own[: max(1, len(own) - rng.integers(0, 4))])]
+    df = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, shingles binary")
+    for percent in (50, 80, 100):
+        first = {}
+        for r in near_dup._rarest(df, percent).collect():
+            first.setdefault(r.node, set()).add(r.shingle)
+        for i, a in enumerate(sets):
+            for j in range(i):
+                both = len(np.intersect1d(a, sets[j]))
+                if 100 * both >= percent * (len(a) + len(sets[j]) - both):
+                    assert first[i] & first[j]
+
+
 @pytest.mark.parametrize(("n", "block", "home"), [(1, 3, 5), (2, 3, 5)])
 def test_near_duplicates_in_small_blocks_and_homes(spark, n, block, home):
     rng = random.Random(17)
