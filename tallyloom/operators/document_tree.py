@@ -237,15 +237,15 @@ def nodes(docs: DataFrame, paths: bool = False) -> DataFrame:
         start = F.array(node("section", name, up, s["title"], s["depth"], above=over, label=s["title"]), node("heading", key("heading", s["section_no"]), name, s["title"], s["depth"] + 1, above=s["path"]))
         return F.concat(start, F.flatten(F.array_compact(F.transform(s["blocks"], of_block))))
 
-    # the way down to a section: that of its parent, and itself
+    # the way down to a section: that of its parent, and itself; sections without a gap, so a number tells the place
     def deep(parts: Column) -> Column:
         root = F.array(step(F.lit("document"), F.lit("document"), F.lit("")))
-        down = lambda acc, x: F.concat(F.coalesce(F.try_element_at(acc, x["parent_no"]), root), F.array(step(F.lit("section"), key("section", x["section_no"]), x["title"], x["title"])))
-        add = lambda acc, x: F.map_concat(acc, F.create_map(x["section_no"], down(acc, x)))
-        kind = "map<int,array<struct<type:string,key:string,text:string,label:string,column:string>>>"
-        path = lambda m, x: F.try_element_at(m, x["section_no"])
-        made = lambda m: F.transform(parts, lambda x: F.struct(x["section_no"], x["title"], x["parent_no"], x["blocks"], path(m, x).alias("path"), (F.size(path(m, x)) - 1).alias("depth")))
-        return once(F.aggregate(parts, F.create_map().cast(kind), add), made)
+        start = F.get(parts, zero)["section_no"]
+        down = lambda acc, x: F.concat(F.coalesce(F.get(acc, x["parent_no"] - start), root), F.array(step(F.lit("section"), key("section", x["section_no"]), x["title"], x["title"])))
+        add = lambda acc, x: F.concat(acc, F.array(down(acc, x)))
+        kind = "array<array<struct<type:string,key:string,text:string,label:string,column:string>>>"
+        made = lambda ways: F.transform(parts, lambda x, i: F.struct(x["section_no"], x["title"], x["parent_no"], x["blocks"], F.get(ways, i).alias("path"), (F.size(F.get(ways, i)) - 1).alias("depth")))
+        return once(F.aggregate(parts, F.array().cast(kind), add), made)
 
     document = F.array(node("document", F.lit("document"), none, F.lit(""), zero))
     empty = F.slice(document, 1, 0)
@@ -263,15 +263,18 @@ def edges(nodes_: DataFrame) -> DataFrame:
     """doc_id, src, dst and rel: ownership, adjacency and meaning, 16 kinds.
 
     Nodes are dealt by document once, and no node meets another in a join: the parent of a node is
-    the latest node of its kind before it, or, for a section, found by its number.
+    the latest node of its kind before it, or, for a section, told by its number, as the sections of
+    a document are numbered without a gap from the preamble, or else from 1.
     """
     by = Window.partitionBy("doc_id").orderBy("order")
     kind = F.col("node_type")
     own = nodes_.repartition("doc_id")
     own = numbered(own) if "node_id" not in nodes_.columns else own
     latest = lambda *kinds: F.last(F.when(kind.isin(*kinds), F.col("node_id")), ignorenulls=True).over(by)
-    heads = F.map_from_entries(F.collect_list(F.when(kind == "section", F.struct("key", "node_id"))).over(Window.partitionBy("doc_id")))
-    above = F.when(kind == "section", F.coalesce(F.try_element_at(heads, F.col("parent")), F.lit("document_1"))).when(kind.isin("paragraph", "table", "heading"), latest("section"))
+    number = lambda c: F.regexp_extract(c, r"^section/(\d+)$", 1).try_cast("int")
+    first = F.min(F.when(kind == "section", number("key"))).over(Window.partitionBy("doc_id"))
+    of_section = F.coalesce(F.concat(F.lit("section_"), (number("parent") - first + 1).cast("string")), F.lit("document_1"))
+    above = F.when(kind == "section", of_section).when(kind.isin("paragraph", "table", "heading"), latest("section"))
     above = above.when(kind.isin("row", "header"), latest("table")).when(kind.isin("cell", "note"), latest("row", "header"))
     line, cell = kind.isin("row", "header"), kind == "cell"
     family = F.when(line, "line").otherwise(kind)

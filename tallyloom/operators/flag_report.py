@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.cleaning import squash_key
+from tallyloom.sources.shared import saved
 
 #: The row of the compliance sheet that each rule has, counted from the first.
 FIRST_ROW = 35
@@ -72,9 +73,9 @@ def unmatched(flags: DataFrame, template: DataFrame) -> DataFrame:
 
 
 def report_tables(tables: dict[str, DataFrame]) -> DataFrame:
-    """report, filing_id and row (JSON) of all tables; a single row that says so if all are empty. No table is counted to find out."""
+    """report, filing_id and row (JSON) of all tables; a single row that says so if all are empty. The rows are written once, so looking for one of them does not compute the tables again."""
     each = [df.select(F.lit(name).alias("report"), F.col("filing_id").cast("string").alias("filing_id"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")) for name, df in tables.items()]
-    rows = reduce(DataFrame.unionByName, each)
+    rows = saved(reduce(DataFrame.unionByName, each), "report")
     none = rows.limit(1).agg(F.count("*").alias("n")).filter("n = 0")
     return rows.unionByName(none.select(F.lit("flags").alias("report"), F.lit(None).cast("string").alias("filing_id"), F.lit('{"message":"No flags generated"}').alias("row")))
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.lookup import grams
+from tallyloom.sources.shared import saved
+
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 _MONTH = "(" + "|".join(MONTHS) + ")"
 #: The forms of a company's registration and tax numbers.
@@ -64,8 +67,9 @@ def related_balances(investors: DataFrame, rows: DataFrame) -> DataFrame:
 
     rows has filing_id, row_no, text and amount. The block opens at a row that says related party;
     rows that say payable or receivable turn the side for what follows. An investor is named by any
-    word of more than two letters of its name, legal forms aside. The rows of a filing's block meet
-    that filing's investors, since a word may stand inside a longer one.
+    word of more than two letters of its name, legal forms aside; a word may stand inside a longer one.
+    Words and rows meet by filing and by the three letters of the word that fewest rows of the filing
+    have, and what meets is confirmed: no row meets all investors of its filing.
     """
     by = Window.partitionBy("filing_id").orderBy("row_no")
     low = F.lower("text")
@@ -73,6 +77,15 @@ def related_balances(investors: DataFrame, rows: DataFrame) -> DataFrame:
     open_ = F.max(low.contains("related party")).over(by)
     block = rows.withColumn("side", side).withColumn("open", open_).filter("open and side is not null and amount is not null")
     words = F.filter(F.split(F.regexp_replace(F.lower("name"), "[^a-z0-9# ]", " "), " +"), lambda w: (F.length(w) > 2) & ~w.isin("ltd", "limited", "inc", "pte", "llp", "private", "pvt"))
-    named = block.join(investors.select("filing_id", "name", words.alias("words")), "filing_id").filter(F.exists("words", lambda w: F.lower("text").contains(w)))
+    block = saved(block.select("filing_id", "side", "amount", F.lower("text").alias("text")), "block")
+    of_name = investors.select("filing_id", "name", F.explode(F.array_distinct(words)).alias("word"))
+    # of a word, letters of one run only: a text has a word only within such a run
+    index = block.select("filing_id", "side", "amount", "text", F.explode(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("text", F.lit("[a-z0-9#]{3,}"), 0), lambda t: grams(t, 3))))).alias("gram"))
+    often = index.groupBy("filing_id", "gram").agg(F.count("*").alias("n"))
+    own = of_name.select("filing_id", "word", F.explode(grams(F.col("word"), 3)).alias("gram")).distinct()
+    rarest = own.join(often, ["filing_id", "gram"]).groupBy("filing_id", "word").agg(F.min(F.struct("n", "gram")).alias("r"))
+    met = rarest.select("filing_id", "word", "r.gram").join(index, ["filing_id", "gram"]).filter(F.col("text").contains(F.col("word")))
+    best = met.groupBy("filing_id", "word", "side").agg(F.max("amount").alias("amount"))
+    named = best.join(of_name, ["filing_id", "word"])
     greatest = lambda s: F.max(F.when(F.col("side") == s, F.col("amount"))).alias(s)
     return named.groupBy("filing_id", "name").agg(greatest("payable"), greatest("receivable"))

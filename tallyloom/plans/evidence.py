@@ -120,8 +120,8 @@ def w1_keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, line_no, supported FROM m WHERE contains(lower(line), 'the ')""",
 )
 def j21_supported_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = F.lower("line")
-    return evidence.supported(_document_lines(spark, sf_dir), low.contains("the "), low.contains("de "), 3, 1).select("doc_id", "line_no", "supported")
+    has = lambda words: lambda x: F.lower(x).contains(words)
+    return evidence.supported(table(spark, sf_dir, "documents"), has("the "), has("de "), 3, 1).select("doc_id", "line_no", "supported")
 
 
 @query(
@@ -130,7 +130,7 @@ def j21_supported_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, line_no, coalesce(lead(ok, 1) OVER w, lead(ok, 2) OVER w) AS ahead FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)""",
 )
 def j22_look_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.look_ahead(_document_lines(spark, sf_dir), F.col("line").rlike("[0-9]"), 2).select("doc_id", "line_no", "ahead")
+    return evidence.look_ahead(table(spark, sf_dir, "documents"), lambda x: x.rlike("[0-9]"), 2)
 
 
 @query(
@@ -139,8 +139,7 @@ def j22_look_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, line_no, coalesce(opened > 0 AND line_no - opened < 3, false) AS context FROM m""",
 )
 def j23_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    opens, closes = F.lower("line").contains("with"), F.col("line").contains("|")
-    return evidence.in_context(_document_lines(spark, sf_dir), opens, closes, 3).select("doc_id", "line_no", "context")
+    return evidence.in_context(table(spark, sf_dir, "documents"), lambda x: F.lower(x).contains("with"), lambda x: x.contains("|"), 3)
 
 
 @query(
