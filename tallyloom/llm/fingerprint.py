@@ -3,8 +3,9 @@
 Every window of 16 bytes has an entropy. Windows of improbable entropy, far from what most windows
 of text have, rank first; those of very low entropy, such as padding, rank nowhere. A window that
 comes first in a quarter of the neighbourhoods around it becomes a feature. A neighbourhood has a
-sixteenth of a text's windows, rounded down to a power of two, between 1 and 64: so short texts have
-as many features as an edit of a part of them needs, and long ones do not fill too many filters.
+sixteenth of a text's windows, at least 1 and at most 64: so short texts have as many features as an
+edit of a part of them needs, and long ones do not fill too many filters. The width follows the
+length without steps, so a text and its edit of nearly its length choose nearly alike.
 Features go into a chain of Bloom filters, each of a fixed size and a fixed number of features. Two
 chains are compared filter by filter: the bits that both have, less those that chance gives, over
 the most that the fuller one has.
@@ -67,7 +68,7 @@ _RANK = _rarity()
 
 def neighbourhood(windows: int) -> int:
     """How many windows that follow each other one is chosen from, in a text of so many."""
-    return 1 << min(max(windows // SHARE, 1), NEIGHBOURS).bit_length() - 1
+    return min(max(windows // SHARE, 1), NEIGHBOURS)
 
 
 def features(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,18 +88,21 @@ def features(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np
     key = np.full(n, 4 * LEVELS << 40, dtype=np.int64)
     key[at] = np.where(rank[at] < 2 * LEVELS, rank[at], 4 * LEVELS) << 40 | at
     width_of = np.array([neighbourhood(w) for w in windows.tolist()])
-    chosen, width, least = [], 1, key
-    while True:
-        mine = np.zeros(n, dtype=bool)
-        mine[at[width_of[text] == width]] = True
-        picks = least[least < 4 * LEVELS << 40] & ((1 << 40) - 1)
-        times = np.bincount(picks, minlength=n)
-        chosen.append(np.flatnonzero(mine & (times >= max(1, width // FIRST_IN))))
-        if width == NEIGHBOURS or width >= len(least):
+    times, least = np.zeros(n, dtype=np.int64), key
+    for k in range(NEIGHBOURS.bit_length()):  # least: of 2 ** k windows that follow each other
+        mine = np.flatnonzero((windows > 0) & (width_of >> k == 1))
+        if len(mine):
+            # every neighbourhood that reaches into a text: the least of two halves that overlap
+            width = width_of[mine]
+            many = windows[mine] + width - 1
+            first = np.repeat(starts[mine] - width + 1 - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+            picks = np.minimum(least[first], least[first + np.repeat(width - (1 << k), many)])
+            times += np.bincount(picks[picks < 4 * LEVELS << 40] & ((1 << 40) - 1), minlength=n)
+        if len(least) <= 1 << k:
             break
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    found = np.sort(np.concatenate(chosen))
+        least = np.minimum(least[: -(1 << k)], least[1 << k :])
+    chosen = at[times[at] >= np.maximum(width_of[text] // FIRST_IN, 1)]
+    found = np.sort(chosen)
     of = np.searchsorted(starts, found, side="right") - 1
     # texts that this leaves without a feature give their first-ranked window
     without = np.setdiff1d(np.flatnonzero(windows), of)

@@ -278,9 +278,7 @@ def brute_features(raw):
         return 2 * f.LEVELS if level < f.LEAST_LEVEL else f.LEVELS - abs(level - f.COMMON_LEVEL)
 
     ranks = [rank(w) for w in windows]
-    width = 1
-    while 2 * width <= min(max(n // f.SHARE, 1), f.NEIGHBOURS):
-        width *= 2
+    width = min(max(n // f.SHARE, 1), f.NEIGHBOURS)
     times = Counter()
     for a in range(1 - width, n):
         near = [(ranks[i], i) for i in range(max(a, 0), min(a + width, n)) if ranks[i] < 2 * f.LEVELS]
@@ -321,6 +319,19 @@ def test_chosen_windows_chain_and_likeness_against_the_definition():
                 assert abs(fingerprint.likeness(chains[a], chains[b]) - want) < 1e-5
 
 
+def test_edits_of_another_length_are_as_near():
+    """Whatever the text's length, one edit of the same and one of a smaller length."""
+    rng = random.Random(26)
+    for n in (270, 530, 540, 700, 1030, 1045, 1100, 1600, 2100):
+        near = []
+        for _ in range(6):
+            text, other = words(rng, 600)[:n], words(rng, 600)
+            edits = [text[: n - n // 3] + other[:size] for size in (n // 3, max(n // 3 - n // 20, 1))]
+            chains = fingerprint.fingerprints([x.encode() for x in (text, *edits)])
+            near.append([fingerprint.likeness(chains[0], c) for c in chains[1:]])
+        assert np.mean(near, axis=0).min() > 0.4, (n, near)
+
+
 def test_short_edits_are_near():
     rng = random.Random(23)
     for n in (60, 150, 258, 300, 380, 600):
