@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.cleaning import clean_key
@@ -49,27 +51,28 @@ def year_on_year(facts: DataFrame) -> DataFrame:
     return stated.join(filed, ["company", "fiscal_year", "item"], "left").withColumn("agrees", agrees)
 
 
-def cascade_match(keys: DataFrame, fields: DataFrame) -> DataFrame:
-    """key, field and tier for each key: 1 equal, 2 equal but for case, 3 equal letters and digits, 4 one within the other (over 3 letters); no match: field Unknown, tier 5.
+def match_pairs(keys: DataFrame, fields: DataFrame) -> DataFrame:
+    """key, field and tier of all pairs that match: 1 equal, 2 equal but for case, 3 equal letters and digits, 4 one within the other (over 3 letters).
 
-    Within a tier the first field in order counts. All tiers are joins on a key: what the first three
-    leave is looked up by its rarest gram.
+    keys and fields have one column of that name. All tiers are joins on a key: what lies within
+    another is looked up by its rarest gram.
     """
     alnum = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    f = fields.select("field", "ord")
-    tiers = [
-        keys.join(f, F.col("key") == F.col("field")).withColumn("tier", F.lit(1)),
-        keys.join(f, F.lower("key") == F.lower("field")).withColumn("tier", F.lit(2)),
-        keys.join(f, alnum(F.col("key")) == alnum(F.col("field"))).withColumn("tier", F.lit(3)),
-    ]
-    exact = tiers[0].union(tiers[1]).union(tiers[2])
-    left = saved(keys.join(exact.select("key").distinct(), "key", "left_anti").withColumn("a", alnum(F.col("key"))).filter(F.length("a") > 3), "unmatched")
-    named = f.withColumn("b", alnum(F.col("field"))).filter(F.length("b") > 3)
-    texts = lambda df, c: df.select(F.col(c).alias("text"))
-    pairs = contained(texts(left, "a"), texts(named, "b"), 4).toDF("a", "b").union(contained(texts(named, "b"), texts(left, "a"), 4).toDF("b", "a").select("a", "b")).distinct()
-    within = left.join(pairs, "a").join(named, "b").select("key", "field", "ord").withColumn("tier", F.lit(4))
-    by = Window.partitionBy("key").orderBy("tier", "ord")
-    best = exact.union(within).withColumn("nth", F.row_number().over(by)).filter("nth = 1").select("key", "field", "tier")
+    k = saved(keys.select("key", alnum(F.col("key")).alias("a")), "keys")
+    f = fields.select("field", alnum(F.col("field")).alias("b"))
+    tier = lambda df, n: df.select("key", "field", F.lit(n).alias("tier"))
+    texts = lambda df, c: df.filter(F.length(c) > 3).select(F.col(c).alias("text"))
+    pairs = contained(texts(k, "a"), texts(f, "b"), 4).toDF("a", "b").union(contained(texts(f, "b"), texts(k, "a"), 4).toDF("b", "a").select("a", "b")).distinct()
+    found = [
+        tier(k.join(f, F.col("key") == F.col("field")), 1), tier(k.join(f, F.lower("key") == F.lower("field")), 2), tier(k.join(f, F.col("a") == F.col("b")), 3), tier(k.join(pairs, "a").join(f, "b"), 4),
+    ]
+    return reduce(DataFrame.union, found).groupBy("key", "field").agg(F.min("tier").alias("tier"))
+
+
+def cascade_match(keys: DataFrame, fields: DataFrame) -> DataFrame:
+    """key, field and tier for each key by the tiers of match_pairs, within a tier the first field in order (ord); no match: field Unknown, tier 5."""
+    pairs = match_pairs(keys, fields.select("field")).join(fields.select("field", "ord"), "field")
+    best = pairs.groupBy("key").agg(F.min(F.struct("tier", "ord", "field")).alias("b")).select("key", "b.field", "b.tier")
     return keys.join(best, "key", "left").select("key", F.coalesce("field", F.lit("Unknown")).alias("field"), F.coalesce("tier", F.lit(5)).alias("tier"))
 
 
