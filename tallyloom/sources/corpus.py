@@ -93,3 +93,60 @@ def flatten_predictions(raw: DataFrame) -> DataFrame:
 
 def _exploded(spark: SparkSession) -> DataFrame:
     return spark.tvf.variant_explode(F.col("v").outer())
+
+
+def manifest_files(manifests: DataFrame, files: DataFrame) -> DataFrame:
+    """filing_id, role, path and there, for the roles that a filing's manifest names.
+
+    manifests: filing_id, folder and raw (JSON of role to a path below the folder), in the filing's
+    folder or the one above; the one in the longest folder counts. What is no JSON object names
+    nothing. there: is it one of the files (path)? Misses are kept to be reported.
+    """
+    named = manifests.filter("raw is not null").groupBy("filing_id").agg(F.max_by(F.struct("folder", "raw"), F.struct(F.length("folder"), "folder")).alias("m"))
+    each = named.select("filing_id", "m.folder", F.explode(F.from_json("m.raw", "map<string,string>")).alias("role", "below")).filter("below is not null")
+    found = each.select("filing_id", "role", F.concat_ws("/", "folder", "below").alias("path"))
+    return found.join(files.select("path").distinct().withColumn("there", F.lit(True)), "path", "left").select("filing_id", "role", "path", F.coalesce("there", F.lit(False)).alias("there"))
+
+
+def fill_roles(roles: DataFrame, files: DataFrame) -> DataFrame:
+    """filing_id, role and path: the roles given, and those that a filing lacks from its files, in the order of their listing.
+
+    files: filing_id, path and listing_no. Without a board report the first PDF is it, without
+    financials the second PDF, else the first markdown, else the first workbook. All markdown files
+    and workbooks without a role are added as fallback_md_0 and on, and fallback_xl_0 and on. Files
+    are numbered within their filing and kind; only filings' own files meet.
+    """
+    low = F.col("path")
+    kind = F.when(low.endswith(".pdf"), "pdf").when(low.endswith(".md"), "md").when(low.endswith(".xlsx") | low.endswith(".xls"), "xl")
+    rows = files.withColumn("kind", kind).filter("kind is not null")
+    nth = F.row_number().over(Window.partitionBy("filing_id", "kind").orderBy("listing_no")) - 1
+    rows = rows.withColumn("nth", nth)
+    has = roles.groupBy("filing_id").agg(F.max(F.col("role") == "board_report").alias("board"), F.max(F.col("role").isin("financials", "financials_0")).alias("money"))
+    state = rows.join(has, "filing_id", "left").na.fill(False, ["board", "money"])
+    pick = lambda k, n: F.max(F.when((F.col("kind") == k) & (F.col("nth") == n), F.col("path")))
+    first = state.groupBy("filing_id", "board", "money").agg(pick("pdf", 0).alias("p0"), F.coalesce(pick("pdf", 1), pick("md", 0), pick("xl", 0)).alias("second"))
+    role = lambda test, name, path: F.when(test & F.col(path).isNotNull(), F.struct(F.lit(name).alias("role"), F.col(path).alias("path")))
+    added = first.select("filing_id", F.inline(F.array_compact(F.array(role(~F.col("board"), "board_report", "p0"), role(~F.col("money"), "financials", "second")))))
+    all_ = roles.select("filing_id", "role", "path").union(added)
+    loose = rows.filter("kind <> 'pdf'").join(all_.select("filing_id", "path").distinct(), ["filing_id", "path"], "left_anti")
+    return all_.union(loose.select("filing_id", F.concat(F.lit("fallback_"), "kind", F.lit("_"), F.col("nth").cast("string")).alias("role"), "path"))
+
+
+def ocr_coverage(docs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """filing_id, path, output and coverage of each document of filings.
+
+    docs: filing_id and path. outputs: filing_id and path of OCR output below the filing's folder of
+    output. name/name.md is preferred to name.md. A markdown file or workbook is structured, a PDF
+    with an output cached, else missing; others are native.
+    """
+    base = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    name = docs.withColumn("base", base)
+    out = outputs.select("filing_id", F.col("path").alias("output"))
+    parts = F.split("output", "/")
+    last, above = F.element_at(parts, -1), F.try_element_at(parts, F.lit(-2))
+    stem = F.regexp_replace(last, r"\.md$", "")
+    placed = out.filter(last.endswith(".md")).select("filing_id", stem.alias("base"), F.struct((~F.coalesce(above == stem, F.lit(False))).alias("flat"), "output").alias("o"))
+    best = placed.groupBy("filing_id", "base").agg(F.min("o").alias("o"))
+    met = name.join(best, ["filing_id", "base"], "left")
+    kind = F.when(F.lower("path").rlike(r"\.(md|xlsx?)$"), "structured").when(~F.lower("path").endswith(".pdf"), "native").when(F.col("o").isNotNull(), "cached").otherwise("missing")
+    return met.select("filing_id", "path", F.when(kind == "cached", F.col("o.output")).alias("output"), kind.alias("coverage"))
