@@ -355,7 +355,7 @@ def _cell_counts(sets: DataFrame) -> np.ndarray:
 
 
 def _rarest(sets: DataFrame, percent: int) -> DataFrame:
-    """node and shingle for the first n - ceil(n percent / 100) + 1 shingles of each set of n, in one order of all shingles that puts rare cells first.
+    """node, cluster and shingle for the first n - ceil(n percent / 100) + 1 shingles of each set of n, in one order of all shingles that puts rare cells first.
 
     Of two sets of at least this similarity both have a shingle among these in common.
     """
@@ -364,13 +364,14 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for b in batches:
-            for node, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for node, cluster, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 s = np.frombuffer(raw, dtype=np.uint64)
                 first = len(s) - -(-len(s) * percent // 100) + 1
                 order = np.lexsort((s, counts[(s & np.uint64(CELLS - 1)).astype(np.int64)]))[:first]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), node, dtype=np.int64)), pa.array(s[order].view(np.int64))], names=["node", "shingle"])
+                same = [pa.array(np.full(len(order), x, dtype=np.int64)) for x in (node, cluster)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(s[order].view(np.int64))], names=["node", "cluster", "shingle"])
 
-    return sets.select("node", "shingles").mapInArrow(run, "node long, shingle long")
+    return sets.select("node", "cluster", "shingles").mapInArrow(run, "node long, cluster long, shingle long")
 
 
 def _far_pairs(far: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -381,8 +382,12 @@ def _far_pairs(far: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     reach = 1 - percent / 100 + 1e-9
     several = far.groupBy("bucket").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).filter("lo <> hi").select("bucket")
     far = scratch.save(far.join(several, "bucket", "left_semi"), "apart")
-    mine = scratch.save(sets.join(far.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "far-sets")
-    met = scratch.save(far.join(_rarest(mine, percent), "node"), "met").select("bucket", "shingle", "node", "size", "cluster", "d")
+    mine = scratch.save(sets.join(far.select("node", "cluster").distinct(), "node").dropDuplicates(["node"]), "far-sets")
+    rarest = scratch.save(_rarest(mine, percent), "rarest")
+    # what only one cluster has leads nowhere
+    shared = rarest.groupBy("shingle").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).filter("lo <> hi").select("shingle")
+    met = far.join(rarest.join(shared, "shingle", "left_semi").select("node", "shingle"), "node")
+    met = scratch.save(met.select("bucket", "shingle", "node", "size", "cluster", "d"), "met")
     left, right = met.toDF("bucket", "shingle", "a", "sa", "ca", "da"), met.toDF("bucket", "shingle", "b", "sb", "cb", "db")
     close = (F.col("ca") != F.col("cb")) & (F.abs(F.col("sa") - F.col("sb")) <= _reach(percent)) & (F.abs(F.col("da") - F.col("db")) <= reach)
     # few as a rule: written first, so that Spark knows their size

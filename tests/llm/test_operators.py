@@ -489,7 +489,7 @@ def test_texts_of_one_template_meet_as_often_as_they_are(spark, monkeypatch):
         got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs(spark, rows), n=1).collect()}
         assert got == {i: i - n if i >= n else i for i, _ in rows}
         met[n] = kept["pairs"].agg({"n": "sum"}).first()[0] or 0, kept["met"].count(), kept["measured"].count()
-    assert met[1000][0] <= 2.5 * met[500][0] + 50 and met[1000][1] <= 3 * met[500][1] and met[1000][2] <= 3 * met[500][2], met
+    assert met[1000][0] <= 2.5 * met[500][0] + 50 and met[1000][1] <= 3 * met[500][1] + 50 and met[1000][2] <= 3 * met[500][2], met
 
 
 def test_far_members_are_found_by_their_rarest_shingles(spark):
@@ -500,7 +500,7 @@ def test_far_members_are_found_by_their_rarest_shingles(spark):
     for i in range(60):
         own = np.concatenate((rng.choice(base, rng.integers(1, 60), replace=False), rng.integers(1, 2**63, rng.integers(0, 8)).astype(np.uint64)))
         sets += [np.unique(own), np.unique(own[: max(1, len(own) - rng.integers(0, 4))])]
-    df = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, shingles binary")
+    df = spark.createDataFrame([(i, i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, cluster long, shingles binary")
     for percent in (50, 80, 100):
         first = {}
         for r in near_dup._rarest(df, percent).collect():
