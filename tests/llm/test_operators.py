@@ -12,6 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from tallyloom.llm import bpe, fingerprint, html_text, line_dedup, mixing, near_dup, substring_dedup, toxicity, url_filter, vector_search
+from tallyloom.llm.queries import URL_RULES
 from tallyloom.llm.url_filter import Rule
 from tallyloom.llm.words import shingle_set, word_hashes
 
@@ -55,6 +56,15 @@ def test_urls_by_hand(spark):
     assert {r.verdict for r in url_filter.filter_urls(df, []).collect()} == {"allow"}
 
 
+def test_rules_of_the_query_are_those_of_its_contract(spark):
+    urls = {
+        "http://a.net/de/1": ("net/de/", "allow"), "http://example.net/de/7": ("net/de/", "allow"), "http://example.net/de/81": ("example.net/de/8", "block"),
+        "http://x.com/en/7": ("com/en/", "block"), "http://w.example.com/en/7": ("example.com/en/7", "allow"), "http://x.org/es/": ("org/es/", "block"), "http://x.org/fr/": (None, "allow"),
+    }
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r.url: (r.rule, r.verdict) for r in url_filter.filter_urls(df, URL_RULES).collect()} == urls
+
+
 def test_rules_stand_under_their_rarest_token():
     index = url_filter.rule_index([Rule("block", "com/en/"), Rule("block", "com/de/"), Rule("block", "*")])
     assert {k: [r.pattern for r in v] for k, v in index.items()} == {"en": ["com/en/"], "de": ["com/de/"], "": ["*"]}
