@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.cleaning import clean_key
-from tallyloom.sources.shared import saved
+from tallyloom.sources.shared import dealt, saved
 
 #: Cleaned keys that say too little to be a field.
 GENERIC = ("total", "name", "value", "shares", "class")
@@ -39,14 +39,17 @@ def contained(sought: DataFrame, texts: DataFrame, q: int) -> DataFrame:
     """
     hay = texts.select(F.col("text").alias("hay")).filter("hay is not null").distinct()
     needle = sought.select(F.col("text").alias("needle")).filter("needle is not null").distinct()
-    index = hay.select("hay", F.explode(grams(F.col("hay"), q)).alias("gram"))
+    parted = saved(needle.select("needle", F.explode(grams(F.col("needle"), q)).alias("gram")), "grams")
+    asked = saved(parted.select("gram").distinct(), "asked")
+    # only grams that are asked for are dealt out
+    index = hay.select("hay", F.explode(grams(F.col("hay"), q)).alias("gram")).join(asked, "gram", "left_semi")
     often = index.groupBy("gram").agg(F.count("*").alias("n"))
-    own = needle.select("needle", F.explode(grams(F.col("needle"), q)).alias("gram")).join(often, "gram", "left")
+    own = parted.join(dealt(often), "gram", "left")
     rarest = own.groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0").select("needle", "r.gram")
-    long = rarest.join(index, "gram").filter(F.col("hay").contains(F.col("needle"))).select("needle", "hay")
+    long = rarest.join(dealt(index), "gram").filter(F.col("hay").contains(F.col("needle"))).select("needle", "hay")
     short = needle.filter(F.length("needle") < q)
     parts = hay.select("hay", F.explode(F.array_distinct(F.flatten(F.array(F.array(F.lit("")), *(grams(F.col("hay"), k) for k in range(1, q)))))).alias("needle"))
-    return long.union(short.join(parts, "needle").select("needle", "hay"))
+    return long.union(short.join(dealt(parts), "needle").select("needle", "hay"))
 
 
 def _flags(c: str) -> list[Column]:
@@ -88,7 +91,7 @@ def field_pairs(keys: DataFrame, fields: DataFrame) -> DataFrame:
     texts = lambda df, c: df.select(F.col(c).alias("text"))
     in_key = contained(texts(some_f, "cf"), texts(some_k, "ck"), 5).toDF("cf", "ck")
     in_field = contained(texts(some_k, "ck"), texts(some_f, "cf"), 5).toDF("ck", "cf").select("cf", "ck")
-    within = in_key.union(in_field).distinct().join(some_k, "ck").join(some_f, "cf").filter(alike).select("key", "field", F.lit(4).alias("tier"))
+    within = in_key.union(in_field).distinct().join(dealt(some_k), "ck").join(some_f, "cf").filter(alike).select("key", "field", F.lit(4).alias("tier"))
     mobile = lambda df, c: df.filter(F.col(c).contains("mobile")).withColumn(f"mobile_{c}", F.lit(1))
     phones = mobile(some_k, "ck").join(mobile(some_f, "cf"), (F.col("mobile_ck") == F.col("mobile_cf")) & alike).select("key", "field", F.lit(4).alias("tier"))
     return equal.union(cleaned).union(by_words).union(within).union(phones).groupBy("key", "field").agg(F.min("tier").alias("tier"))
@@ -102,7 +105,7 @@ def lookup(parsed: DataFrame, fields: DataFrame) -> DataFrame:
     with fields; a hot filing costs no more than its rows.
     """
     pairs = field_pairs(parsed, fields)
-    met = parsed.select("filing_id", "ord", "key", "value").join(pairs, "key")
+    met = parsed.select("filing_id", "ord", "key", "value").join(dealt(pairs), "key")
     best = met.groupBy("filing_id", "field").agg(F.min_by(F.struct("value", "key", "tier"), F.struct("tier", "ord", "key")).alias("b"))
     return best.select("filing_id", "field", "b.value", "b.key", "b.tier")
 
@@ -143,8 +146,8 @@ def normalise_payload(payload: DataFrame, aliases: DataFrame, fields: DataFrame)
     right_year = F.when(F.col("year") == "py", previous).when(F.col("year") == "fy", ~previous).otherwise(True)
     by_parts = may.filter(right_year & F.forall("parts", lambda t: F.col("plain").contains(t))).select("field", "plain").distinct().withColumn("nth", F.lit(2))
 
-    met = keys.join(by_alias.union(by_parts), "plain").groupBy("filing_id", "field").agg(F.min_by(F.struct("value", "nth"), F.struct("nth", "ord")).alias("b"))
-    found = met.join(kept.select("filing_id", "field"), ["filing_id", "field"], "left_anti")
+    met = keys.join(dealt(by_alias.union(by_parts)), "plain").groupBy("filing_id", "field").agg(F.min_by(F.struct("value", "nth"), F.struct("nth", "ord")).alias("b"))
+    found = met.join(dealt(kept.select("filing_id", "field")), ["filing_id", "field"], "left_anti")
     return kept.unionByName(found.select("filing_id", "field", "b.value", F.when(F.col("b.nth") == 1, "alias").otherwise("parts").alias("way")))
 
 
