@@ -16,7 +16,7 @@ from tallyloom.functions.arrays import once, places
 from tallyloom.functions.cleaning import null_text, placeholder_to_blank
 from tallyloom.operators import comparison, header_scan, lookup
 from tallyloom.operators.table_markup import loose_tables
-from tallyloom.sources.shared import saved
+from tallyloom.sources.shared import dealt, saved
 
 _BEHIND = r".*?(?::|[ \t]{2,})[ \t]*(.*)"
 #: Fields of a return and the patterns that find them in its text.
@@ -197,24 +197,24 @@ def against_template(template: DataFrame, prior: DataFrame, grid: DataFrame) ->
     asked = rows.agg(F.collect_list(F.struct("sheet", "row_no", "way", "field", "rule", "slots")).alias("rows"))  # one row
     each = filings.crossJoin(asked).select("filing_id", F.explode("rows").alias("r")).select("filing_id", "r.*")
     names = rows.select("field").union(rows.filter("way = 'years'").select(F.concat("field", F.lit("__shares")))).distinct()
-    known = lookup.lookup(prior, names).select("filing_id", F.col("field").alias("of"), null_text(F.col("value")).alias("previous"))
+    known = saved(lookup.lookup(prior, names).select("filing_id", F.col("field").alias("of"), null_text(F.col("value")).alias("previous")), "known")
     last_rows = grid.groupBy("filing_id", "sheet").agg(F.max("row_no").alias("last_row"))
     cells = grid.select("filing_id", "sheet", F.col("row_no").alias("row_no"), F.col("col_no"), null_text(F.col("value")).alias("said"))
 
     particulars = grid.filter((F.col("row_no") < header_scan.TEMPLATE_SCANNED) & F.lower(F.trim("value")).isin("particulars", "value"))
     particulars = particulars.groupBy("filing_id", "sheet").agg(F.min(F.struct(-F.col("row_no"), F.col("col_no").alias("col_no"))).alias("p")).select("filing_id", "sheet", F.col("p.col_no").alias("write_col"))
     key = ["filing_id", "sheet", "row_no", "col_no"]
-    a = each.filter("way = 'source'").join(particulars, ["filing_id", "sheet"], "left").withColumn("col_no", F.coalesce("write_col", F.lit(2)))
-    a = a.join(cells, key, "left").join(known.toDF("filing_id", "field", "previous"), ["filing_id", "field"], "left")
+    a = each.filter("way = 'source'").join(dealt(particulars), ["filing_id", "sheet"], "left").withColumn("col_no", F.coalesce("write_col", F.lit(2)))
+    a = a.join(dealt(cells), key, "left").join(dealt(known.toDF("filing_id", "field", "previous")), ["filing_id", "field"], "left")
     a = a.withColumns({"previous": F.coalesce("previous", F.lit("")), "current": placeholder_to_blank(F.coalesce("said", F.lit("")))})
     final, reason = comparison.resolve(F.col("rule"), F.col("previous"), F.col("current"))
     by_source = a.select("filing_id", "sheet", "row_no", "field", F.col("rule").alias("mapping"), "previous", "current", final.alias("final"), reason.alias("reason"))
 
     b = each.filter("way = 'years'").select("filing_id", "sheet", "row_no", "field", F.explode("slots").alias("s")).select("filing_id", "sheet", "row_no", "field", "s.*")
-    b = b.join(last_rows, ["filing_id", "sheet"]).filter(F.col("row_no") <= F.col("last_row")).join(cells, key, "left")
+    b = b.join(dealt(last_rows), ["filing_id", "sheet"]).filter(F.col("row_no") <= F.col("last_row")).join(dealt(cells), key, "left")
     amount = known.toDF("filing_id", "field", "amount")
     shares = known.filter(F.col("of").endswith("__shares")).select("filing_id", F.regexp_replace("of", "__shares$", "").alias("field"), F.col("previous").alias("shares"))
-    b = b.join(amount, ["filing_id", "field"], "left").join(shares, ["filing_id", "field"], "left")
+    b = b.join(dealt(amount), ["filing_id", "field"], "left").join(dealt(shares), ["filing_id", "field"], "left")
     fill = F.when(F.col("is_share"), F.coalesce(F.nullif("shares", F.lit("")), "amount")).otherwise(F.col("amount"))
     b = b.withColumns({"previous": F.coalesce(fill, F.lit("")), "said": F.coalesce("said", F.lit(""))})
     resolved = (F.col("sheet") == "Section II") & (F.col("row_no") < 24)
