@@ -107,7 +107,7 @@ def replay(nodes: DataFrame, rules: DataFrame, depth: int, strict_compat: bool =
     hits = met.select("doc_id", "order", "node_type", "key", "parent", "text", at.alias("at"), F.explode(F.filter("rules", good)).alias("r"))
     node = F.struct("at", "order", "key", "parent", "node_type", "text")
     gathered = hits.groupBy("doc_id", "r.rule_id").agg(F.array_sort(F.collect_list(node)).alias("nodes"), F.first("r.path").alias("path"))
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("order"), F.lit("document").alias("key"), F.lit(None).cast("string").alias("parent"), F.lit("document").alias("node_type"), F.lit("").alias("text"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("order"), F.lit("document").alias("key"), F.lit(None).cast("string").alias("parent"), F.lit("document").alias("node_type"), F.lit("").alias("text"))
     down = lambda now, i: F.get(F.filter("nodes", lambda n: (n["at"] == i) & (n["parent"] == now["key"])), F.lit(0))
     end = F.aggregate(F.sequence(F.lit(1), F.size("path")), start, down)
     walked = gathered.select("doc_id", "rule_id", end.alias("n"), F.get("path", F.size("path") - 1)["col_index"].alias("col_index"))

@@ -104,12 +104,13 @@ def note_number(title: Column) -> Column:
 def note_targets(nodes: DataFrame) -> DataFrame:
     """doc_id, note, row and target: rows that refer to a note, with the section or paragraph that the note is (null if the document has none).
 
-    Of several targets the first counts. Notes and targets meet on document and number.
+    Of several targets the first counts. Notes and targets meet on document and number, in one pass over the nodes.
     """
-    of = nodes.filter("node_type = 'note'").select("doc_id", F.regexp_replace("text", "^Note ", "").alias("note"), F.col("parent").alias("row"))
-    named = nodes.filter("node_type in ('section', 'paragraph')").select("doc_id", note_number(F.col("text")).alias("note"), "order", "key").filter("note is not null")
-    first = named.groupBy("doc_id", "note").agg(F.min_by("key", "order").alias("target"))
-    return of.join(first, ["doc_id", "note"], "left")
+    is_note = F.col("node_type") == "note"
+    of = F.when(is_note, F.regexp_replace("text", "^Note ", "")).when(F.col("node_type").isin("section", "paragraph"), note_number(F.col("text")))
+    told = nodes.filter("node_type in ('note', 'section', 'paragraph')").select("doc_id", of.alias("note"), "order", "key", F.when(is_note, F.col("parent")).alias("row")).filter("note is not null")
+    met = told.groupBy("doc_id", "note").agg(F.collect_list("row").alias("rows"), F.min_by(F.when(F.col("row").isNull(), F.col("key")), F.when(F.col("row").isNull(), F.col("order"))).alias("target"))
+    return met.select("doc_id", "note", F.explode("rows").alias("row"), "target")
 
 
 def rows_of_note(nodes: DataFrame, note: str) -> DataFrame:
@@ -125,16 +126,19 @@ def summary(nodes: DataFrame) -> DataFrame:
 def variable_search(nodes: DataFrame, variables: list[str]) -> DataFrame:
     """doc_id, variable, status and structural_path: FOUND where a row's label contains the words and a cell behind it has a figure, PARTIAL where they stand anywhere else, else NOT_FOUND.
 
-    One pass over the nodes tests all variables; only hits are grouped.
+    One pass over the nodes tests all variables; of each node only what it says of them goes on, and of each document its best.
     """
     label = F.lower(F.coalesce(_nearest("row", "label"), F.lit("")))
     figure = (F.col("node_type") == "cell") & (F.col("col_no") > 0) & F.col("text").rlike(r"\d") & (F.get("path", F.size("path") - 2)["type"] == "row")
-    tests = [F.when(label.contains(v.lower()) & figure, F.struct(F.lit(v).alias("variable"), F.lit(0).alias("rank"))).when(F.lower("text").contains(v.lower()), F.struct(F.lit(v).alias("variable"), F.lit(1).alias("rank"))) for v in variables]
-    hits = nodes.select("doc_id", "order", shown_path().alias("structural_path"), F.explode(F.array_compact(F.array(*tests))).alias("v"))
-    best = hits.groupBy("doc_id", "v.variable").agg(F.min(F.struct("v.rank", "order", "structural_path")).alias("b"))
-    wanted = nodes.filter("node_type = 'document'").select("doc_id", F.explode(F.array(*map(F.lit, variables))).alias("variable"))
+    low = F.lower("text")
+    cell = F.when(figure, label).otherwise("")
+    tests = [F.when(F.col("label").contains(v.lower()), F.lit(0)).when(F.col("low").contains(v.lower()), F.lit(1)) for v in variables]
+    told = nodes.select("doc_id", "order", "node_type", "path", cell.alias("label"), low.alias("low")).select("doc_id", "order", "node_type", "path", F.array(*tests).alias("ranks"))
+    hits = told.filter(F.exists("ranks", lambda r: r.isNotNull()) | (F.col("node_type") == "document")).select("doc_id", "order", "ranks", shown_path().alias("structural_path"))
+    best = hits.groupBy("doc_id").agg(*[F.min(F.when(F.get("ranks", F.lit(i)).isNotNull(), F.struct(F.get("ranks", F.lit(i)).alias("rank"), "order", "structural_path"))).alias(f"b{i}") for i in range(len(variables))])
+    each = best.select("doc_id", F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(f"b{i}").alias("b")) for i, v in enumerate(variables)])).alias("v")).select("doc_id", "v.*")
     status = F.when(F.col("b.rank") == 0, "FOUND").when(F.col("b.rank") == 1, "PARTIAL").otherwise("NOT_FOUND")
-    return wanted.join(best, ["doc_id", "variable"], "left").select("doc_id", "variable", status.alias("status"), F.col("b.structural_path").alias("structural_path"))
+    return each.select("doc_id", "variable", status.alias("status"), F.col("b.structural_path").alias("structural_path"))
 
 
 #: Years that column names are searched for, the current one and the one before, in this order.

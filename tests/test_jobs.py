@@ -187,3 +187,15 @@ def test_report_tables_and_an_empty_report(spark, tmp_path):
     assert [(r.report, r.filing_id, r.row) for r in empty] == [("flags", None, '{"message":"No flags generated"}')]
     template = spark.createDataFrame([("X!", 4), ("x", 7), (None, 9)], "particulars string, row_no int")
     assert [(r.particulars, r.n) for r in flag_report.unmatched(flags, template).collect()] == [(None, 1)]
+
+
+def test_notes_and_variables_are_found_in_one_pass(spark):
+    text = "# Report\n\n| Item | Note | 2024 |\n|-|-|-|\n| Cash | 2 | 10 |\n| Stock | 2 | 7 |\n| Debts | 9 | - |\n\n## Note 2: Money\nx\n## 2. Again\n"
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    nodes = document_tree.nodes(docs, paths=True)
+    notes, found = navigation.note_targets(nodes), navigation.variable_search(nodes, ["cash", "money", "zzz"])
+    assert {(r.note, r.row, r.target) for r in notes.collect()} == {("2", "row/2/1", "section/2"), ("2", "row/2/2", "section/2"), ("9", "row/2/3", None)}
+    assert {(r.doc_id, r.variable): r.status for r in found.collect()} == {(1, "cash"): "FOUND", (1, "money"): "PARTIAL", (1, "zzz"): "NOT_FOUND", (2, "cash"): "NOT_FOUND", (2, "money"): "NOT_FOUND", (2, "zzz"): "NOT_FOUND"}
+    for df in (notes, found):  # each document is parsed once, and nothing is joined
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("LogicalRDD") == 1
