@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.lookup import grams
-from tallyloom.sources.shared import saved
+from tallyloom.sources.shared import dealt, saved
 
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 _MONTH = "(" + "|".join(MONTHS) + ")"
@@ -68,8 +68,10 @@ def related_balances(investors: DataFrame, rows: DataFrame) -> DataFrame:
     rows has filing_id, row_no, text and amount. The block opens at a row that says related party;
     rows that say payable or receivable turn the side for what follows. An investor is named by any
     word of more than two letters of its name, legal forms aside; a word may stand inside a longer one.
-    Words and rows meet by filing and by the three letters of the word that fewest rows of the filing
-    have, and what meets is confirmed: no row meets all investors of its filing.
+    A row counts for each run of letters and digits in its text, and of equal runs of a filing only
+    the greatest amounts go on. Words meet equal runs by filing and text, and longer runs by the three
+    letters of the word that fewest of these have; only runs longer than the filing's shortest word
+    are taken to pieces, and what meets is confirmed: no row meets all investors of its filing.
     """
     by = Window.partitionBy("filing_id").orderBy("row_no")
     low = F.lower("text")
@@ -77,15 +79,22 @@ def related_balances(investors: DataFrame, rows: DataFrame) -> DataFrame:
     open_ = F.max(low.contains("related party")).over(by)
     block = rows.withColumn("side", side).withColumn("open", open_).filter("open and side is not null and amount is not null")
     words = F.filter(F.split(F.regexp_replace(F.lower("name"), "[^a-z0-9# ]", " "), " +"), lambda w: (F.length(w) > 2) & ~w.isin("ltd", "limited", "inc", "pte", "llp", "private", "pvt"))
-    block = saved(block.select("filing_id", "side", "amount", F.lower("text").alias("text")), "block")
-    of_name = investors.select("filing_id", "name", F.explode(F.array_distinct(words)).alias("word"))
-    # of a word, letters of one run only: a text has a word only within such a run
-    index = block.select("filing_id", "side", "amount", "text", F.explode(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("text", F.lit("[a-z0-9#]{3,}"), 0), lambda t: grams(t, 3))))).alias("gram"))
-    often = index.groupBy("filing_id", "gram").agg(F.count("*").alias("n"))
-    own = of_name.select("filing_id", "word", F.explode(grams(F.col("word"), 3)).alias("gram")).distinct()
-    rarest = own.join(often, ["filing_id", "gram"]).groupBy("filing_id", "word").agg(F.min(F.struct("n", "gram")).alias("r"))
-    met = rarest.select("filing_id", "word", "r.gram").join(index, ["filing_id", "gram"]).filter(F.col("text").contains(F.col("word")))
-    best = met.groupBy("filing_id", "word", "side").agg(F.max("amount").alias("amount"))
-    named = best.join(of_name, ["filing_id", "word"])
     greatest = lambda s: F.max(F.when(F.col("side") == s, F.col("amount"))).alias(s)
-    return named.groupBy("filing_id", "name").agg(greatest("payable"), greatest("receivable"))
+    larger = lambda: [F.max(s).alias(s) for s in ("payable", "receivable")]
+    # a text has a word only within one run of such letters
+    runs = block.select("filing_id", "side", "amount", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9#]{3,}"), 0))).alias("run"))
+    runs = saved(runs.groupBy("filing_id", "run").agg(greatest("payable"), greatest("receivable")), "runs")
+    of_name = saved(investors.select("filing_id", "name", F.explode(F.array_distinct(words)).alias("word")), "words")
+    equal = of_name.select("filing_id", "name", F.col("word").alias("run")).join(dealt(runs), ["filing_id", "run"]).select("filing_id", "name", "payable", "receivable")
+    shortest = of_name.groupBy("filing_id").agg(F.min(F.length("word")).alias("least"))
+    longer = saved(runs.join(dealt(shortest), "filing_id").filter(F.length("run") > F.col("least")).drop("least"), "longer")
+    longest = longer.groupBy("filing_id").agg(F.max(F.length("run")).alias("most"))
+    within = of_name.join(dealt(longest), "filing_id").filter(F.length("word") < F.col("most")).select("filing_id", "word").distinct()
+    index = longer.select("filing_id", "run", F.explode(grams(F.col("run"), 3)).alias("gram"))
+    often = index.groupBy("filing_id", "gram").agg(F.count("*").alias("n"))
+    own = within.select("filing_id", "word", F.explode(grams(F.col("word"), 3)).alias("gram"))
+    rarest = own.join(dealt(often), ["filing_id", "gram"]).groupBy("filing_id", "word").agg(F.min(F.struct("n", "gram")).alias("r"))
+    pairs = rarest.select("filing_id", "word", "r.gram").join(dealt(index), ["filing_id", "gram"]).filter(F.col("run").contains(F.col("word")) & (F.col("run") != F.col("word")))
+    best = pairs.select("filing_id", "word", "run").join(dealt(longer), ["filing_id", "run"]).groupBy("filing_id", "word").agg(*larger())
+    inside = best.join(dealt(of_name), ["filing_id", "word"]).select("filing_id", "name", "payable", "receivable")
+    return equal.union(inside).groupBy("filing_id", "name").agg(*larger())

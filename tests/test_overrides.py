@@ -82,3 +82,19 @@ def test_notes_formats_and_long_grids(spark):
     assert [tuple(r) for r in balances.collect()] == [(1, "Acme Holdings Ltd", 7.0, None)]
     assert comparison.cascade_match(spark.createDataFrame([("abc",), ("zz",)], "key string"), spark.createDataFrame([("ABC", 1), ("abcd", 0)], "field string, ord int")).collect()[0].tier in (2, 5)
     assert callable(return_grid.long_form)
+
+
+def test_equal_rows_of_related_parties_are_kept_once(spark, monkeypatch):
+    kept, saved = {}, text_fields.saved
+
+    def counted(df, name):
+        out = saved(df, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(text_fields, "saved", counted)
+    rows = [(1, 1, "Related party; payable", None), *((1, 2 + i, "Due to acme1", float(i)) for i in range(50)), (1, 60, "due to superacme1x", 99.0), (1, 61, "receivable of bolt2", 3.0)]
+    names = spark.createDataFrame([(1, "acme1 Ltd"), (1, "bolt2"), (1, "none at all")], "filing_id long, name string")
+    got = text_fields.related_balances(names, spark.createDataFrame(rows, "filing_id long, row_no int, text string, amount double"))
+    assert sorted(map(tuple, got.collect())) == [(1, "acme1 Ltd", 99.0, None), (1, "bolt2", None, 3.0)]
+    assert max(kept.values()) < 10
