@@ -101,8 +101,10 @@ def parsed(docs: DataFrame, bold_headings: bool = False) -> DataFrame:
 
 def parsed_tables(docs: DataFrame) -> DataFrame:
     """doc_id, section_no, block_no, caption (the section's title) and rows: the cells of each line of a table, the header first; all have the header's width."""
-    each = parsed(docs).select("doc_id", F.explode("sections").alias("s")).select("doc_id", "s.section_no", F.col("s.title").alias("caption"), F.explode(F.filter("s.blocks", lambda b: b["kind"] == "table")).alias("b"))
-    return each.select("doc_id", "section_no", "b.block_no", "caption", _rows_of(F.col("b.lines")).alias("rows")).filter(F.size("rows") > 0)
+    # what is exploded is no plain column and nothing is filtered after it: Spark would filter below, and compute it once more for that
+    some = F.filter("sections", lambda s: F.exists(s["blocks"], lambda b: b["kind"] == "table"))
+    each = parsed(docs).select("doc_id", F.explode(some).alias("s")).select("doc_id", "s.section_no", F.col("s.title").alias("caption"), F.explode(F.filter("s.blocks", lambda b: b["kind"] == "table")).alias("b"))
+    return each.select("doc_id", "section_no", "b.block_no", "caption", F.explode(F.filter(F.array(_rows_of(F.col("b.lines"))), lambda rows: F.size(rows) > 0)).alias("rows"))
 
 
 def _rows_of(table_lines: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.arrays import once
+from tallyloom.sources.shared import saved
 
 
 def _nearest(kind: str, field: str = "key") -> Column:
@@ -183,6 +184,19 @@ def best_rows(nodes: DataFrame, variables: list[str]) -> DataFrame:
     cells = nodes.filter("node_type = 'cell'").filter(F.get("path", F.size("path") - 2)["type"] == "row")
     cell = F.struct("col_no", F.lower(F.coalesce(F.get("path", F.size("path") - 1)["column"], F.lit(""))).alias("column"), F.trim("text").alias("text"))
     rows = cells.groupBy("doc_id", F.col("parent").alias("row")).agg(F.array_sort(F.collect_list(cell)).alias("cells"), F.min("order").alias("order"))
+    return _best_of(rows, variables)
+
+
+def best_table_rows(tables: DataFrame, variables: list[str]) -> DataFrame:
+    """The same as best_rows, from document_tree.parsed_tables(docs): the cells of a row lie together there, and only hits are dealt out."""
+    each = tables.select("doc_id", "block_no", F.get("rows", F.lit(0)).alias("head"), F.posexplode("rows").alias("row_no", "r")).filter("row_no > 0")
+    cell = lambda v, c: F.struct(c.alias("col_no"), F.lower(F.coalesce(F.get("head", c), F.lit(""))).alias("column"), F.trim(v).alias("text"))
+    row = F.concat_ws("/", F.lit("row"), "block_no", "row_no")
+    return _best_of(each.select("doc_id", row.alias("row"), F.struct("block_no", "row_no").alias("order"), F.transform("r", cell).alias("cells")), variables)
+
+
+def _best_of(rows: DataFrame, variables: list[str]) -> DataFrame:
+    """best_rows of rows with their cells (col_no, column, text) in order."""
     shown = F.filter(F.transform(F.slice("cells", 1, 2), lambda c: c["text"]), lambda t: t != "")
     rows = rows.select("doc_id", "row", "order", "cells", F.lower(F.array_join(shown, " | ")).alias("text"), F.lower(F.coalesce(F.get(shown, F.lit(0)), F.lit(""))).alias("label"), _year_values(F.col("cells")).alias("values"))
 
@@ -194,7 +208,8 @@ def best_rows(nodes: DataFrame, variables: list[str]) -> DataFrame:
     hits = rows.select("doc_id", "row", "order", "values", F.explode(F.array_compact(F.array(*map(test, variables)))).alias("v"))
     best = hits.groupBy("doc_id", "v.variable").agg(F.min(F.struct("v.tier", (-F.col("v.score")).alias("less"), "order", "row", "values")).alias("b"))
     found = best.select("doc_id", "variable", "b.row", "b.values.current", "b.values.previous", (-F.col("b.less")).alias("score"), F.when(F.col("b.values.current") != "", "FOUND").otherwise("PARTIAL").alias("status"))
-    wanted = nodes.sparkSession.createDataFrame([(v,) for v in variables], "variable string")
+    found = saved(found, "best")  # read twice
+    wanted = rows.sparkSession.createDataFrame([(v,) for v in variables], "variable string")
     absent = wanted.join(found.select("variable").distinct(), "variable", "left_anti")
     none = F.lit(None).cast("string")
     return found.unionByName(absent.select(F.lit(None).cast("long").alias("doc_id"), "variable", none.alias("row"), none.alias("current"), none.alias("previous"), F.lit(None).cast("int").alias("score"), F.lit("NOT_FOUND").alias("status")))

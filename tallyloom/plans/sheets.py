@@ -142,7 +142,7 @@ def w15_best_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each statement has a table of decoys before its own."""
     decoys = "## Notes\n| Item | A | B |\n|---|---|---|\n| 2-HIGH of March | as at March | March |\n| 3-MEDIUM of old | 12 | 15 |\n| Total 4-NOT SPECIFIED | March 31 | March 30 |\n| Total 5-LOW | 7 | 8 |\n| plain words | | - |\n\n"
     docs = statements(spark, sf_dir).withColumn("text", F.concat(F.lit(decoys), "text"))
-    best = navigation.best_rows(document_tree.nodes(docs, paths=True), ["2-high", "3-medium", "4-not specified", "5-low", "turnover", "plain"])
+    best = navigation.best_table_rows(document_tree.parsed_tables(docs), ["2-high", "3-medium", "4-not specified", "5-low", "turnover", "plain"])
     return best.select("doc_id", "variable", "current", "previous", "score", "status")
 
 
