@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.arrays import once
+
 #: Rows of a sheet in which a header may stand, of registers and of templates.
 SCANNED, TEMPLATE_SCANNED = 20, 10
 #: Words of the number of securities.
@@ -28,6 +30,12 @@ def _any(text: Column, words: tuple[str, ...] | list[str]) -> Column:
     return reduce(Column.__or__, [text.contains(w) for w in words])
 
 
+def _matches(text: Column) -> Column:
+    """Of how many a row's text speaks: a holder's name, their country and the number of securities."""
+    tests = (text.contains("name") & text.contains("shareholder"), _any(text, ["nationality", "country"]), _any(text, SECURITIES))
+    return reduce(Column.__add__, [t.cast("int") for t in tests])
+
+
 def header_rows(cells: DataFrame) -> DataFrame:
     """filing_id, sheet_no, header_row and matches: of each filing the row that speaks of most of a holder's name, their country and the number of securities.
 
@@ -36,8 +44,7 @@ def header_rows(cells: DataFrame) -> DataFrame:
     top = cells.filter((F.col("row_no") < SCANNED) & F.col("value").isNotNull())
     rows = top.groupBy("filing_id", "sheet_no", "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", F.lower("value").alias("value")))).alias("cells"))
     text = F.array_join("cells.value", " ")
-    score = lambda test: test.cast("int")
-    matches = score(text.contains("name") & text.contains("shareholder")) + score(_any(text, ["nationality", "country"])) + score(_any(text, SECURITIES))
+    matches = _matches(text)
     scored = rows.select("filing_id", "sheet_no", F.when(matches > 0, F.col("row_no")).otherwise(0).alias("header_row"), matches.alias("matches"))
     best = scored.groupBy("filing_id").agg(F.min(F.struct((-F.col("matches")).alias("less"), "sheet_no", "header_row")).alias("b"))
     return best.select("filing_id", "b.sheet_no", "b.header_row", (-F.col("b.less")).alias("matches"))
@@ -66,21 +73,47 @@ def column_roles(cells: DataFrame, headers: DataFrame) -> DataFrame:
     return found.filter("name is not null and country is not null and securities is not null")
 
 
+def _roles_of(cells: Column) -> Column:
+    """What column_roles finds, in the cells (col_no, value) of a header's row."""
+    said = F.transform(F.filter(cells, lambda c: c["value"].isNotNull()), lambda c: F.struct(c["col_no"].alias("col_no"), F.trim(F.regexp_replace(F.lower(c["value"]), r"\s+", " ")).alias("text")))
+
+    def roles(said: Column) -> Column:
+        of = lambda test: F.transform(F.filter(said, lambda c: test(c["text"])), lambda c: c["col_no"])
+        pick = lambda test, which: (F.array_max if which == "last" else F.array_min)(of(test))
+        each = {role: pick(lambda t, words=words: _any(t, words), which) for role, words, which in ROLES}
+        each["securities"] = F.coalesce(each["securities"], each.pop("any_amount"))
+        each["name"] = pick(lambda t: t.contains("name") & t.contains("shareholder"), "last")
+        each["category"] = pick(lambda t: t.contains("category of shareholder") & ~t.contains("type of sharehold"), "last")
+        owed = lambda t: _any(t, ["payable", "liabilit"])
+        each |= {"payables": F.array_distinct(of(owed)), "receivables": F.array_distinct(of(lambda t: _any(t, ["receivable", "claim"]) & ~owed(t)))}
+        return F.struct(*[c.alias(role) for role, c in each.items()])
+
+    return once(said, roles)
+
+
 def register_rows(cells: DataFrame) -> DataFrame:
     """Holders, as the jobs of register take them, of registers in any layout: filing_id, row_no, texts, numbers, payables and receivables.
 
     Where a column of the security's type is there, rows must say equity or preference. What is no
     number is null, and as payables, receivables or securities 0.
+
+    Cells are gathered by row once, and where they lie by filing already they stay there: the header of
+    header_rows, and its column_roles, are told to the rows of their filing, which read their own cells.
     """
-    roles = column_roles(cells, header_rows(cells))
-    body = cells.join(roles, ["filing_id", "sheet_no"]).filter(F.col("row_no") > F.col("header_row"))
-    number = F.expr("try_cast(trim(value) as double)")
-    pick = lambda role: F.max(F.when(F.col("col_no") == F.col(role), F.col("value")))
-    total = lambda role: F.coalesce(F.sum(F.when(F.array_contains(role, F.col("col_no")), number)), F.lit(0.0)).alias(role)
-    rows = body.groupBy("filing_id", "row_no").agg(
-        F.max(F.col("sec_type").isNotNull()).alias("typed"), *(pick(r).alias(r) for r in TEXTS), *(F.expr(f"try_cast(trim(max(case when col_no = {r} then value end)) as double)").alias(r) for r in NUMBERS), total("payables"), total("receivables")
-    )
-    kept = rows.filter(~F.col("typed") | F.lower("sec_type").rlike("equity|preference"))
+    rows = cells.groupBy("filing_id", "sheet_no", "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", "value"))).alias("cells"))
+    told = F.filter("cells", lambda c: c["value"].isNotNull())
+    best = F.when((F.col("row_no") < SCANNED) & F.exists("cells", lambda c: c["value"].isNotNull()), once(_matches(F.array_join(F.transform(told, lambda c: F.lower(c["value"])), " ")), lambda m: F.when(m > 0, F.struct((-m).alias("less"), "sheet_no", "row_no", _roles_of(F.col("cells")).alias("roles")))))
+    # a row that speaks of nothing has no column of a name, so that its filing would be left out anyhow
+    rows = rows.withColumn("head", F.min(best).over(Window.partitionBy("filing_id"))).filter((F.col("sheet_no") == F.col("head.sheet_no")) & (F.col("row_no") > F.col("head.row_no")))
+
+    rows = rows.select("filing_id", "row_no", "cells", F.col("head.roles").alias("r")).filter("r.name is not null and r.country is not null and r.securities is not null")
+    pick = lambda role: F.array_max(F.transform(F.filter("cells", lambda x: x["col_no"] == F.col(f"r.{role}")), lambda x: x["value"]))
+    number = lambda text: F.trim(text).try_cast("double")
+    total = lambda role: F.aggregate(F.filter("cells", lambda x: F.array_contains(f"r.{role}", x["col_no"])), F.lit(0.0), lambda acc, x: acc + F.coalesce(number(x["value"]), F.lit(0.0)))
+    said = [pick(t).alias(t) for t in TEXTS] + [number(pick(n)).alias(n) for n in NUMBERS] + [total(t).alias(t) for t in ("payables", "receivables")]
+    # read once, by explode, however often what follows asks for a field
+    made = rows.select("filing_id", "row_no", F.explode(F.array(F.struct(F.col("r.sec_type").isNotNull().alias("typed"), *said))).alias("h")).select("filing_id", "row_no", "h.*")
+    kept = made.filter(~F.col("typed") | F.lower("sec_type").rlike("equity|preference"))
     return kept.withColumn("securities", F.coalesce("securities", F.lit(0.0))).drop("typed")
 
 

@@ -70,10 +70,10 @@ def nonresident_buckets(holders: DataFrame) -> DataFrame:
 
 def investors(holders: DataFrame) -> DataFrame:
     """Foreign holders of a filing by clean name and country: securities, percent of all of the filing's, and direct (10 percent or more)."""
-    total = scoped(holders).groupBy("filing_id").agg(F.sum("securities").alias("total"))
-    each = foreign(holders).groupBy("filing_id", _clean("name").alias("name"), _clean("country").alias("country")).agg(F.sum("securities").alias("securities"))
+    each = scoped(holders).groupBy("filing_id", _clean("name").alias("name"), _clean("country").alias("country")).agg(F.sum("securities").alias("securities"))
+    each = each.withColumn("total", F.sum("securities").over(Window.partitionBy("filing_id"))).filter(~F.col("country").isin(*HOME))
     percent = F.try_divide(F.col("securities"), F.col("total")) * 100
-    return each.join(total, "filing_id").withColumn("percent", F.coalesce(percent, F.lit(0.0))).withColumn("direct", F.col("percent") >= 10).drop("total")
+    return each.withColumn("percent", F.coalesce(percent, F.lit(0.0))).withColumn("direct", F.col("percent") >= 10).drop("total")
 
 
 def other_countries(investors_: DataFrame) -> DataFrame:

@@ -37,7 +37,8 @@ def register_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = [cell(1 - own, F.lit(25), place(i), F.lit(h)) for i, (h, _) in enumerate(COLUMNS)]
     decoys = [cell(1 - own, F.lit(3), F.lit(0), F.lit("Number of shares by year")), cell(1 - own, F.lit(0), F.lit(0), F.lit("Cover"))]
     before = F.when(head > 0, F.array(cell(own, head - 1, F.lit(4), F.lit("Shareholders by name and place")))).otherwise(F.array().cast("array<struct<sheet_no:int,row_no:bigint,col_no:int,value:string>>"))
-    heads = rows.select("filing_id").distinct().select("filing_id", F.inline(F.concat(F.array(*line, *other, *decoys), before)))
+    # the filing's first row brings the sheets' other rows, so that both parts read the same rows, dealt out once
+    heads = rows.filter("line = 1").select("filing_id", F.inline(F.concat(F.array(*line, *other, *decoys), before)))
     return body.unionByName(heads)
 
 
