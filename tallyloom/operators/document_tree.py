@@ -46,7 +46,7 @@ def line_kinds(lines_: DataFrame) -> DataFrame:
 
 
 def parsed(docs: DataFrame, bold_headings: bool = False) -> DataFrame:
-    """doc_id and sections: an array of section_no, level, title, parent_no and blocks (block_no, kind, level, line_no, content, lines).
+    """doc_id, what else docs have, and sections: an array of section_no, level, title, parent_no and blocks (block_no, kind, level, line_no, content, lines).
 
     Runs of table lines, and of paragraph lines, are one block each; a heading is its own; blanks and
     images break runs and vanish. A section begins at each heading, and section 0, the preamble, has
@@ -96,7 +96,7 @@ def parsed(docs: DataFrame, bold_headings: bool = False) -> DataFrame:
         return once(filled, with_parents)
 
     rows = F.transform(F.split("text", "\r?\n"), line)
-    return docs.select("doc_id", once(once(rows, blocks_of), sections_of).alias("sections"))
+    return docs.select(*[c for c in docs.columns if c != "text"], once(once(rows, blocks_of), sections_of).alias("sections"))
 
 
 def parsed_tables(docs: DataFrame) -> DataFrame:
@@ -191,6 +191,11 @@ def nodes(docs: DataFrame, paths: bool = False) -> DataFrame:
     document, as ``row/3/1``. in_column: does the header name the column of a cell? depth counts from
     the document, 0. Nothing is shuffled; ``numbered`` adds ids.
     """
+    return trees(docs, paths).select("doc_id", F.posexplode("nodes").alias("order", "n")).select("doc_id", "order", "n.*")
+
+
+def trees(docs: DataFrame, paths: bool = False) -> DataFrame:
+    """doc_id, what else docs have, and nodes: those of ``nodes`` in their order, in the document's row."""
     zero, no, none = F.lit(0), F.lit(False), F.lit(None)
     key = lambda kind, *c: F.concat_ws("/", F.lit(kind), *c)
 
@@ -208,28 +213,44 @@ def nodes(docs: DataFrame, paths: bool = False) -> DataFrame:
     def of_table(b: Column, s: Column) -> Column:
         no_, deep = b["block_no"], s["depth"]
 
-        def lines_of(rows: Column) -> Column:
+        def lines_of(rows: Column, on_table: Column | None) -> Column:
             head = F.get(rows, zero)
-            is_note = lambda c: F.lower(F.get(head, c)).isin(*NOTE_COLUMNS)
             row_kind = lambda i: F.when(i == 0, "header").otherwise("row")
-            row_text = lambda i, filled: F.when(i == 0, "").otherwise(F.array_join(filled, " | "))
-            on_table = F.concat(s["path"], F.array(step(F.lit("table"), key("table", no_), F.array_join(head, " | ")))) if paths else None
 
+            # what a line and its way say is computed once, not again for each of its cells
             def line(r: Column, i: Column) -> Column:
-                own = F.when(i == 0, key("header", no_)).otherwise(key("row", no_, i))
                 filled = F.filter(F.slice(r, 1, 2), lambda v: F.trim(v) != "")
-                label = F.when(i > 0, F.coalesce(F.get(filled, zero), F.lit("")))
-                on_row = F.concat(on_table, F.array(step(row_kind(i), own, row_text(i, filled), label))) if paths else None
-                cell = lambda v, c: node("cell", key("cell", no_, i, c), own, v, deep + 3, c, F.trim(F.get(head, c)) != "", on_row, none, F.get(head, c))
-                found = F.transform(r, lambda v, c: F.when(is_note(c) & (F.trim(v) != ""), F.trim(v)).otherwise(F.regexp_extract(v, INLINE_NOTE, 1)))
-                notes = F.transform(F.filter(found, lambda n: n != ""), lambda n, j: node("note", key("note", no_, i, j), own, F.concat(F.lit("Note "), n), deep + 3, above=on_row))
-                self_ = node(row_kind(i), own, key("table", no_), row_text(i, filled), deep + 2, above=on_table, label=label)
+                made = lambda own: once(F.struct(own["name"].alias("name"), own["text"].alias("text"), own["label"].alias("label"), *([F.concat(on_table, F.array(step(row_kind(i), own["name"], own["text"], own["label"]))).alias("path")] if paths else [])), lambda o: of_line(r, i, o))
+                name = F.when(i == 0, key("header", no_)).otherwise(key("row", no_, i))
+                of_row = lambda f: F.struct(name.alias("name"), F.when(i == 0, "").otherwise(F.array_join(f, " | ")).alias("text"), F.when(i > 0, F.coalesce(F.get(f, zero), F.lit(""))).alias("label"))
+                return once(once(filled, of_row), made)
+
+            def of_line(r: Column, i: Column, o: Column) -> Column:
+                on_row = o["path"] if paths else None
+                cell = lambda v, c: node("cell", key("cell", no_, i, c), o["name"], v, deep + 3, c, F.trim(F.get(head, c)) != "", on_row, none, F.get(head, c))
+                self_ = node(row_kind(i), o["name"], key("table", no_), o["text"], deep + 2, above=on_table, label=o["label"])
+                # a line whose cells name no note, and which has no cell in a column of notes, has none
+                note = lambda n, j: node("note", key("note", no_, i, j), o["name"], F.concat(F.lit("Note "), n), deep + 3, above=on_row)
+                notes = F.transform(F.filter(F.transform(r, note_in), lambda n: n != ""), note)
                 return F.concat(F.array(self_), F.transform(r, cell), F.when(i > 0, notes).otherwise(F.slice(notes, 1, 0)))
 
-            table = node("table", key("table", no_), key("section", s["section_no"]), F.array_join(head, " | "), deep + 1, above=s["path"])
-            return F.when(F.size(rows) > 0, F.concat(F.array(table), F.flatten(F.transform(rows, line))))
+            # places of columns of notes, once for each table
+            def with_notes(note_columns: Column) -> Column:
+                nonlocal note_in
+                note_in = lambda v, c: F.when(F.array_contains(note_columns, c) & (F.trim(v) != ""), F.trim(v)).when(F.lower(v).rlike("note|ref"), F.regexp_extract(v, INLINE_NOTE, 1)).otherwise("")
+                table = node("table", key("table", no_), key("section", s["section_no"]), F.array_join(head, " | "), deep + 1, above=s["path"])
+                return F.when(F.size(rows) > 0, F.concat(F.array(table), F.flatten(F.transform(rows, line))))
+
+            note_in = None
+            return once(F.filter(places(head), lambda c: F.lower(F.get(head, c)).isin(*NOTE_COLUMNS)), with_notes)
+
+        def with_way(rows: Column) -> Column:
+            if not paths:
+                return lines_of(rows, None)
+            way = F.concat(s["path"], F.array(step(F.lit("table"), key("table", no_), F.array_join(F.get(rows, zero), " | "))))
+            return once(way, lambda w: lines_of(rows, w))
 
-        return once(_rows_of(b["lines"]), lines_of)
+        return once(_rows_of(b["lines"]), with_way)
 
     def of_section(s: Column, all_: Column) -> Column:
         name = key("section", s["section_no"])
@@ -253,7 +274,7 @@ def nodes(docs: DataFrame, paths: bool = False) -> DataFrame:
     document = F.array(node("document", F.lit("document"), none, F.lit(""), zero))
     empty = F.slice(document, 1, 0)
     all_ = F.concat(document, F.coalesce(F.flatten(F.transform(once(F.col("sections"), deep), lambda s: of_section(s, s))), empty))
-    return parsed(docs).select("doc_id", F.posexplode(all_).alias("order", "n")).select("doc_id", "order", "n.*")
+    return parsed(docs).select(*[c for c in docs.columns if c != "text"], all_.alias("nodes"))
 
 
 def numbered(nodes_: DataFrame) -> DataFrame:

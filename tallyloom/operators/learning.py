@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tallyloom.functions.arrays import once
+from tallyloom.operators import document_tree
+from tallyloom.sources.shared import spread
 
 #: A step of a path, from the document down.
 STEP = "struct<type:string,label:string,col_index:int>"
@@ -41,16 +43,15 @@ def learn_paths(nodes: DataFrame, examples: DataFrame) -> DataFrame:
     """
     by = ["doc_id", "template", "variable_name", "at"]
     wanted = examples.filter("trim(key) <> ''").select(*by, F.coalesce("document_type", F.lit("generic")).alias("document_type"), F.lower(F.trim("key")).alias("words"), F.trim("value").alias("value")).dropDuplicates(by)
-    node = nodes.select("doc_id", "order", "node_type", F.col("key").alias("node"), "parent", "text", "path")
     own_label = F.lower(F.get("path", F.size("path") - 1)["label"])
     rank = F.when((F.col("node_type") == "row") & own_label.contains(F.col("words")), 0).when(F.lower("text").contains(F.col("words")), 1)
-    hits = node.join(wanted.select(*by, "words"), "doc_id").withColumn("rank", rank).filter("rank is not null")
-    best = hits.groupBy(*by).agg(F.min_by(F.struct("node", "path"), F.struct("rank", "order")).alias("best"))
-    best = wanted.join(best, by)
-    cells = node.filter("node_type = 'cell'").select("doc_id", F.col("parent").alias("of"), F.trim("text").alias("said"), "order", "path", F.element_at(F.split("node", "/"), -1).cast("int").alias("col_no"))
-    met = cells.join(best.select(*by, F.col("best.node").alias("of"), F.col("value").alias("said")).filter("said <> ''"), ["doc_id", "of", "said"])
-    first = met.groupBy(*by).agg(F.min_by(F.struct("path", "col_no"), "order").alias("cell"))
-    found = best.join(first, by, "left").select(*by, "document_type", F.coalesce("cell.path", "best.path").alias("path"), "cell.col_no")
+    said = (F.col("node_type") == "cell") & (F.col("value") != "") & (F.trim("text") == F.col("value"))
+    # both what the words find and the cells that may be meant, in one pass
+    hits = nodes.join(wanted, "doc_id").withColumns({"rank": rank, "said": F.coalesce(said, F.lit(False))}).filter("rank is not null or said")
+    cell = F.struct("order", F.col("parent").alias("of"), "path", F.element_at(F.split("key", "/"), -1).cast("int").alias("col_no"))
+    met = hits.groupBy(*by).agg(F.first("document_type").alias("document_type"), F.min_by(F.struct("key", "path"), F.when(F.col("rank").isNotNull(), F.struct("rank", "order"))).alias("best"), F.collect_list(F.when(F.col("said"), cell)).alias("cells"))
+    first = F.get(F.array_sort(F.filter("cells", lambda c: c["of"] == F.col("best.key"))), F.lit(0))
+    found = met.filter("best is not null").select(*by, "document_type", "best", first.alias("cell")).select(*by, "document_type", F.coalesce("cell.path", "best.path").alias("path"), "cell.col_no")
 
     last = F.size("path") - 1
     label = lambda s: F.when(s["label"].isNotNull(), s["label"]).when(s["type"].isin("paragraph", "heading", "note", "cell"), s["text"])
@@ -155,6 +156,10 @@ def rejected(value: Column, variable: Column) -> Column:
     return paragraph | (low == F.lower(F.trim(variable))) | low.rlike("^(www\\.|https?://)")
 
 
+def _status() -> Column:
+    return F.when(F.col("said").isNull(), "path lost").when(F.col("said") == "", "no value").when(rejected(F.col("said"), F.col("variable_name")), "rejected").otherwise("extracted")
+
+
 def extract(nodes: DataFrame, rules: DataFrame, depth: int = 10, strict_compat: bool = False) -> DataFrame:
     """doc_id, rule_id, variable_name, value and status for every document and every rule of its scope.
 
@@ -169,11 +174,40 @@ def extract(nodes: DataFrame, rules: DataFrame, depth: int = 10, strict_compat:
     wanted = nodes.filter("node_type = 'document'").select("doc_id", *by)
     each = rules.groupBy(*by).agg(F.collect_list(F.struct("rule_id", "variable_name")).alias("rules"))
     wanted = (wanted.join(each, by) if by else wanted.crossJoin(each)).select("doc_id", F.explode("rules").alias("r")).select("doc_id", "r.*")
-    status = F.when(F.col("said").isNull(), "path lost").when(F.col("said") == "", "no value").when(rejected(F.col("said"), F.col("variable_name")), "rejected").otherwise("extracted")
-    judged = wanted.join(said, ["doc_id", "rule_id"], "left").withColumn("status", status)
+    judged = wanted.join(said, ["doc_id", "rule_id"], "left").withColumn("status", _status())
     return judged.select("doc_id", "rule_id", "variable_name", F.when(F.col("status") == "extracted", F.col("said")).alias("value"), "status")
 
 
+def extract_from(docs: DataFrame, rules: DataFrame, depth: int = 10, strict_compat: bool = False) -> DataFrame:
+    """The same as extract, from documents (doc_id, text and columns of SCOPES) in place of nodes: texts meet the rules, and each rule walks through the tree in the document's row.
+
+    So neither nodes nor paths are dealt out. A row's label needs no test of its own, as its text begins with it.
+    """
+    by = [c for c in SCOPES if c in docs.columns and c in rules.columns]
+    rule = F.struct("rule_id", "variable_name", F.slice("path", 1, depth).cast(f"array<{STEP}>").alias("path"))
+    steps = rules.groupBy(*by).agg(F.collect_list(rule).alias("rules"))
+    docs = docs.select("doc_id", "text", *by)
+    met = document_tree.trees(spread((docs.join(steps, by) if by else docs.crossJoin(steps)).select("doc_id", "text", "rules"), "doc_id"))
+
+    def child(now: Column, step: Column) -> Column:
+        labelled = lambda n: (F.coalesce(step["label"], F.lit("")) == "") | F.coalesce(F.lower(n["text"]).contains(F.lower(step["label"])), F.lit(False))
+        right = lambda n: n["col_no"] == step["col_index"]
+        fits = lambda n: F.when((n["node_type"] == "cell") & step["col_index"].isNotNull(), (right(n) & labelled(n)) if strict_compat else right(n)).otherwise(labelled(n))
+        return F.get(F.filter("nodes", lambda n: (n["parent"] == now["key"]) & (n["node_type"] == step["type"]) & fits(n)), F.lit(0))
+
+    def walked(r: Column) -> Column:
+        end = F.when(F.size(r["path"]) > 0, F.aggregate(r["path"], F.get("nodes", F.lit(0)), child))
+        cells = lambda n: F.transform(F.filter("nodes", lambda c: (c["node_type"] == "cell") & (c["parent"] == n["key"])), lambda c: c["text"])
+        told = lambda n: F.struct(r["rule_id"], r["variable_name"], n["node_type"].alias("node_type"), n["text"].alias("text"), F.when(n["node_type"] != "cell", cells(n)).alias("cells"), F.get(r["path"], F.size(r["path"]) - 1)["col_index"].alias("col_index"))
+        return once(end, told)
+
+    each = met.select("doc_id", F.explode(F.transform("rules", walked)).alias("r")).select("doc_id", "r.*")
+    said = F.when(F.col("node_type").isNotNull(), value_of(F.col("node_type"), F.col("text"), F.col("cells"), F.col("col_index")))
+    # the value is made once, by explode, and not again for each test of it
+    made = each.select("doc_id", "rule_id", "variable_name", F.explode(F.array(said)).alias("said"))
+    return made.withColumn("status", _status()).select("doc_id", "rule_id", "variable_name", F.when(F.col("status") == "extracted", F.col("said")).alias("value"), "status")
+
+
 class RuleTable:
     """Rules under a folder, one partition for each template, and the successes of each run.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators import comparison, document_tree, learning, lookup
+from tallyloom.operators import comparison, learning, lookup
 from tallyloom.sources.shared import saved
 
 #: What a prediction says when it found nothing.
@@ -61,10 +61,9 @@ def run_batch(docs: DataFrame, rules: DataFrame, paths: DataFrame, predictions:
     rules_of = saved(scoped_rules(docs.select("template", "document_type"), rules), "scoped")
     asked = docs.select("doc_id", "template", "document_type").join(rules_of, ["template", "document_type"])
 
-    best = saved(best_rules(rules_of, paths), "best")
-    nodes = document_tree.nodes(docs.select("doc_id", "text"), paths=True).join(docs.select("doc_id", "template"), "doc_id")
+    best = saved(best_rules(rules_of, saved(paths, "paths")), "best")
     learned = best.select("template", "rule_id", "path", F.col("extracted_key").alias("variable_name")).dropDuplicates(["template", "rule_id"])
-    found = learning.extract(nodes, learned).filter("status = 'extracted'").select("doc_id", "rule_id", F.col("value").alias("by_path"))
+    found = learning.extract_from(docs.select("doc_id", "template", "text"), learned).filter("status = 'extracted'").select("doc_id", "rule_id", F.col("value").alias("by_path"))
     asked = asked.join(best.select("template", "extracted_key", "rule_id"), ["template", "extracted_key"], "left").join(found, ["doc_id", "rule_id"], "left")
     asked = saved(asked.select("doc_id", "form_field", "tier", "by_path"), "asked")
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import comparison, document_tree, learning, scoped_batch
+from tallyloom.operators import comparison, scoped_batch
 from tallyloom.operators.company_status import group_status, standard_applies
-from tallyloom.plans.learned import PRINTED_SQL, company_of, examples
+from tallyloom.plans.learned import PRINTED_SQL, company_of, examples, learned
 from tallyloom.plans.registry import query, table
 from tallyloom.sources.statements import statements
 
@@ -57,8 +57,7 @@ def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x12_scoped_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of all companies; predictions of even years name the fields in other forms, those of odd years say nothing."""
     docs = statements(spark, sf_dir).select("doc_id", company_of().alias("template"), F.lit("report").alias("document_type"), "text")
-    nodes = document_tree.nodes(docs.select("doc_id", "text"), paths=True)
-    paths = learning.learn_paths(nodes, examples(spark, sf_dir)).withColumn("success_count", F.lit(0))
+    paths = learned(docs, examples(spark, sf_dir)).withColumn("success_count", F.lit(0))
     said = lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"))
     even = F.col("doc_id") % 2 == 0
     text = lambda field: F.when(even, F.concat(F.lit(f"{field} "), F.col("doc_id").cast("string"))).otherwise("Unknown")

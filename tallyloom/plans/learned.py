@@ -9,6 +9,7 @@ from tallyloom.operators import document_tree as tree
 from tallyloom.operators import learning
 from tallyloom.plans.documents import ITEMS_SQL
 from tallyloom.plans.registry import query
+from tallyloom.sources.shared import spread
 from tallyloom.sources.statements import line_items, statements
 
 #: What the statements print, by column, and the first statement of each company.
@@ -37,8 +38,10 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_.select("doc_id", F.col("company").alias("template"), F.lower("key").alias("variable_name"), F.lit("report").alias("document_type"), "key", "value", F.make_timestamp("fiscal_year", F.lit(4), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("at"))
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.nodes(statements(spark, sf_dir), paths=True).withColumn("template", company_of())
+def learned(docs: DataFrame, corrected: DataFrame) -> DataFrame:
+    """Rules from the corrections of these documents; only those that are corrected become nodes, and nodes stay where their document was dealt."""
+    own = spread(docs.select("doc_id", "text"), "doc_id").join(corrected.select("doc_id").distinct(), "doc_id", "left_semi")
+    return learning.learn_paths(tree.nodes(own, paths=True), corrected)
 
 
 @query(
@@ -50,7 +53,7 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT company, 'director', 'report', up || 'section[Signatures] > paragraph[Director]' FROM above""",
 )
 def l2_learned_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = learning.learn_paths(_nodes(spark, sf_dir), examples(spark, sf_dir))
+    rules = learned(statements(spark, sf_dir), examples(spark, sf_dir))
     return rules.select("template", "variable_name", "document_type", learning.shown_steps(F.col("path")).alias("path"))
 
 
@@ -67,6 +70,6 @@ def l2_learned_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT doc_id, 'director', NULL, 'no value' FROM d""",
 )
 def l5_learned_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _nodes(spark, sf_dir)
-    rules = learning.learn_paths(nodes, examples(spark, sf_dir)).drop("document_type")
-    return learning.extract(nodes, rules).select("doc_id", "variable_name", "value", "status")
+    docs = statements(spark, sf_dir).withColumn("template", company_of())
+    rules = learned(docs, examples(spark, sf_dir)).drop("document_type")
+    return learning.extract_from(docs, rules).select("doc_id", "variable_name", "value", "status")

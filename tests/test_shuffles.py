@@ -1,6 +1,7 @@
 """What the queries deal out between tasks, told by their plans."""
 
-from tallyloom.plans import sheets
+from tallyloom.operators import document_tree, learning
+from tallyloom.plans import navigation, sheets
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,3 +13,22 @@ def plan(df):
 def test_cells_of_registers_stay_where_holders_were_dealt(spark):
     above, cells, _ = plan(sheets.found_holders(spark, SF)).partition("Generate inline(")
     assert cells and "Exchange" not in above
+
+
+def test_rules_walk_in_the_row_of_a_document(spark):
+    text = "# A\nTotal - none\n\n| Item | FY | PY |\n|---|---|---|\n| Cash | 1 | 2 |\n| Cash old | 3 | 4 |\n\n## Signed\nDirector: B"
+    docs = spark.createDataFrame([(1, "t", text), (2, "t", "# A\nx\n"), (3, "u", text), (4, "t", None), (5, "t", text.replace("Cash", "Bank"))], "doc_id long, template string, text string")
+    step = lambda kind, label=None, col=None: (kind, label, col)
+    way = [step("section", "a"), step("table"), step("row", "cash")]
+    rules = [("r1", "cash", [*way, step("cell", "x", 2)]), ("r2", "row", way), ("r3", "old", [step("section"), step("table"), step("row", "old")]), ("r4", "director", [step("section"), step("section", "signed"), step("paragraph", "director")]), ("r5", "section", [step("section", "A")]), ("r6", "nothing", [])]
+    table = spark.createDataFrame([("t", *r) for r in rules], "template string, rule_id string, variable_name string, path array<struct<type:string,label:string,col_index:int>>")
+    nodes = document_tree.nodes(docs, paths=True).join(docs.select("doc_id", "template"), "doc_id")
+    for strict in (False, True):
+        want, got = (sorted(map(str, f.collect())) for f in (learning.extract(nodes, table, strict_compat=strict), learning.extract_from(docs, table, strict_compat=strict)))
+        assert got == want and len(got) == 24 and any("extracted" in r for r in got)
+    assert plan(learning.extract_from(docs, table)).partition("Generate explode(transform(rules")[0].count("Exchange") == 0
+
+
+def test_neighbours_of_rows_deal_out_texts_only(spark):
+    above, made, _ = plan(navigation.d13_siblings(spark, SF)).partition("Generate posexplode(")
+    assert made and "Exchange" not in above
