@@ -37,11 +37,28 @@ def structural_path(nodes: DataFrame) -> DataFrame:
     return nodes.select("doc_id", "key", shown_path().alias("structural_path"))
 
 
+def with_ways(nodes: DataFrame, ways: dict[str, Column], first: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, way and key of the nodes that each test says yes to, of the ways in first only each document's first node; all in one pass.
+
+    Nodes need not be kept: a node meets all tests where it is made, and only hits are dealt out.
+    """
+    of = F.explode(F.array_compact(F.array(*[F.when(test, F.lit(way)) for way, test in ways.items()])))
+    hits = nodes.select("doc_id", "order", "key", of.alias("way")).groupBy("doc_id", "way").agg(F.array_sort(F.collect_list(F.struct("order", "key"))).alias("hits"))
+    return hits.select("doc_id", "way", F.explode(F.when(F.col("way").isin(*first), F.slice("hits", 1, 1)).otherwise(F.col("hits"))).alias("h")).select("doc_id", "way", "h.key")
+
+
+def _of_kind(test: Column, kind: str | None) -> Column:
+    return (F.col("node_type") == kind) & test if kind else test
+
+
+def has_text(text: str, exact: bool = False, kind: str | None = None) -> Column:
+    low = F.lower("text")
+    return _of_kind(low == text.lower() if exact else low.contains(text.lower()), kind)
+
+
 def find_by_text(nodes: DataFrame, text: str, exact: bool = False, kind: str | None = None) -> DataFrame:
     """Nodes whose text contains the words (exact: is them), upper and lower case alike, of one type if given."""
-    low = F.lower("text")
-    found = nodes.filter(low == text.lower() if exact else low.contains(text.lower()))
-    return found.filter(F.col("node_type") == kind) if kind else found
+    return nodes.filter(has_text(text, exact, kind))
 
 
 def first_of_each(nodes: DataFrame) -> DataFrame:
@@ -54,21 +71,31 @@ def find_section(nodes: DataFrame, title: str) -> DataFrame:
     return first_of_each(find_by_text(nodes, title, kind="section"))
 
 
+def is_table(text: str) -> Column:
+    return _of_kind(F.lower("text").contains(text.lower()) | F.lower(_nearest("section", "label")).contains(text.lower()), "table")
+
+
 def find_table(nodes: DataFrame, text: str) -> DataFrame:
     """Of each document the first table whose header, or whose section's title, contains the words."""
-    hit = F.lower("text").contains(text.lower()) | F.lower(_nearest("section", "label")).contains(text.lower())
-    return first_of_each(nodes.filter((F.col("node_type") == "table") & hit))
+    return first_of_each(nodes.filter(is_table(text)))
+
+
+def is_within(title: str, kind: str) -> Column:
+    return _of_kind(F.exists("path", lambda s: (s["type"] == "section") & F.lower(s["label"]).contains(title.lower())), kind)
 
 
 def within_section(nodes: DataFrame, title: str, kind: str) -> DataFrame:
     """Nodes of a type anywhere below sections whose title contains the words."""
-    return nodes.filter((F.col("node_type") == kind) & F.exists("path", lambda s: (s["type"] == "section") & F.lower(s["label"]).contains(title.lower())))
+    return nodes.filter(is_within(title, kind))
+
+
+def is_below(key: str, kind: str | None = None) -> Column:
+    return _of_kind((F.col("key") != key) & F.exists("path", lambda s: s["key"] == key), kind)
 
 
 def below(nodes: DataFrame, key: str, kind: str | None = None) -> DataFrame:
     """All nodes below the one of this key, of one type if given."""
-    found = nodes.filter((F.col("key") != key) & F.exists("path", lambda s: s["key"] == key))
-    return found.filter(F.col("node_type") == kind) if kind else found
+    return nodes.filter(is_below(key, kind))
 
 
 def children(nodes: DataFrame, key: str) -> DataFrame:
@@ -82,19 +109,26 @@ def siblings(nodes: DataFrame) -> DataFrame:
     return nodes.filter("parent is not null").select("doc_id", "key", F.lag("key").over(by).alias("before"), F.lead("key").over(by).alias("after"), F.count("*").over(many).alias("n_siblings"))
 
 
+def is_row(label: str) -> Column:
+    return _of_kind(F.lower(_nearest("row", "label")).contains(label.lower()), "row")
+
+
 def find_rows(nodes: DataFrame, label: str) -> DataFrame:
     """Rows whose label contains the words."""
-    return nodes.filter((F.col("node_type") == "row") & F.lower(_nearest("row", "label")).contains(label.lower()))
+    return nodes.filter(is_row(label))
+
+
+def is_cell(row: str | None = None, column: str | None = None, text: str | None = None) -> Column:
+    test = F.exists("path", lambda s: s["type"] == "row")
+    for words, value in ((row, F.lower(_nearest("row", "label"))), (column, F.lower(F.get("path", F.size("path") - 1)["column"])), (text, F.lower("text"))):
+        if words is not None:
+            test = test & value.contains(words.lower())
+    return _of_kind(test, "cell")
 
 
 def find_cells(nodes: DataFrame, row: str | None = None, column: str | None = None, text: str | None = None) -> DataFrame:
     """Cells of body rows by the label of their row, the name of their column and their own text; what is None does not count."""
-    cells = nodes.filter((F.col("node_type") == "cell") & F.exists("path", lambda s: s["type"] == "row"))
-    tests = ((row, F.lower(_nearest("row", "label"))), (column, F.lower(F.get("path", F.size("path") - 1)["column"])), (text, F.lower("text")))
-    for words, value in tests:
-        if words is not None:
-            cells = cells.filter(value.contains(words.lower()))
-    return cells
+    return nodes.filter(is_cell(row, column, text))
 
 
 def note_number(title: Column) -> Column:
@@ -114,9 +148,13 @@ def note_targets(nodes: DataFrame) -> DataFrame:
     return met.select("doc_id", "note", F.explode("rows").alias("row"), "target")
 
 
+def names_note(note: str) -> Column:
+    return _of_kind(F.lower("text") == f"note {note.lower()}", "note")
+
+
 def rows_of_note(nodes: DataFrame, note: str) -> DataFrame:
     """Rows that refer to the note of this number."""
-    return nodes.filter((F.col("node_type") == "note") & (F.lower("text") == f"note {note.lower()}")).select("doc_id", F.col("parent").alias("row"))
+    return nodes.filter(names_note(note)).select("doc_id", F.col("parent").alias("row"))
 
 
 def summary(nodes: DataFrame) -> DataFrame:

@@ -32,3 +32,8 @@ def test_rules_walk_in_the_row_of_a_document(spark):
 def test_neighbours_of_rows_deal_out_texts_only(spark):
     above, made, _ = plan(navigation.d13_siblings(spark, SF)).partition("Generate posexplode(")
     assert made and "Exchange" not in above
+
+
+def test_ways_are_found_in_one_pass(spark):
+    made = plan(navigation.d7_find(spark, SF))
+    assert made.count("Generate posexplode(") == 1 and "Exchange" not in made.partition("Generate explode(array_compact")[2].partition("Generate posexplode(")[0]
