@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import document_tree, header_scan, navigation, table_markup
+from tallyloom.operators import document_tree, header_scan, navigation, table_markup, workbook_facts
 
 
 def cells_of(spark, raws):
@@ -96,3 +96,12 @@ def test_best_rows_by_years_and_by_other_cells(spark):
     got = {r.variable: (r.doc_id, r.current, r.previous, r.score, r.status) for r in rows}
     # the words alone in a cell behind the first give 5, a total of them 8
     assert got == {"Cash": (1, "9", "8", 18, "FOUND"), "trade payables": (1, "1,200", "", 5, "FOUND"), "(a)": (1, "1,200", "", 0, "FOUND"), "reserves": (None, None, None, None, "NOT_FOUND")}
+
+
+def test_small_amounts_with_decimals_are_no_notes(spark):
+    amounts = ["12", "12.0", "12.00", "1.00", "49.00", "(12.00)", "0.00", "60"]
+    cells = [(i, "Profit and Loss", 0, 1, c, v) for i, a in enumerate(amounts) for c, v in enumerate(("Profit before tax", "19", a))]
+    heads = [(i, "Profit and Loss", 0, 0, c, v) for i in range(len(amounts)) for c, v in enumerate(("Particulars", "Note No", "Amount"))]
+    df = spark.createDataFrame(heads + cells, "filing_id int, sheet string, sheet_no int, row_no int, col_no int, value string")
+    got = {r.filing_id: r.value for r in workbook_facts.workbook_facts(df).filter("field = 'net_profit_before_tax'").collect()}
+    assert got == {2: 12.0, 3: 1.0, 4: 49.0, 5: -12.0, 6: 0.0, 7: 60.0}
