@@ -37,3 +37,11 @@ def test_neighbours_of_rows_deal_out_texts_only(spark):
 def test_ways_are_found_in_one_pass(spark):
     made = plan(navigation.d7_find(spark, SF))
     assert made.count("Generate posexplode(") == 1 and "Exchange" not in made.partition("Generate explode(array_compact")[2].partition("Generate posexplode(")[0]
+
+
+def test_nodes_are_made_once(spark):
+    docs = spark.createDataFrame([(1, "# A\n\n| x | y |\n|-|-|\n| a | 1 |\n"), (2, None)], "doc_id long, text string")
+    for paths in (False, True):
+        nodes = document_tree.nodes(docs, paths)
+        assert nodes.count() == 11
+        assert nodes._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1
