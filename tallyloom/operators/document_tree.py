@@ -104,10 +104,10 @@ def parsed_tables(docs: DataFrame) -> DataFrame:
     # what is exploded is no plain column and nothing is filtered after it: Spark would filter below, and compute it once more for that
     some = F.filter("sections", lambda s: F.exists(s["blocks"], lambda b: b["kind"] == "table"))
     each = parsed(docs).select("doc_id", F.explode(some).alias("s")).select("doc_id", "s.section_no", F.col("s.title").alias("caption"), F.explode(F.filter("s.blocks", lambda b: b["kind"] == "table")).alias("b"))
-    return each.select("doc_id", "section_no", "b.block_no", "caption", F.explode(F.filter(F.array(_rows_of(F.col("b.lines"))), lambda rows: F.size(rows) > 0)).alias("rows"))
+    return each.select("doc_id", "section_no", "b.block_no", "caption", F.explode(F.filter(F.array(rows_of(F.col("b.lines"))), lambda rows: F.size(rows) > 0)).alias("rows"))
 
 
-def _rows_of(table_lines: Column) -> Column:
+def rows_of(table_lines: Column) -> Column:
     """The cells of a table's lines without separators, padded or cut to the width of the first."""
     content = F.filter(table_lines, lambda x: ~F.trim(x).rlike(r"^\|?[\s\-:|]+\|?$"))
     cut = F.transform(content, lambda x: F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|", -1))
@@ -115,6 +115,16 @@ def _rows_of(table_lines: Column) -> Column:
     return once(cut, wide)
 
 
+def notes_of(head: Column, row: Column) -> Column:
+    """The notes that the cells of a row name, in order: what stands in columns of notes, and notes within other texts."""
+    in_column = lambda c: F.lower(F.get(head, c)).isin(*NOTE_COLUMNS)
+    return F.filter(F.transform(row, lambda v, c: _note_in(v, in_column(c))), lambda n: n != "")
+
+
+def _note_in(v: Column, in_column: Column) -> Column:
+    return F.when(in_column & (F.trim(v) != ""), F.trim(v)).when(F.lower(v).rlike("note|ref"), F.regexp_extract(v, INLINE_NOTE, 1)).otherwise("")
+
+
 def document_sections(docs: DataFrame) -> DataFrame:
     """doc_id, section_no, level, title and parent_no of every section."""
     return parsed(docs).select("doc_id", F.explode("sections").alias("s")).select("doc_id", "s.section_no", "s.level", "s.title", "s.parent_no")
@@ -238,7 +248,7 @@ def trees(docs: DataFrame, paths: bool = False) -> DataFrame:
             # places of columns of notes, once for each table
             def with_notes(note_columns: Column) -> Column:
                 nonlocal note_in
-                note_in = lambda v, c: F.when(F.array_contains(note_columns, c) & (F.trim(v) != ""), F.trim(v)).when(F.lower(v).rlike("note|ref"), F.regexp_extract(v, INLINE_NOTE, 1)).otherwise("")
+                note_in = lambda v, c: _note_in(v, F.array_contains(note_columns, c))
                 table = node("table", key("table", no_), key("section", s["section_no"]), F.array_join(head, " | "), deep + 1, above=s["path"])
                 return F.when(F.size(rows) > 0, F.concat(F.array(table), F.flatten(F.transform(rows, line))))
 
@@ -251,7 +261,7 @@ def trees(docs: DataFrame, paths: bool = False) -> DataFrame:
             way = F.concat(s["path"], F.array(step(F.lit("table"), key("table", no_), F.array_join(F.get(rows, zero), " | "))))
             return once(way, lambda w: lines_of(rows, w))
 
-        return once(_rows_of(b["lines"]), with_way)
+        return once(rows_of(b["lines"]), with_way)
 
     def of_section(s: Column, all_: Column) -> Column:
         name = key("section", s["section_no"])

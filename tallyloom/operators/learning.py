@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tallyloom.functions.arrays import once
+from tallyloom.functions.arrays import once, places
 from tallyloom.operators import document_tree
 from tallyloom.sources.shared import spread
 
@@ -115,6 +115,65 @@ def replay(nodes: DataFrame, rules: DataFrame, depth: int, strict_compat: bool =
     return walked.filter("n is not null").select("doc_id", "rule_id", "n.node_type", "n.key", "n.text", "col_index")
 
 
+def replay_from(docs: DataFrame, rules: DataFrame, depth: int, strict_compat: bool = False) -> DataFrame:
+    """The same as replay, from documents (doc_id, text and columns of SCOPES) in place of nodes: each rule walks through the tree in the document's row."""
+    met = _met(docs, rules, F.struct("rule_id", F.slice("path", 1, depth).cast(f"array<{STEP}>").alias("path")))
+    walked = lambda r: once(_end(r["path"], strict_compat), lambda n: F.struct(r["rule_id"], n["node_type"].alias("node_type"), n["key"].alias("key"), n["text"].alias("text"), F.get(r["path"], F.size(r["path"]) - 1)["col_index"].alias("col_index")))
+    found = F.filter(F.transform("rules", walked), lambda n: n["key"].isNotNull())
+    return met.select("doc_id", F.explode(found).alias("n")).select("doc_id", "n.*")
+
+
+def _met(docs: DataFrame, rules: DataFrame, rule: Column) -> DataFrame:
+    """doc_id, sections (of document_tree.parsed) and the rules that a document meets, dealt out by document."""
+    by = [c for c in SCOPES if c in docs.columns and c in rules.columns]
+    steps = rules.groupBy(*by).agg(F.collect_list(rule).alias("rules"))
+    docs = docs.select("doc_id", "text", *by)
+    return document_tree.parsed(spread((docs.join(steps, by) if by else docs.crossJoin(steps)).select("doc_id", "text", "rules"), "doc_id"))
+
+
+def _end(path: Column, strict_compat: bool) -> Column:
+    """The node that a path reaches in the row of a document with its sections, null if none.
+
+    Only the children that a step asks for are looked at, in the order of document_tree.nodes; nodes
+    that no step reaches are not made. A row's label needs no test of its own, as its text begins with it.
+    """
+    no_rows, none = F.lit(None).cast("array<array<string>>"), F.lit(None).cast("int")
+    key = lambda kind, *c: F.concat_ws("/", F.lit(kind), *c)
+
+    def node(kind: Column | str, name: Column, text: Column, section: Column = none, block: Column = none, rows: Column = no_rows, line: Column = none) -> Column:
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        return F.struct(kind.alias("node_type"), name.alias("key"), text.alias("text"), section.cast("int").alias("section"), block.cast("int").alias("block"), rows.alias("rows"), line.cast("int").alias("line"))
+
+    def child(now: Column, step: Column) -> Column:
+        says = lambda text: (F.coalesce(step["label"], F.lit("")) == "") | F.coalesce(F.lower(text).contains(F.lower(step["label"])), F.lit(False))
+        first = lambda found, made: once(F.get(found, F.lit(0)), lambda x: F.when(x.isNotNull(), made(x)))
+        blocks = lambda kind: F.filter(F.get(F.filter("sections", lambda s: s["section_no"] == now["section"]), F.lit(0))["blocks"], lambda b: b["kind"] == kind)
+        rows, line = now["rows"], now["line"]
+
+        section = first(F.filter("sections", lambda s: s["parent_no"].eqNullSafe(now["section"]) & says(s["title"])), lambda s: node("section", key("section", s["section_no"]), s["title"], s["section_no"]))
+        heading = F.when(says(now["text"]), node("heading", key("heading", now["section"]), now["text"]))
+        paragraph = first(F.filter(blocks("paragraph"), lambda b: (F.trim(b["content"]) != "") & says(b["content"])), lambda b: node("paragraph", key("paragraph", b["block_no"]), b["content"]))
+        header = lambda t: F.array_join(F.get(t["rows"], F.lit(0)), " | ")
+        tables = F.transform(blocks("table"), lambda b: F.struct(b["block_no"].alias("block_no"), document_tree.rows_of(b["lines"]).alias("rows")))
+        table = first(F.filter(tables, lambda t: (F.size(t["rows"]) > 0) & says(header(t))), lambda t: node("table", key("table", t["block_no"]), header(t), block=t["block_no"], rows=t["rows"]))
+
+        text_of = lambda i: F.array_join(F.filter(F.slice(F.get(rows, i), 1, 2), lambda v: F.trim(v) != ""), " | ")
+        row = first(F.filter(places(rows), lambda i: (i > 0) & says(text_of(i))), lambda i: node("row", key("row", now["block"], i), text_of(i), block=now["block"], rows=rows, line=i))
+        top = F.when(says(F.lit("")), node("header", key("header", now["block"]), F.lit(""), block=now["block"], rows=rows, line=F.lit(0)))
+
+        own = F.get(rows, line)
+        right = lambda c: F.when(step["col_index"].isNotNull(), ((c == step["col_index"]) & says(F.get(own, c))) if strict_compat else c == step["col_index"]).otherwise(says(F.get(own, c)))
+        cell = first(F.filter(places(own), right), lambda c: node("cell", key("cell", now["block"], line, c), F.get(own, c)))
+        notes = F.transform(document_tree.notes_of(F.get(rows, F.lit(0)), own), lambda n, j: F.struct(F.concat(F.lit("Note "), n).alias("text"), j.alias("j")))
+        note = first(F.filter(notes, lambda n: says(n["text"])), lambda n: node("note", key("note", now["block"], line, n["j"]), n["text"]))
+
+        to = lambda kind, *above: (step["type"] == kind) & now["node_type"].isin(*above)
+        found = F.when(to("section", "document", "section"), section).when(to("heading", "section"), heading).when(to("paragraph", "section"), paragraph).when(to("table", "section"), table)
+        return found.when(to("row", "table"), row).when(to("header", "table"), top).when(to("cell", "row", "header"), cell).when(to("note", "row"), note)
+
+    return F.when(F.size(path) > 0, F.aggregate(path, node("document", F.lit("document"), F.lit("")), child))
+
+
 def looks_numeric(text: Column) -> Column:
     """Digits only, but for commas, dots and hyphens."""
     return F.regexp_replace(text, "[,.-]", "").rlike(r"^\s*[0-9]+\s*$")
@@ -181,25 +240,14 @@ def extract(nodes: DataFrame, rules: DataFrame, depth: int = 10, strict_compat:
 def extract_from(docs: DataFrame, rules: DataFrame, depth: int = 10, strict_compat: bool = False) -> DataFrame:
     """The same as extract, from documents (doc_id, text and columns of SCOPES) in place of nodes: texts meet the rules, and each rule walks through the tree in the document's row.
 
-    So neither nodes nor paths are dealt out. A row's label needs no test of its own, as its text begins with it.
+    So neither nodes nor paths are made or dealt out.
     """
-    by = [c for c in SCOPES if c in docs.columns and c in rules.columns]
-    rule = F.struct("rule_id", "variable_name", F.slice("path", 1, depth).cast(f"array<{STEP}>").alias("path"))
-    steps = rules.groupBy(*by).agg(F.collect_list(rule).alias("rules"))
-    docs = docs.select("doc_id", "text", *by)
-    met = document_tree.trees(spread((docs.join(steps, by) if by else docs.crossJoin(steps)).select("doc_id", "text", "rules"), "doc_id"))
-
-    def child(now: Column, step: Column) -> Column:
-        labelled = lambda n: (F.coalesce(step["label"], F.lit("")) == "") | F.coalesce(F.lower(n["text"]).contains(F.lower(step["label"])), F.lit(False))
-        right = lambda n: n["col_no"] == step["col_index"]
-        fits = lambda n: F.when((n["node_type"] == "cell") & step["col_index"].isNotNull(), (right(n) & labelled(n)) if strict_compat else right(n)).otherwise(labelled(n))
-        return F.get(F.filter("nodes", lambda n: (n["parent"] == now["key"]) & (n["node_type"] == step["type"]) & fits(n)), F.lit(0))
+    met = _met(docs, rules, F.struct("rule_id", "variable_name", F.slice("path", 1, depth).cast(f"array<{STEP}>").alias("path")))
 
     def walked(r: Column) -> Column:
-        end = F.when(F.size(r["path"]) > 0, F.aggregate(r["path"], F.get("nodes", F.lit(0)), child))
-        cells = lambda n: F.transform(F.filter("nodes", lambda c: (c["node_type"] == "cell") & (c["parent"] == n["key"])), lambda c: c["text"])
+        cells = lambda n: F.coalesce(F.get(n["rows"], n["line"]), F.array().cast("array<string>"))
         told = lambda n: F.struct(r["rule_id"], r["variable_name"], n["node_type"].alias("node_type"), n["text"].alias("text"), F.when(n["node_type"] != "cell", cells(n)).alias("cells"), F.get(r["path"], F.size(r["path"]) - 1)["col_index"].alias("col_index"))
-        return once(end, told)
+        return once(_end(r["path"], strict_compat), told)
 
     each = met.select("doc_id", F.explode(F.transform("rules", walked)).alias("r")).select("doc_id", "r.*")
     said = F.when(F.col("node_type").isNotNull(), value_of(F.col("node_type"), F.col("text"), F.col("cells"), F.col("col_index")))

@@ -211,7 +211,7 @@ def l1_alias_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l4_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = "struct<type:string,label:string,col_index:int>"
     rules = spark.sql(f"""SELECT 'high' AS rule_id, from_json('[{{"type":"section"}},{{"type":"section"}},{{"type":"section","label":"financial"}},{{"type":"section","label":"balance"}},{{"type":"table"}},{{"type":"row","label":"2-high"}},{{"type":"cell","label":"0.00","col_index":3}}]', 'array<{step}>') AS path""")
-    return learning.replay(document_tree.nodes(statements(spark, sf_dir), paths=True), rules, 7).select("doc_id", "rule_id", "node_type", "text")
+    return learning.replay_from(statements(spark, sf_dir), rules, 7).select("doc_id", "rule_id", "node_type", "text")
 
 
 @query(

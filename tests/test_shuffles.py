@@ -45,3 +45,18 @@ def test_nodes_are_made_once(spark):
         nodes = document_tree.nodes(docs, paths)
         assert nodes.count() == 11
         assert nodes._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1
+
+
+def test_replay_walks_in_the_row_of_a_document(spark):
+    text = "Begin\n\n# A\nTotal - none\n\n| Item | Note | FY |\n|---|---|---|\n| Cash | 1 | see note 7b |\n| | Cash old | 4 |\n\n|\n\n| Other | X |\n| y | 2 |\n\n## Signed\nDirector: B\n# Empty\n## Signed again"
+    docs = spark.createDataFrame([(1, text), (2, "# A\nx\n"), (3, None), (4, text.replace("Cash", "Bank")), (5, "| Note |\n| 3 |")], "doc_id long, text string")
+    step = lambda kind, label=None, col=None: (kind, label, col)
+    a, row = [step("section"), step("section", "a")], [step("section"), step("section", "A"), step("table"), step("row", "cash")]
+    paths = [a, [*a, step("heading")], [*a, step("paragraph", "none")], [*a, step("table", "other")], [*a, step("table"), step("header")], [*a, step("table"), step("header"), step("cell", "fy")], row, [*row, step("cell", "see", 2)], [*row, step("cell", "x", 2)],
+             [*row, step("cell", "see")], [*row, step("note")], [*row, step("note", "7b")], [*row, step("note", None, 1)], [*a, step("section", "signed"), step("paragraph", "director")], [step("section"), step("table", "note"), step("row"), step("note", "3")],
+             [step("section", "empty")], [step("section"), step("section", "again")], [*row, step("row")], [step("table")], [*row, step("section")], []]
+    table = spark.createDataFrame([(str(i), p) for i, p in enumerate(paths)], "rule_id string, path array<struct<type:string,label:string,col_index:int>>")
+    nodes = document_tree.nodes(docs, paths=True)
+    for strict in (False, True):
+        want, got = (sorted(map(str, f.collect())) for f in (learning.replay(nodes, table, 6, strict), learning.replay_from(docs, table, 6, strict)))
+        assert got == want and len(got) > 20
