@@ -42,7 +42,7 @@ def learn_paths(nodes: DataFrame, examples: DataFrame) -> DataFrame:
     node for each example.
     """
     by = ["doc_id", "template", "variable_name", "at"]
-    wanted = examples.filter("trim(key) <> ''").select(*by, F.coalesce("document_type", F.lit("generic")).alias("document_type"), F.lower(F.trim("key")).alias("words"), F.trim("value").alias("value")).dropDuplicates(by)
+    wanted = _wanted(examples)
     own_label = F.lower(F.get("path", F.size("path") - 1)["label"])
     rank = F.when((F.col("node_type") == "row") & own_label.contains(F.col("words")), 0).when(F.lower("text").contains(F.col("words")), 1)
     said = (F.col("node_type") == "cell") & (F.col("value") != "") & (F.trim("text") == F.col("value"))
@@ -52,7 +52,37 @@ def learn_paths(nodes: DataFrame, examples: DataFrame) -> DataFrame:
     met = hits.groupBy(*by).agg(F.first("document_type").alias("document_type"), F.min_by(F.struct("key", "path"), F.when(F.col("rank").isNotNull(), F.struct("rank", "order"))).alias("best"), F.collect_list(F.when(F.col("said"), cell)).alias("cells"))
     first = F.get(F.array_sort(F.filter("cells", lambda c: c["of"] == F.col("best.key"))), F.lit(0))
     found = met.filter("best is not null").select(*by, "document_type", "best", first.alias("cell")).select(*by, "document_type", F.coalesce("cell.path", "best.path").alias("path"), "cell.col_no")
+    return _rules(found)
 
+
+def learn_from(docs: DataFrame, examples: DataFrame) -> DataFrame:
+    """The same as learn_paths, from documents (doc_id and text) in place of nodes: a document meets its examples as one row, and they are found in its tree there.
+
+    Only documents with examples are parsed, and of a document only one path for each example is dealt out.
+    """
+    wanted = _wanted(examples).groupBy("doc_id").agg(F.collect_list(F.struct("template", "variable_name", "at", "document_type", "words", "value")).alias("examples"))
+    met = document_tree.trees(spread(docs.select("doc_id", "text").join(wanted, "doc_id"), "doc_id"), paths=True)
+    first = lambda test: F.get(F.filter("nodes", test), F.lit(0))
+    label = lambda n: F.lower(F.get(n["path"], F.size(n["path"]) - 1)["label"])
+
+    def found(e: Column) -> Column:
+        best = F.coalesce(first(lambda n: (n["node_type"] == "row") & label(n).contains(e["words"])), first(lambda n: F.lower(n["text"]).contains(e["words"])))
+        cell = lambda b: first(lambda n: (n["node_type"] == "cell") & (n["parent"] == b["key"]) & (e["value"] != "") & (F.trim(n["text"]) == e["value"]))
+        told = lambda b: once(cell(b), lambda c: F.struct(e["template"], e["variable_name"], e["at"], e["document_type"], F.coalesce(c["path"], b["path"]).alias("path"), c["col_no"].alias("col_no")))
+        return once(best, lambda b: F.when(b.isNotNull(), told(b)))
+
+    each = met.select("doc_id", F.explode(F.filter(F.transform("examples", found), lambda x: x.isNotNull())).alias("e"))
+    return _rules(each.select("doc_id", "e.*"))
+
+
+def _wanted(examples: DataFrame) -> DataFrame:
+    """Examples as they are looked for, one for each document, variable and time."""
+    by = ["doc_id", "template", "variable_name", "at"]
+    return examples.filter("trim(key) <> ''").select(*by, F.coalesce("document_type", F.lit("generic")).alias("document_type"), F.lower(F.trim("key")).alias("words"), F.trim("value").alias("value")).dropDuplicates(by)
+
+
+def _rules(found: DataFrame) -> DataFrame:
+    """Rules of the paths that examples (doc_id, template, variable_name, at, document_type, path and col_no) were found at."""
     last = F.size("path") - 1
     label = lambda s: F.when(s["label"].isNotNull(), s["label"]).when(s["type"].isin("paragraph", "heading", "note", "cell"), s["text"])
     steps = F.transform("path", lambda s, i: F.struct(s["type"].alias("type"), label(s).alias("label"), F.when(i == last, F.col("col_no")).alias("col_index")))

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import document_tree as tree
 from tallyloom.operators import learning
 from tallyloom.plans.documents import ITEMS_SQL
 from tallyloom.plans.registry import query
-from tallyloom.sources.shared import spread
 from tallyloom.sources.statements import line_items, statements
 
 #: What the statements print, by column, and the first statement of each company.
@@ -39,9 +37,8 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def learned(docs: DataFrame, corrected: DataFrame) -> DataFrame:
-    """Rules from the corrections of these documents; only those that are corrected become nodes, and nodes stay where their document was dealt."""
-    own = spread(docs.select("doc_id", "text"), "doc_id").join(corrected.select("doc_id").distinct(), "doc_id", "left_semi")
-    return learning.learn_paths(tree.nodes(own, paths=True), corrected)
+    """Rules from the corrections of these documents; only those that are corrected are parsed."""
+    return learning.learn_from(docs, corrected)
 
 
 @query(

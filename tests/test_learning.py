@@ -99,3 +99,15 @@ def test_rules_and_their_counts_survive_reruns(spark, tmp_path):
     got = {(r.template, r.variable_name): (len(r.path), r.success_count) for r in learning.RuleTable(spark, path).rules().collect()}
     assert len(got) == 3 and got["t", "row"] == (1, 4) and got["t", "cell"] == (4, 4)
     assert before == {p.name for p in (tmp_path / "rules/rules/template=other").iterdir()}
+
+
+def test_rules_are_learned_in_the_row_of_a_document(spark):
+    text = "# A\nTotal cash - none\n\n| Item | FY | PY |\n|---|---|---|\n| Cash | 1 | 2 |\n| Cash old | 3 | 2 |\n| | Bank | 5 |\n\n## Signed\nDirector: B"
+    docs = spark.createDataFrame([(1, text), (2, text.replace("| 2 |", "| 1 |")), (3, None), (4, "x"), (5, "# A\nx\n")], "doc_id long, text string")
+    said = [("a", "cash", "2"), ("b", " Cash old ", "3"), ("c", "total", None), ("d", "Director", "B"), ("e", "nowhere", "1"), ("f", " ", "1"), ("g", "bank", "5"), ("h", "cash", ""), ("i", "cash", "9"), ("j", None, "1"), ("k", "FY", None)]
+    rows = [(d, t, v, k, "report" if v < "d" else None, x, d) for d in (1, 2, 3, 4, 6) for t in ("s", "t") for v, k, x in said]
+    examples = spark.createDataFrame([*rows, *rows[:5]], "doc_id long, template string, variable_name string, key string, document_type string, value string, at int")
+    want, got = (sorted(map(str, f.collect())) for f in (learning.learn_paths(document_tree.nodes(docs, paths=True), examples), learning.learn_from(docs, examples)))
+    assert got == want and len(got) == 16
+    plan = learning.learn_from(docs, examples)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "posexplode" not in plan
