@@ -60,3 +60,12 @@ def test_replay_walks_in_the_row_of_a_document(spark):
     for strict in (False, True):
         want, got = (sorted(map(str, f.collect())) for f in (learning.replay(nodes, table, 6, strict), learning.replay_from(docs, table, 6, strict)))
         assert got == want and len(got) > 20
+
+
+def test_edges_sort_nodes_once_for_siblings_and_once_for_the_document(spark):
+    text = "Begin\n\n# A\n\n| Item | | FY |\n|---|---|---|\n| Cash | 1 | see note 7b |\n| | | 4 |\n\nafter\n\n| x |\n\n## B\n# C"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "# A\nx")], "doc_id long, text string")
+    nodes = document_tree.nodes(docs)
+    made = document_tree.edges(nodes)
+    assert plan(made).count("Sort [") == 2
+    assert sorted(map(str, made.collect())) == sorted(map(str, document_tree.edges(document_tree.numbered(nodes)).collect()))
