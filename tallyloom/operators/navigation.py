@@ -15,8 +15,7 @@ from tallyloom.sources.shared import saved
 
 
 def _nearest(kind: str, field: str = "key") -> Column:
-    steps = F.filter("path", lambda s: s["type"] == kind)
-    return F.get(steps, F.size(steps) - 1)[field]
+    return F.try_element_at(F.filter("path", lambda s: s["type"] == kind), F.lit(-1))[field]
 
 
 def with_ancestors(nodes: DataFrame) -> DataFrame:
